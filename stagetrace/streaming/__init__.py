@@ -1,0 +1,4 @@
+"""No streaming jobs: every query this library answers is a batch read.
+
+The folder keeps the package layout complete.  Nothing here is imported.
+"""

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 DAY = "2024-01-10"
 FIRST, LAST = "2024-01-08", "2024-01-12"
-FARM = "5"
-CAMERA = "26"
+FARM = "12"
+CAMERA = "12"
 TENANT = "2"
 EMPTY_TENANT = "99"
 FARM_OF_OTHER_TENANT = "0"

@@ -28,29 +28,39 @@ HOT_ROWS = 500_000
 KEYLESS_SLOTS = 4096
 
 
-def hot_keys(right: DataFrame, keys: Sequence[str], days: str | None, hot_rows: int) -> DataFrame:
-    """The heaviest right keys, the slots each needs, and the days it occurs on.
+def hot_keys(right: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """The heaviest right keys and the number of slots each needs.
 
     Rows are counted with map-side merging before anything is shuffled, so a hot
     key arrives as one count per task.
     """
-    if days is None:
-        counts = right.groupBy(*keys).agg(F.count("*").alias("_n"))
-        extra = []
-    else:
-        per_day = right.groupBy(*keys, days).agg(F.count("*").alias("_n"))
-        counts = per_day.groupBy(*keys).agg(
-            F.sum("_n").alias("_n"), F.collect_set(days).alias("_days")
-        )
-        extra = ["_days"]
+    counts = right.groupBy(*keys).agg(F.count("*").alias("_n"))
+    slots = F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slots")
     return (
         counts.where(F.col("_n") >= hot_rows)
         .orderBy(F.desc("_n"), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slots"), *extra)
+        .select(*keys, slots)
     )
 
 
+def _with_days(
+    hot: DataFrame, right: DataFrame, keys: Sequence[str], day: str
+) -> DataFrame:
+    """Hot keys with the days on which their right rows lie.
+
+    Reads the right side again, but only when there is a hot key.
+    """
+    days = (
+        right.join(hot.select(*keys), list(keys), "left_semi")
+        .select(*keys, day)
+        .distinct()
+        .groupBy(*keys)
+        .agg(F.collect_list(day).alias("_days"))
+    )
+    return F.broadcast(hot.join(days, list(keys)))
+
+
 def left_join(
     left: DataFrame,
     right: DataFrame,
@@ -81,46 +91,34 @@ def left_join(
     if hot_rows is None:
         return left.join(right, reduce(and_, on), "left").drop(*scratch)
 
-    hot = F.broadcast(hot_keys(right, right_keys, band[1] if band else None, hot_rows))
-    right = (
-        right.join(hot.select(*right_keys, "_slots"), right_keys, "left")
-        .withColumn(
-            "_right_slot",
-            F.when(F.col("_slots").isNull(), F.lit(0)).otherwise(
-                F.pmod(F.xxhash64(*right_row), F.col("_slots")).cast("int")
-            ),
-        )
-        .drop("_slots")
+    hot = F.broadcast(hot_keys(right, right_keys, hot_rows))
+    marks = hot if band is None else _with_days(hot, right, right_keys, right_day)
+    marks = marks.select(
+        *(F.col(k).alias(f"_hot{i}") for i, k in enumerate(right_keys)),
+        F.col("_slots").alias("_copies"),
+        *([] if band is None else ["_days"]),
+    )
+    dealt = F.pmod(F.xxhash64(*right_row), F.col("_slots")).cast("int")
+    right = right.join(hot, right_keys, "left").select(
+        *right.columns, F.coalesce(dealt, F.lit(0)).alias("_right_slot")
     )
 
-    marks = hot
-    for i, name in enumerate(right_keys):
-        marks = marks.withColumnRenamed(name, f"_hot{i}")
-    hot_names = [f"_hot{i}" for i in range(len(keys))]
-    keyless = reduce(or_, [F.col(a).isNull() for a, _ in keys])
-    copied = F.col("_slots").isNotNull()
+    copied = F.col("_copies").isNotNull()
     if band is not None:
         # A hot key may have no right row within the band of this left row; such
         # a row is not copied, so its one unmatched result is kept.
         near = F.sequence(F.date_sub(left_day, days), F.date_add(left_day, days))
         copied = copied & F.coalesce(F.arrays_overlap("_days", near), F.lit(False))
-    left = left.join(
-        marks, reduce(and_, [F.col(a) == F.col(h) for (a, _), h in zip(keys, hot_names)]), "left"
+    keyless = reduce(or_, [F.col(a).isNull() for a, _ in keys])
+    own_slot = (-1 - F.pmod(F.xxhash64(*left_row), F.lit(KEYLESS_SLOTS))).cast("int")
+    slots = (
+        F.when(copied, F.sequence(F.lit(0), F.col("_copies") - 1))
+        .when(keyless, F.array(own_slot))
+        .otherwise(F.array(F.lit(0)))
     )
-    left = (
-        left.withColumn("_copied", copied)
-        .withColumn(
-            "_left_slot",
-            F.explode(
-                F.when(F.col("_copied"), F.sequence(F.lit(0), F.col("_slots") - 1))
-                .when(
-                    keyless,
-                    F.array((-1 - F.pmod(F.xxhash64(*left_row), F.lit(KEYLESS_SLOTS))).cast("int")),
-                )
-                .otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop(*hot_names, "_slots", "_days")
+    is_hot = [F.col(a) == F.col(f"_hot{i}") for i, (a, _) in enumerate(keys)]
+    left = left.join(marks, reduce(and_, is_hot), "left").select(
+        *left.columns, copied.alias("_copied"), F.explode(slots).alias("_left_slot")
     )
     on.append(F.col("_left_slot") == F.col("_right_slot"))
     joined = left.join(right, reduce(and_, on), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,36 +18,30 @@ from stagetrace.sources import tables
 
 @dataclass(frozen=True)
 class Workspace:
-    """The fact tables and the cleaned dimensions, all lazy."""
+    """The five tables, and the cleaned dimensions as lazy frames."""
 
     detections: DataFrame
     inferences: DataFrame
-    tenants: DataFrame
-    farms: DataFrame
-    cameras: DataFrame
+    tenant_map: DataFrame
+    farm_map: DataFrame
+    camera_map: DataFrame
 
-    @classmethod
-    def of(
-        cls,
-        detections: DataFrame,
-        inferences: DataFrame,
-        tenant_map: DataFrame,
-        farm_map: DataFrame,
-        camera_map: DataFrame,
-    ) -> Workspace:
-        tenants = dims.tenant_dim(tenant_map)
-        return cls(
-            detections,
-            inferences,
-            tenants,
-            dims.farm_dim(farm_map, tenants),
-            dims.camera_dim(camera_map),
-        )
+    @cached_property
+    def tenants(self) -> DataFrame:
+        return dims.tenant_dim(self.tenant_map)
+
+    @cached_property
+    def farms(self) -> DataFrame:
+        return dims.farm_dim(self.farm_map, self.tenants)
+
+    @cached_property
+    def cameras(self) -> DataFrame:
+        return dims.camera_dim(self.camera_map)
 
     @classmethod
     def open(cls, spark: SparkSession, where: tables.Tables) -> Workspace:
         """Dimensions are read anew by every query, so they are never stale."""
-        return cls.of(
+        return cls(
             tables.scan_detections(spark, where.detections),
             tables.scan_inferences(spark, where.inferences),
             tables.scan_tenants(spark, where.tenants),
@@ -115,8 +109,9 @@ def linked(
     limit: int | None = linkage.DEFAULT_ROWS,
     modes: Modes = STANDARD,
 ) -> DataFrame:
+    farms = ws.farms if chosen(filters.tenant) is not None else None
     return linkage.link_stages(
-        ws.detections, ws.inferences, day, filters, ws.farms, limit, modes
+        ws.detections, ws.inferences, day, filters, farms, limit, modes
     )
 
 

@@ -47,18 +47,11 @@ def _share(factor: int) -> Column:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.lit("gs://b/frames-to-analyze/")
-
-    def frame(i: Column) -> Column:
-        number = i.cast("string")
-        bad = F.concat(folder, F.lit("bad"), number, F.lit(".jpg"))
-        good = F.concat(
-            folder, F.lit("c"), _text("user_id"), F.lit("/"), _stem(), F.lit("_f"), number,
-            F.lit(".jpg"),
-        )
-        return F.when(_every(31), bad).otherwise(good)
-
-    frames = F.transform(F.sequence(F.lit(0), F.lit(2)), frame)
-    count = F.least(F.col("event_id") % 5, F.lit(3)).cast("int")
+    good = F.concat(folder, F.lit("c"), _text("user_id"), F.lit("/"), _stem(), F.lit("_f"))
+    prefix = F.when(_every(31), F.concat(folder, F.lit("bad"))).otherwise(good)
+    frames = F.array(*(F.concat(prefix, F.lit(f"{i}.jpg")) for i in range(3)))
+    # without a length the slice, and so the whole array, is null
+    count = F.when(~_every(53), F.least(F.col("event_id") % 5, F.lit(3)).cast("int"))
     kind = F.col("event_type")
     return _read(spark, sf_dir, "events").select(
         F.concat(F.lit("sess-"), _text("event_id")).alias("session_id"),
@@ -73,7 +66,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.round(F.col("value") * 100).cast("bigint") % 1001).cast("double") / F.lit(1000.0))
         .alias("highest_probability_value"),
         F.when(kind != "signup", kind.isin("error", "click")).alias("should_forward"),
-        F.when(~_every(53), F.slice(frames, F.lit(1), count)).alias("frame_uris"),
+        F.slice(frames, F.lit(1), count).alias("frame_uris"),
         _share(3).alias("probability_animal_husbandry"),
         _share(5).alias("probability_down_cow"),
         _share(7).alias("probability_quick_movements"),
@@ -149,7 +142,7 @@ def camera_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    return Workspace.of(
+    return Workspace(
         detections(spark, sf_dir),
         inferences(spark, sf_dir),
         tenant_map(spark, sf_dir),

@@ -295,7 +295,7 @@ def _link(
             stage1,
             stage2,
             _KEYS,
-            left_row=(*_ROW, "stage1_timestamp", "farm_id", "stage1_raw_response"),
+            left_row=(*_ROW, "stage1_timestamp", "farm_id"),
             right_row=("stage2_inference_id", "stage2_timestamp", "video_filename"),
             band=None if band is None else (_DAY1, _DAY2, band),
             hot_rows=hot_rows,

@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from stagetrace.functions import responses, text, uris
+
+
+def column(spark, values, expression, kind):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, x {kind}")
+    rows = df.select("i", expression(F.col("x")).alias("y")).collect()
+    return [r.y for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_scores_round_like_the_exact_binary_value(spark):
+    rng = random.Random(7)
+    values = [n / 1000 for n in range(1001)]
+    values += [n / 4096 for n in range(4097)] + [(2 * n + 1) / 2000 for n in range(4000)]
+    values += [rng.random() for _ in range(5000)] + [rng.random() * 1e6 for _ in range(2000)]
+    values += [-v for v in values[:500] if v] + [5e-324, 1e-9, 0.0004999, 0.9995, 999.9995]
+    assert column(spark, values, text.shown_score, "double") == [f"{v:.3f}" for v in values]
+
+
+def test_missing_scores(spark):
+    assert column(spark, [None, float("nan")], text.shown_score, "double") == ["N/A", "N/A"]
+
+
+def test_flags_have_three_states(spark):
+    shown = column(spark, [True, False, None], lambda c: text.shown_flag(c, "y", "n"), "boolean")
+    assert shown == ["y", "n", "N/A"]
+
+
+JSON_CASES = [
+    '{"k": 1}', "{bad", "[1,2]", '{"a": 1} x', '{"a":\n 1}', '{"a": "x\ny"}', "NaN",
+    '{"a": NaN}', '{"a":1,"a":2}', "1", '"s"', "null", "true", "tru", "[1,2", '1}, {"b":2',
+    "1],[2", '"a" "b"', " ", "[]", "{}", '{"a":1,}', "[1,]", "{'a':1}", "{a:1}", "01", "1.",
+    ".5", "1e5", "-", '"\\u12"', '"\\x"', '"\t"', "Infinity", "-Infinity", "+1",
+    '{"a":{"b":[1,{"c":"d"}]}}', '{"a":{"b":[1,{"c":"d"}}}', "/*c*/1", "1 2", '{"a":1}{"b":2}',
+    '{"a":"\\/"}', "é", '"é"', "9" * 60, "[" * 50 + "]" * 50,
+]
+
+
+def valid_json(value: str) -> bool:
+    try:
+        json.loads(value)
+        return True
+    except ValueError:
+        return False
+
+
+def test_whole_text_must_be_json(spark):
+    assert column(spark, JSON_CASES, responses.is_json, "string") == [
+        valid_json(v) for v in JSON_CASES
+    ]
+
+
+def expected_response(raw):
+    if not raw:
+        return ("missing", None)
+    clean = raw.replace("\\n", "\n")
+    if valid_json(clean):
+        return ("json", clean)
+    return ("text", clean.replace('\\"', '"')[:2000])
+
+
+def test_responses_are_cleaned_in_order(spark):
+    raws = JSON_CASES + [
+        None, "", '{"a":\\n 1}', '{"a": "x\\ny"}', 'say \\"hi\\"', "x" * 5000, "é" * 2500, "\\\\nn",
+    ]
+
+    def both(raw):
+        status = responses.response_status(raw)
+        return F.struct(status.alias("s"), responses.response_text(raw, status).alias("t"))
+
+    rows = column(spark, raws, both, "string")
+    assert [(r.s, r.t) for r in rows] == [expected_response(r) for r in raws]
+
+
+URIS = [
+    "gs://b/x/y.jpg", "gs://b", "gs://b/", "s3://b/x", "", None, "gs://my_bucket/x",
+    "gs://b/gs://c/x", "gs:///x", "gs://", "http://h/p", "GS://b/x", "x gs://b/y",
+]
+
+
+def expected_parts(uri):
+    if not uri or not uri.startswith("gs://"):
+        return (False, None, None)
+    parts = uri.replace("gs://", "").split("/", 1)
+    return (True, *parts) if len(parts) == 2 else (False, None, None)
+
+
+def test_uri_parts(spark):
+    def parts(c):
+        return F.struct(
+            uris.is_object_uri(c).alias("v"),
+            uris.bucket_name(c).alias("b"),
+            uris.object_name(c).alias("o"),
+        )
+
+    rows = column(spark, URIS, parts, "string")
+    assert [tuple(r) for r in rows] == [expected_parts(u) for u in URIS]
+
+
+@pytest.mark.parametrize(
+    "stamp,shown",
+    [
+        ("2024-01-10 08:00:59.500000", "2024-01-10 08:00:59.500000"),
+        ("2024-01-10 08:00:59", "2024-01-10 08:00:59"),
+    ],
+)
+def test_moments_keep_six_digits(spark, stamp, shown):
+    df = spark.range(1).select(text.shown_moment(F.lit(stamp).cast("timestamp_ntz")).alias("y"))
+    assert df.first().y == shown

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stagetrace.functions import daytime, keys
 from stagetrace.functions.choices import as_day, chosen, time_bound
 from stagetrace.operators.hotkeys import HOT_ROWS, left_join
+from stagetrace.operators.lookup import join_key
 
 # Rows returned by default, and rows a result page asks for.
 DEFAULT_ROWS = 50
@@ -55,8 +56,6 @@ _KEYS = (
     ("blk_file", "blk_file"),
     ("frame_timestamp_key", "video_timestamp_key"),
 )
-# Columns that order first-stage rows and, on ties, settle what they link to.
-_ROW = ("session_id", "camera_id", "blk_file", "frame_timestamp_key")
 _DAY1, _DAY2 = "_stage1_day", "_stage2_day"
 
 
@@ -90,7 +89,9 @@ class Filters:
 NO_FILTERS = Filters()
 
 
-def stage1_keyed(detections: DataFrame, blank_keys: str = "strict") -> DataFrame:
+def stage1_keyed(
+    detections: DataFrame, blank_keys: str = "strict", *also: str
+) -> DataFrame:
     """Detections under their result names, with the keys of their first frame."""
     frame = keys.trigger_frame(F.col("frame_uris"))
     return detections.select(
@@ -110,6 +111,7 @@ def stage1_keyed(detections: DataFrame, blank_keys: str = "strict") -> DataFrame
         "probability_quick_movements",
         "probability_no_event",
         F.col("gemini_raw_response").alias("stage1_raw_response"),
+        *also,
     )
 
 
@@ -191,8 +193,10 @@ def select_detections(
     if farm is None and tenant is not None:
         if farms is None:
             raise ValueError("a tenant filter needs the farm dimension")
-        of_tenant = farms.where(F.col("tenant_id") == F.lit(tenant)).select("farm_id")
-        rows = rows.join(of_tenant, "farm_id", "left_semi").select(*detections.columns)
+        of_tenant = farms.where(F.col("tenant_id") == F.lit(tenant)).select(
+            join_key("farm_id").alias("_wanted")
+        )
+        rows = rows.join(of_tenant, F.col("farm_id") == F.col("_wanted"), "left_semi")
     return rows
 
 
@@ -238,22 +242,38 @@ def newest_first() -> list:
     ]
 
 
-def _top_rows(stage1: DataFrame, stage2: DataFrame, band: int | None, limit: int) -> DataFrame:
+def _newest(detections: DataFrame, limit: int) -> DataFrame:
+    """The newest detections with their rank.
+
+    They are ordered on stored columns, so keys are parsed only for the rows that
+    remain.  Rows that tie on all of them link to the same inferences.
+    """
+    order = [
+        F.desc_nulls_last("processing_timestamp"),
+        F.asc_nulls_first("session_id"),
+        F.asc_nulls_first("camera_id"),
+        keys.trigger_frame(F.col("frame_uris")).asc_nulls_first(),
+    ]
+    rank = F.row_number().over(Window.orderBy(*order))
+    return detections.orderBy(*order).limit(limit).withColumn("_rank", rank)
+
+
+def _top_rows(
+    detections: DataFrame, stage2: DataFrame, modes: Modes, band: int | None, limit: int
+) -> DataFrame:
     """The first rows of the sorted left join, without joining everything.
 
-    Every first-stage row yields at least one row, so the result only involves
-    the `limit` newest of them.  Their keys are broadcast over the second stage,
-    each task keeps its best `limit` pairs, and the pairs return to their rows.
+    Every detection yields at least one row, so the result only involves the
+    `limit` newest of them.  Their keys are broadcast over the second stage, each
+    task keeps its best `limit` pairs, and the pairs return to their rows.
     Nothing large is shuffled, however many inferences share a key.
     """
-    order = [F.desc_nulls_last("stage1_timestamp"), *(F.asc_nulls_first(c) for c in _ROW)]
-    newest = stage1.orderBy(*order).limit(limit)
-    ranked = newest.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
-
-    probe = ranked.select(
+    newest = _newest(detections, limit)
+    stage1 = stage1_keyed(newest, modes.blank_keys, "_rank")
+    probe = stage1.select(
         "_rank",
         *(F.col(a).alias(f"_probe{i}") for i, (a, _) in enumerate(_KEYS)),
-        F.col(_DAY1).alias("_probe_day"),
+        F.col("stage1_timestamp").cast("date").alias("_probe_day"),
     )
     on = [F.col(b) == F.col(f"_probe{i}") for i, (_, b) in enumerate(_KEYS)]
     if band is not None:
@@ -270,7 +290,7 @@ def _top_rows(stage1: DataFrame, stage2: DataFrame, band: int | None, limit: int
         .orderBy(*within)
         .limit(limit)
     )
-    return ranked.join(pairs, "_rank", "left").orderBy(*within[:2]).limit(limit)
+    return stage1.join(pairs, "_rank", "left").orderBy(*within[:2]).limit(limit)
 
 
 def _link(
@@ -281,21 +301,21 @@ def _link(
     limit: int | None,
     hot_rows: int | None,
 ) -> DataFrame:
-    stage1 = stage1_keyed(detections, modes.blank_keys).withColumn(
-        _DAY1, F.col("stage1_timestamp").cast("date")
-    )
     stage2 = stage2_keyed(inferences, modes.blank_keys, modes.raw).withColumn(
         _DAY2, F.col("stage2_timestamp").cast("date")
     )
     band = modes.band_days if banded else None
     if limit is not None and limit <= TOP_ROWS_BROADCAST:
-        return _result(_top_rows(stage1, stage2, band, limit))
+        return _result(_top_rows(detections, stage2, modes, band, limit))
+    stage1 = stage1_keyed(detections, modes.blank_keys).withColumn(
+        _DAY1, F.col("stage1_timestamp").cast("date")
+    )
     linked = _result(
         left_join(
             stage1,
             stage2,
             _KEYS,
-            left_row=(*_ROW, "stage1_timestamp", "farm_id"),
+            left_row=("session_id", "stage1_timestamp", "camera_id", "trigger_frame_uri"),
             right_row=("stage2_inference_id", "stage2_timestamp", "video_filename"),
             band=None if band is None else (_DAY1, _DAY2, band),
             hot_rows=hot_rows,

@@ -6,18 +6,29 @@ spark.sql.autoBroadcastJoinThreshold and shuffles with skew handling otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: tenant shown for a farm that is in no mapping.
 UNKNOWN = "Unknown"
 
 
+def join_key(key: str) -> Column:
+    """A dimension key for joining facts of which one id may hold a large share.
+
+    Spark splits a skewed fact partition only if both sides are shuffled for the
+    join.  A dimension comes out of an aggregate by its key and would be used as
+    it lies; comparing with an expression of the key gives it a shuffle, which is
+    small, and is not needed at all when the dimension is broadcast.
+    """
+    return F.concat(F.col(key), F.lit(""))
+
+
 def with_display_name(
     df: DataFrame, dim: DataFrame, key: str, name: str, alias: str, missing: str | None = None
 ) -> DataFrame:
     """Add the name of an id: the mapped name, else the id, else `missing`."""
-    names = dim.select(F.col(key).alias("_id"), F.col(name).alias("_name"))
+    names = dim.select(join_key(key).alias("_id"), F.col(name).alias("_name"))
     shown = [F.col("_name"), F.col(key)] + ([F.lit(missing)] if missing else [])
     return (
         df.join(names, F.col(key) == F.col("_id"), "left")

@@ -51,7 +51,8 @@ def playable_videos(linked: DataFrame) -> DataFrame:
 
 
 def _asked(uris: DataFrame, column: str) -> DataFrame:
-    # Distinct first: a URI that very many rows share is looked up once.
+    # Both sides of the lookups are made distinct: a URI that very many rows share
+    # is merged on the map side, and the join needs no further shuffle.
     return uris.select(F.col(column).alias("uri")).where("uri IS NOT NULL").distinct()
 
 
@@ -60,11 +61,11 @@ def media_present(uris: DataFrame, listing: DataFrame, column: str = "uri") -> D
     return (
         _asked(uris, column)
         .where(is_object_uri(F.col("uri")))
-        .join(listing.select("uri"), "uri", "left_semi")
+        .join(listing.select("uri").distinct(), "uri", "left_semi")
     )
 
 
 def media_missing(uris: DataFrame, listing: DataFrame, column: str = "uri") -> DataFrame:
     """Distinct URIs that the listing lacks; an invalid URI is always missing."""
-    listed = listing.select("uri").where(is_object_uri(F.col("uri")))
+    listed = listing.select("uri").where(is_object_uri(F.col("uri"))).distinct()
     return _asked(uris, column).join(listed, "uri", "left_anti")

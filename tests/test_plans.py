@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tables import cameras, detections, farms, inferences
 
-from stagetrace.operators import details, display, facets, linkage, media
+from stagetrace.operators import details, dims, display, facets, linkage, lookup, media
 from stagetrace.operators.linkage import Filters
 from stagetrace.sources.tables import Table, scan_detections, scan_inferences
 
@@ -120,9 +120,74 @@ def test_frames_need_no_shuffle(stored):
 
 
 def test_shown_rows_stay_in_the_engine(spark, stored):
-    dims = farms(spark, [("f", "F", "t", "T")]), cameras(spark, [("c", "C")])
+    both = farms(spark, [("f", "F", "t", "T")]), cameras(spark, [("c", "C")])
     linked = linkage.link_range(*stored)
-    for df in (display.display_table(linked, *dims), details.event_details(linked, *dims)):
+    for df in (display.display_table(linked, *both), details.event_details(linked, *both)):
         check_clean(plan(df))
-    narrow = plan(display.display_table(linked, *dims))
+    narrow = plan(display.display_table(linked, *both))
     assert not any("gemini_raw_response" in s or "model_votes" in s for s, _ in scans(narrow))
+
+
+@pytest.fixture
+def large(spark):
+    """Settings under which small frames are joined the way large ones are."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_a_hot_id_is_split_in_lookups(spark, large):
+    third = F.when(F.col("id") % 3 == 0, "7").otherwise((F.col("id") % 5000).cast("string"))
+    filler = F.sha2(F.col("id").cast("string"), 256).alias("filler")
+    facts = spark.range(600_000).select(third.alias("camera_id"), filler)
+    ids = spark.range(5000).select(F.col("id").cast("string").alias("camera_id"))
+    dim = dims.camera_dim(ids.withColumn("camera_name", F.col("camera_id")))
+    named = lookup.with_display_name(facts, dim, "camera_id", "camera_name", "name")
+    assert named.toArrow().num_rows == 600_000
+    assert "skew=true" in plan(named)
+
+
+def test_a_hot_video_key_is_split_in_the_link(spark, large, tmp_path):
+    """A third of the inferences share one key, a third of the events have none."""
+    n = 150_000
+    stem = F.concat(F.lit("007_"), F.lpad(F.col("k").cast("string"), 7, "0"))
+    stem = F.concat(stem, F.lit("_cam_2024-01-10T08:00:00"))
+    moment = F.lit("2024-01-10 08:00:00").cast("timestamp_ntz")
+    rows = spark.range(n).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    i = rows.select(
+        F.concat(F.lit("i"), "id").alias("inference_id"),
+        F.lit("c").alias("camera_id"),
+        moment.alias("inference_timestamp"),
+        F.concat(stem, F.lit(".mp4")).alias("file_name"),
+    )
+    uri = F.concat(F.lit("gs://b/"), stem, F.lit("_f0.jpg"))
+    rows = spark.range(n).withColumn("k", F.col("id"))
+    d = rows.select(
+        F.concat(F.lit("s"), "id").alias("session_id"),
+        F.lit("c").alias("camera_id"),
+        moment.alias("processing_timestamp"),
+        F.when(F.col("id") % 3 != 2, F.array(uri)).alias("frame_uris"),
+    )
+    d = detections(spark, []).unionByName(d, allowMissingColumns=True)
+    i = inferences(spark, []).unionByName(i, allowMissingColumns=True)
+    d.write.parquet(f"{tmp_path}/d")
+    i.write.parquet(f"{tmp_path}/i")
+    d, i = spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/i")
+    linked = linkage.link_range(d, i, hot_rows=5000).select("session_id", "stage2_inference_id")
+    slots = linked.where("session_id = 's0'").distinct().count()
+    counts = linked.agg(
+        F.count("*").alias("rows"), F.count("stage2_inference_id").alias("linked")
+    ).first()
+    # event 0 meets the hot third; of the other events, those divisible by three
+    # find no inference, one in three finds one, and the rest have no key
+    assert slots == n // 3
+    assert (counts.rows, counts.linked) == (n // 3 + n - 1, n // 3 + n // 3)

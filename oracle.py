@@ -397,6 +397,15 @@ def statements() -> dict[str, str]:
         "farm_facet_by_tenant": TABLES + _list(_farm_list(TENANT)),
         "camera_facet": TABLES + _list(_camera_list()),
         "camera_facet_by_farm": TABLES + _list(_camera_list(FARM)),
+        "farm_facet_site_config": TABLES + _list(
+            f"""SELECT coalesce(n_name, c.farm_id) AS label, c.farm_id AS id
+            FROM {_FARM_CUT} c LEFT JOIN nation ON c.farm_id = CAST(n_nationkey AS VARCHAR)"""
+        ),
+        "camera_facet_site_config": TABLES + _list(
+            f"""SELECT coalesce(s_name, c.camera_id) AS label, c.camera_id AS id
+            FROM (SELECT DISTINCT camera_id FROM stage1 WHERE {_ON_DAY} AND camera_id IS NOT NULL AND farm_id = '{FARM}'
+                  ORDER BY camera_id LIMIT 100) c LEFT JOIN supplier ON c.camera_id = CAST(s_suppkey AS VARCHAR)"""
+        ),
         "load_filters": _lists(**three_lists),
         "after_tenant_choice": _lists(farm=_farm_list(TENANT), camera=_camera_list()),
         "after_farm_choice": _lists(camera=_camera_list(FARM)),

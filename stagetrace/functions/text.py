@@ -11,7 +11,6 @@ TICK, CROSS = "✓", "✗"
 YES, NO = "Yes ✓", "No ✗"
 
 _SPLITTER = 134217729.0  # 2**27 + 1 halves the 53 bits of a double
-_EXACT_BELOW = 1.0e12
 
 
 def or_default(text: Column, default: str) -> Column:
@@ -23,33 +22,19 @@ def three_decimals(value: Column) -> Column:
     """A double with three decimals, rounded from its exact binary value.
 
     `format_string` rounds half up on the shortest decimal form, so 0.0625 would
-    read 0.063; rounding the exact value, ties to even, gives 0.062.  The product
-    with 1000 is therefore kept as a double plus its exact rounding error.
+    read 0.063; rounding the exact value, ties to even, gives 0.062.  The value
+    is rounded to thousandths first, and where the product with 1000 lies half
+    way, its rounding error tells on which side the exact product is.
     """
-    x = F.abs(value)
     thousand = F.lit(1000.0)
-    product = x * thousand
-    spread = x * F.lit(_SPLITTER)
-    high = spread - (spread - x)
-    low = x - high
-    error = (high * thousand - product) + low * thousand
-    # casts from double to bigint truncate, which is floor here: x is not negative
-    whole = product.try_cast("bigint")
-    rest = product - whole.cast("double")
-    half = F.lit(0.5)
-    up = (rest > half) | (
-        (rest == half) & ((error > 0) | ((error == 0) & (whole % 2 == 1)))
-    )
-    units = F.when(up, whole + 1).otherwise(whole)
-    digits = F.concat(
-        F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
-        F.floor(units / F.lit(1000)).cast("string"),
-        F.lit("."),
-        F.lpad((units % 1000).cast("string"), 3, "0"),
-    )
-    return F.when(x < F.lit(_EXACT_BELOW), digits).otherwise(
-        F.format_string("%.3f", value)
-    )
+    product = value * thousand
+    nearest = F.rint(product)
+    rest = product - nearest
+    spread = value * F.lit(_SPLITTER)
+    high = spread - (spread - value)
+    error = (high * thousand - product) + (value - high) * thousand
+    step = F.when((F.abs(rest) == 0.5) & (rest * error > 0), rest * 2).otherwise(0.0)
+    return F.format_string("%.3f", (nearest + step) / thousand)
 
 
 def shown_score(value: Column) -> Column:

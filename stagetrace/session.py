@@ -11,7 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # HotSpot does not compile methods beyond 8,000 bytes; better several small ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

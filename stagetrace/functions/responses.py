@@ -17,21 +17,34 @@ _STRICT = {
 }
 
 
+# Last item of the array a text is tested in.
+_END = "~end~"
+
+
 def is_json(text: Column) -> Column:
-    """Whether the whole text is one JSON value.
+    """Whether the whole text is one JSON value; null for null.
 
-    Spark's JSON functions stop reading after the first value, so trailing text
-    goes unnoticed.  Wrapped once as an array item and once as an object member,
-    no trailing text survives both.  `NaN`, infinities and repeated object keys
-    are accepted.
+    Spark's JSON functions stop after the first value, so trailing text would go
+    unnoticed.  The text is therefore read as the item before a known last item:
+    it is one value exactly if that item is found, and is the second.  Text that
+    contains the known item itself is tested both as the only item of an array
+    and as the only member of an object; no trailing text survives both.
+    `NaN`, infinities and repeated object keys are accepted.
     """
+    items = F.from_json(
+        F.concat(F.lit("["), text, F.lit(f',"{_END}"]')), "array<string>", _STRICT
+    )
     as_item = F.from_json(
         F.concat(F.lit('{"v":['), text, F.lit("]}")), "v array<string>, _bad string", _STRICT
     )
     as_member = F.from_json(
         F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _bad string", _STRICT
     )
-    return as_item["_bad"].isNull() & as_member["_bad"].isNull()
+    return (
+        F.when(text.isNull(), F.lit(None).cast("boolean"))
+        .when(text.contains(_END), as_item["_bad"].isNull() & as_member["_bad"].isNull())
+        .otherwise(F.coalesce(F.array_position(items, _END) == 2, F.lit(False)))
+    )
 
 
 def unescaped(text: Column) -> Column:

@@ -17,8 +17,22 @@ from stagetrace.sources.site_config import parse_configs
 CAMERAS_PER_DOCUMENT = 50
 
 
+# Declared, so that no job is run to look into the files.
+_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "orders": "o_orderkey bigint",
+    "documents": "doc_id bigint, text string",
+    "pages": "page_id bigint, url string",
+    "conversations": "conv_id bigint, turn bigint, text string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _every(n: int, remainder: int = 0) -> Column:

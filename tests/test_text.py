@@ -40,9 +40,19 @@ JSON_CASES = [
     ".5", "1e5", "-", '"\\u12"', '"\\x"', '"\t"', "Infinity", "-Infinity", "+1",
     '{"a":{"b":[1,{"c":"d"}]}}', '{"a":{"b":[1,{"c":"d"}}}', "/*c*/1", "1 2", '{"a":1}{"b":2}',
     '{"a":"\\/"}', "é", '"é"', "9" * 60, "[" * 50 + "]" * 50,
+    "1,2", '1,"b":2', '1,"~end~"', '1,"~end~"] [', '"~end~"', '["~end~"]', "1,2] [", '"~end~', "1]",
+    "}", "]", ",", ":", '"a":1', "null,null", "[null]", '{"a":"b\\"}', '"a\\', "1\n", "\n1",
 ]
 
 
+def test_random_texts_against_a_json_parser(spark):
+    rng = random.Random(3)
+    parts = ['{"a":', "}", "[", "]", ",", '"x"', "1", ":", "null", " ", '"', "\\", "~end~", "-", ".5"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(4000)]
+    found = column(spark, texts, responses.is_json, "string")
+    assert [t for t, f in zip(texts, found) if f != valid_json(t)] == []
+
+
 def valid_json(value: str) -> bool:
     try:
         json.loads(value)

@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 SCHEME = "gs://"
 
 
-def _parts(uri: Column) -> Column:
-    return F.split(F.replace(uri, F.lit(SCHEME), F.lit("")), "/", 2)
+def _rest(uri: Column) -> Column:
+    """The URI without the scheme, wherever it occurs."""
+    return F.replace(uri, F.lit(SCHEME), F.lit(""))
 
 
 def is_object_uri(uri: Column) -> Column:
     """True for URIs with the scheme and a slash after the bucket; never null."""
     return F.coalesce(
-        F.startswith(uri, F.lit(SCHEME)) & (F.size(_parts(uri)) == 2), F.lit(False)
+        F.startswith(uri, F.lit(SCHEME)) & F.contains(_rest(uri), F.lit("/")), F.lit(False)
     )
 
 
 def bucket_name(uri: Column) -> Column:
-    return F.when(is_object_uri(uri), F.get(_parts(uri), F.lit(0)))
+    return F.when(is_object_uri(uri), F.substring_index(_rest(uri), "/", 1))
 
 
 def object_name(uri: Column) -> Column:
-    return F.when(is_object_uri(uri), F.get(_parts(uri), F.lit(1)))
+    rest = _rest(uri)
+    return F.when(is_object_uri(uri), F.substr(rest, F.position(F.lit("/"), rest) + 1))

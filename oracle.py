@@ -378,6 +378,8 @@ def statements() -> dict[str, str]:
         "link_range": _range_links() + _ALL,
         "link_range_time_window": _range_links(f"{_OF_TENANT.format(TENANT)} {_WORKING_HOURS}") + _ALL,
         "link_all_days": whole + _ALL,
+        "link_all_days_salted": whole + _ALL,
+        "link_stages_verbatim_salted": day(strict=False) + _ALL,
         "video_url": whole + "SELECT session_id, stage2_inference_id, video_url_derived FROM linked",
         "frame_video_url": f"{TABLES} SELECT session_id, {_URL.format(path='NULL', frame=frame)} AS video_url FROM stage1",
         "name_lookup": f"""{TABLES} SELECT s.session_id, s.farm_id, s.camera_id,

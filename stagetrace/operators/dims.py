@@ -52,7 +52,7 @@ def farm_dim(
 ) -> DataFrame:
     """Farms with the name of their tenant; `tenants` is a tenant dimension."""
     rows = latest_per_key(_without_header(farms, "farm_id"), "farm_id", order)
-    names = tenants.select("tenant_id", "tenant_name")
+    names = tenants.where("tenant_id <> ''").select("tenant_id", "tenant_name")
     return rows.join(names, "tenant_id", "left").select(
         "farm_id",
         or_default(F.col("farm_name"), UNKNOWN_FARM).alias("farm_name"),

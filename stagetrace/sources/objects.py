@@ -34,8 +34,11 @@ def _open(uri: str):
     """(file system, path, size) of an object, or None if there is none."""
     from pyarrow import fs
 
-    if "://" not in uri:
+    scheme, colon, rest = uri.partition(":/")
+    if not colon:
         return None
+    if not rest.startswith("/"):  # Spark prints local files as file:/path
+        uri = f"{scheme}:///{rest}"
     store, path = fs.FileSystem.from_uri(uri)
     info = store.get_file_info(path)
     return (store, path, info.size) if info.type == fs.FileType.File else None

@@ -21,7 +21,7 @@ def test_choices():
 def test_dimensions(spark):
     tenants = spark.createDataFrame(
         [("t1", "T1", "u", None), ("t2", "", None, "s"), ("tenant_id", "tenant_name", "", ""),
-         (None, "lost", "", "")],
+         (None, "lost", "", ""), ("", "no id", "", "")],
         schemas.TENANTS,
     )
     farm_rows = spark.createDataFrame(
@@ -30,7 +30,7 @@ def test_dimensions(spark):
         schemas.FARMS,
     )
     dim = dims.tenant_dim(tenants)
-    assert rows(dim) == [("t1", "T1", "u", ""), ("t2", "Unknown Tenant", "", "s")]
+    assert rows(dim) == [("", "no id", "", ""), ("t1", "T1", "u", ""), ("t2", "Unknown Tenant", "", "s")]
     assert rows(dims.farm_dim(farm_rows, dim)) == [
         ("f1", "F1", "t1", "T1"),
         ("f2", "Unknown Farm", "t2", "Unknown Tenant"),

@@ -20,23 +20,31 @@ class Table:
     `Table(name="cat.db.t")` reads the catalog, `Table(path=..., format="orc")`
     reads files, and `Table(name=..., format="bigquery", options={...})` loads
     the name through a connector that is on the class path.
+
+    `where` is a fixed predicate on the stored columns, such as a bound on a
+    partition column that is not among the declared ones; it prunes partitions.
     """
 
     name: str | None = None
     path: str | None = None
     format: str | None = None
     options: dict[str, str] = field(default_factory=dict)
+    where: str | None = None
 
     def read(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         if (self.name is None) == (self.path is None):
             raise ValueError("give a table either a name or a path")
+        rows = self._load(spark, schema)
+        return schemas.conform(rows.where(self.where) if self.where else rows, schema)
+
+    def _load(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         if self.name and not self.format:
-            return schemas.conform(spark.table(self.name), schema)
+            return spark.table(self.name)
         kind = self.format or "parquet"
         reader = spark.read.format(kind).options(**self.options)
         if kind in _UNTYPED:
             reader = reader.schema(schema)
-        return schemas.conform(reader.load(self.name or self.path), schema)
+        return reader.load(self.name or self.path)
 
 
 @dataclass(frozen=True)

@@ -26,6 +26,16 @@ def test_files_by_path(spark, tmp_path, form):
     )
 
 
+def test_partition_bounds(spark, tmp_path):
+    rows = [ROW, ROW | {"session_id": "t"}]
+    df = detections(spark, rows).withColumn("part", F.col("session_id"))
+    df.write.partitionBy("part").parquet(str(tmp_path / "d"))
+    table = tables.Table(path=str(tmp_path / "d"), where="part >= 't'")
+    kept = tables.scan_detections(spark, table)
+    assert [r.session_id for r in kept.collect()] == ["t"]
+    assert len(kept.inputFiles()) >= 1 and "part" not in kept.columns
+
+
 def test_catalog_tables(spark):
     detections(spark, [ROW]).createOrReplaceTempView("some_detections")
     assert tables.scan_detections(spark, tables.Table(name="some_detections")).count() == 1

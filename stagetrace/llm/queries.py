@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagetrace.llm import exact_dedup, lines, mixing, sharding, simhash
+from stagetrace.llm import exact_dedup, language, lines, mixing, sampling, sharding, simhash, token_order, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,26 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document, and whether they decode to its text."""
+    return sampling.sample_segmentations(documents(spark, sf_dir))
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences in training order, as the shards that were written hold them."""
+    path = token_order.write_shards(documents(spark, sf_dir))
+    out = token_order.read_shards(spark, path)
+    return out.select("slot", "shard", F.col("doc").alias("doc_id"), "sequence", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those not held out."""
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    out = language.identify(docs, language.fit(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has."""
     out = lines.dedup_lines(documents(spark, sf_dir))
@@ -55,6 +75,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, with the nearest examples."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    out = toxicity.score_documents(docs, toxicity.training_rows(docs, labels))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "neighbours", "similarities")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates."""
     out = simhash.near_duplicates(documents(spark, sf_dir))
@@ -62,7 +91,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_exact_dedup, op5_line_dedup, op6_kd_shards, op7_source_mix, op10_simhash)
+    f.__name__: f for f in (
+        op1_exact_dedup, op2_piece_sampling, op3_token_shards, op4_language, op5_line_dedup, op6_kd_shards,
+        op7_source_mix, op9_toxicity, op10_simhash,
+    )
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"

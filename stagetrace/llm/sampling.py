@@ -39,6 +39,9 @@ LITERAL_BLANK = 0x120000
 MOST_WORD = 256
 BLOCK_CHARS = 2_000_000
 NONE = 0xFFFF
+#: Uniform numbers of 53 bits give Gumbel noise below NOISE; a set whose log-probability is
+#: under -DEPTH has a bound under NOISE - DEPTH.
+NOISE, DEPTH = 37.5, 80.0
 _BASE = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 20
@@ -76,6 +79,21 @@ class Vocabulary:
         return cls(pieces, raw, normal, byte_ids)
 
 
+@dataclass
+class Edges:
+    """Lattices of words: `node` has the first node of each word, `first` and `count` the
+    edges of each node; an edge has its piece and the piece's length, the log of its
+    conditional probability, and the sum of these probabilities up to it in its node."""
+
+    node: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    piece: np.ndarray
+    size: np.ndarray
+    logp: np.ndarray
+    upto: np.ndarray
+
+
 class Lattices:
     """Looks up pieces by their hash; a hit is checked against the whole hash of 64 bits,
     which differs for all pieces."""
@@ -121,55 +139,75 @@ class Lattices:
             got[again] = np.where(self.sorted[at] == h[again], self.sorted_ids[at], len(self.weight))
         return got
 
-    def build(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
-        """Lattices of the words codes[start : start + length], node after node.
+    def build(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Edges:
+        """Lattices of the words codes[start : start + length].
 
-        Node n of a word stands before its n-th character, and one after its last.  Gives
-        the first node of each word; and for each node and length of a piece that starts
-        there its id, its conditional probability, and the sum of these up to it.
+        Node n of a word stands before its n-th character, and one after its last.
         """
         first = np.cumsum(lengths + 1) - (lengths + 1)
         n = int((lengths + 1).sum())
         left = np.repeat(first + lengths, lengths + 1) - np.arange(n)  # characters from the node on
         at = np.repeat(starts - first, lengths + 1) + np.arange(n)
-        weight = np.full((n, self.most), -np.inf, dtype=np.float32)
-        piece = np.full((n, self.most), NONE, dtype=np.uint16)
-        nodes = np.flatnonzero(left > 0)
-        h = np.zeros(len(nodes), dtype=np.uint64)
-        for k in range(self.most):
-            if k:
-                stay = left[nodes] > k
-                nodes, h = nodes[stay], h[stay]
-            h = h * _BASE + codes[at[nodes] + k].astype(np.uint64) + np.uint64(1)
-            got = self.find(h)
-            hit = got < len(self.weight)
-            own = nodes[hit]
-            weight[own, k] = self.weight[got[hit]]
-            piece[own, k] = got[hit]
+        # nodes by their distance from the word's end: those with k characters left are a tail
+        nodes = np.argsort(left.astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(left, minlength=1))
+        place = at[nodes]
+        h = np.zeros(n, dtype=np.uint64)
+        found = []
+        for k in range(min(self.most, len(ends) - 1)):
+            tail = int(ends[k])
+            c = codes[place[tail:] + k]
+            h[tail:] = h[tail:] * _BASE + c.astype(np.uint64) + np.uint64(1)
+            got = self.find(h[tail:])
+            hit = np.flatnonzero(got < len(self.weight))
+            piece, weight = got[hit].astype(np.uint16), self.weight[got[hit]]
             if k == 0:  # characters without a piece fall back to bytes
-                lone = nodes[~hit]
-                c = codes[at[lone]]
-                weight[lone, 0] = self.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)).astype(np.float32)
-                plain = c < 0x80
-                piece[lone[plain], 0] = self.vocabulary.byte_ids[c[plain]]
+                ids = self.vocabulary.byte_ids[np.minimum(c, 0x7F)].astype(np.uint16)
+                ids[c > 0x7F] = NONE
+                n_bytes = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+                piece, weight = np.where(got < len(self.weight), got, ids).astype(np.uint16), np.append(self.weight, np.float32(0))[got]
+                weight = np.where(got < len(self.weight), weight, self.byte_weight * n_bytes.astype(np.float32))
+                hit = np.arange(len(got))
+            found.append((hit + tail, piece, weight))
+        # edges by node, the longest piece first
+        edge_count = np.bincount(np.concatenate([f[0] for f in found]), minlength=n) if found else np.zeros(n, np.int64)
+        edge_first = np.cumsum(edge_count) - edge_count
+        fill = edge_first.copy()
+        total = int(edge_count.sum())
+        piece, weight, size = np.zeros(total, np.uint16), np.zeros(total), np.zeros(total, np.uint8)
+        for k in range(len(found) - 1, -1, -1):
+            own, ids, w = found[k]
+            to = fill[own]
+            piece[to], weight[to], size[to] = ids, w, k + 1
+            fill[own] += 1
         # log of the summed weight of all ways to the word's end
-        beta = np.zeros(n + self.most)
-        order = np.argsort(left.astype(np.uint16), kind="stable")
-        ends = np.cumsum(np.bincount(left, minlength=1))
-        reach = np.arange(1, self.most + 1)
+        beta = np.zeros(n)
+        source = np.repeat(nodes, edge_count)
+        target = source + size
         for d in range(1, len(ends)):
-            own = order[ends[d - 1] : ends[d]]
-            w = min(d, self.most)
-            ways = weight[own, :w] + beta[own[:, None] + reach[:w]]
-            top = ways.max(axis=1)
-            beta[own] = top + np.log(np.exp(ways - top[:, None]).sum(axis=1))
-        for k in range(self.most):  # in place, to spare memory
-            weight[:, k] += (beta[k + 1 : n + k + 1] - beta[:n]).astype(np.float32)
-        share = np.exp(weight, out=weight)
-        upto = np.cumsum(share, axis=1)
-        last = self.most - 1 - np.argmax(share[:, ::-1] > 0, axis=1)
-        upto[np.arange(self.most) >= last[:, None]] = 2.0  # a draw near 1 takes the last piece
-        return first, piece, share, upto
+            lo, hi = int(ends[d - 1]), int(ends[d])
+            if lo == hi:
+                continue
+            cut = edge_first[lo:hi]
+            e = slice(int(cut[0]), int(cut[-1] + edge_count[hi - 1]))
+            ways = weight[e] + beta[target[e]]
+            top = np.maximum.reduceat(ways, cut - cut[0])
+            ways -= np.repeat(top, edge_count[lo:hi])
+            beta[nodes[lo:hi]] = top + np.log(np.add.reduceat(np.exp(ways, out=ways), cut - cut[0]))
+        logs = weight
+        logs += beta[target]
+        logs -= beta[source]
+        share = np.exp(logs)
+        upto = np.cumsum(share)
+        with_edges = np.flatnonzero(edge_count)
+        base = np.r_[0.0, upto][edge_first[with_edges]]
+        upto -= np.repeat(base, edge_count[with_edges])
+        upto[(edge_first + edge_count)[with_edges] - 1] = 2.0  # a draw near 1 takes the last piece
+        at_node = np.zeros(n, dtype=np.int32)
+        at_node[nodes] = edge_first
+        n_edges = np.zeros(n, dtype=np.int32)
+        n_edges[nodes] = edge_count
+        return Edges(first, at_node, n_edges, piece, size, np.minimum(logs, 0.0).astype(np.float32), upto.astype(np.float32))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -235,59 +273,71 @@ class Block:
         odd = np.flatnonzero(~same)  # two words with one hash: a kind of their own
         kind[odd] = len(at) + np.arange(len(odd))
         at = np.r_[at, odd]
-        first, self.piece, self.share, self.upto = self.lattices.build(codes, starts[at], size[at])
-        self.word_node = first[kind]
+        self.edges = self.lattices.build(codes, starts[at], size[at])
         # the node of each character
-        self.node = (np.repeat(self.word_node, size) + place).astype(np.int32)
+        self.node = (np.repeat(self.edges.node[kind], size) + place).astype(np.int32)
         self.word_doc = self.doc[starts] if len(starts) else np.zeros(0, np.int32)
 
     def _complete(self, taken: np.ndarray, at: np.ndarray, end: np.ndarray, draw: int) -> None:
-        """Draw pieces from the characters `at` to the ends of their words."""
+        """Draw edges from the characters `at` to the ends of their words."""
+        first, upto, size = self.edges.first, self.edges.upto, self.edges.size
         while len(at):
             doc = self.doc[at]
-            u = _uniform(self.seeds[doc], draw, at - self.start[doc])
-            size = (self.upto[self.node[at]] <= u[:, None]).sum(axis=1) + 1
-            taken[at] = size
-            at = at + size
+            u = _uniform(self.seeds[doc], draw, at - self.start[doc]).astype(np.float32)
+            edge = first[self.node[at]]
+            more = np.flatnonzero(upto[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[upto[edge[more]] <= u[more]]
+            taken[at] = edge
+            at = at + size[edge]
             on = at < end
             at, end = at[on], end[on]
 
     def _path(self, taken: np.ndarray, top: np.ndarray, diverged: np.ndarray, draw: int) -> dict:
         """A path of every document, and the bounds of the sets that turn off after it diverged
         from an earlier path; `top` is its own perturbed value."""
-        at = np.flatnonzero(taken)
-        size, doc, node = taken[at].astype(np.int64), self.doc[at], self.node[at]
-        p = self.share[node, size - 1].astype(np.float64)
-        logs = np.log(np.minimum(p, 1.0))
+        at = np.flatnonzero(taken >= 0)
+        edge, doc = taken[at], self.doc[at]
+        logs = self.edges.logp[edge].astype(np.float64)
         total = np.cumsum(logs)
         first = np.searchsorted(doc, np.arange(self.n))
         base = np.r_[0.0, total][first]
-        before = total - logs - base[doc]
+        before = total - logs
+        before -= np.repeat(base, np.diff(np.r_[first, len(at)]))
         ends = np.r_[first[1:], len(at)]
-        path = {"at": at, "size": size, "doc": doc, "first": first, "ends": ends, "top": top, "logp": np.r_[0.0, total][ends] - base, "before": before}
-        path["barred"] = (np.int64(1) << (size - 1))
+        path = {"at": at, "edge": edge, "doc": doc, "first": first, "ends": ends, "top": top, "draw": draw}
+        path |= {"logp": np.r_[0.0, total][ends] - base, "before": before, "logs": logs, "taken": taken}
+        path["after"] = diverged
+        path["barred"] = np.int64(1) << (edge - self.edges.first[self.node[at]]).astype(np.int64)
         path["bound"] = np.full(len(at), -np.inf)
-        own = np.flatnonzero(at > diverged[doc])
-        self._bounds(path, own, p[own], top, draw)
+        # as bounds exceed the log-probability of their set by less than NOISE, later ones
+        # are only drawn where they might win
+        self._bounds(path, np.flatnonzero((before > -DEPTH) & (at > diverged[doc])))
         return path
 
-    def _bounds(self, path: dict, steps: np.ndarray, gone: np.ndarray, top: np.ndarray, draw: int) -> None:
-        """Bounds of the sets that turn off at these steps; `gone` is the share that is not in them."""
+    def _bounds(self, path: dict, steps: np.ndarray) -> None:
+        """Bounds of the sets that turn off at these steps."""
+        rest = -np.expm1(path["logs"][steps])
+        # a node with one edge has no other way, whatever rounding says
+        rest[self.edges.count[self.node[path["at"][steps]]] == 1] = 0.0
+        self._draw(path, steps, rest, path["top"][path["doc"][steps]])
+
+    def _draw(self, path: dict, steps: np.ndarray, rest: np.ndarray, top: np.ndarray) -> None:
         at, doc = path["at"][steps], path["doc"][steps]
-        rest = 1.0 - gone
         with np.errstate(divide="ignore"):
-            location = path["before"][steps] + np.log(np.where(rest > 1e-6, rest, 0.0))
-        u = _uniform(self.seeds[doc], 1000 + draw, at - self.start[doc])
-        path["bound"][steps] = _below(location, top[doc], u)
+            location = path["before"][steps] + np.log(rest)
+        u = _uniform(self.seeds[doc], 1000 + 64 * path["draw"], at - self.start[doc])
+        path["bound"][steps] = _below(location, top, u)
 
     def search(self, k: int) -> tuple[list[dict], np.ndarray]:
         """Up to k paths of each document by falling perturbed value, and the value after the last."""
-        zero = np.zeros(self.n)
-        taken = np.zeros(len(self.codes), dtype=np.uint8 if MOST_WORD <= 256 else np.uint16)
+        taken = np.full(len(self.codes), -1, dtype=np.int32)
         self._complete(taken, self.word_start, self.word_start + self.word_size, 0)
         u = _uniform(self.seeds, 2000, np.zeros(self.n, np.int64))
         top = -np.log(-np.log(u))
-        paths = [self._path(taken, top, zero - 1, 0) | {"taken": taken, "has": np.ones(self.n, bool)}]
+        paths = [self._path(taken, top, np.full(self.n, -1), 0) | {"has": np.ones(self.n, bool)}]
+        deep = np.zeros(self.n, dtype=bool)
         while True:
             best, source, step = np.full(self.n, -np.inf), np.full(self.n, -1), np.full(self.n, -1)
             for i, path in enumerate(paths):
@@ -301,39 +351,51 @@ class Block:
                 where[path["doc"][hits]] = hits
                 more = most > best
                 best[more], source[more], step[more] = most[more], i, where[more]
+            low = (best < NOISE - DEPTH) & ~deep
+            if low.any():  # a set beyond DEPTH might win here
+                for path in paths:
+                    late = low[path["doc"]] & (path["before"] <= -DEPTH) & (path["at"] > path["after"][path["doc"]])
+                    self._bounds(path, np.flatnonzero(late))
+                deep |= low
+                continue
             if len(paths) == k:
                 return paths, best
             paths.append(self._open(paths, best, source, step, len(paths)))
 
     def _open(self, paths: list[dict], best: np.ndarray, source: np.ndarray, step: np.ndarray, draw: int) -> dict:
         """The path whose perturbed value is the best bound of each document."""
-        taken = np.zeros(len(self.codes), dtype=paths[0]["taken"].dtype)
+        edges = self.edges
+        taken = np.full(len(self.codes), -1, dtype=np.int32)
         turn = np.full(self.n, -1)
         for i, path in enumerate(paths):
             docs = np.flatnonzero(source == i)
             if not len(docs):
                 continue
-            at = path["at"][step[docs]]
+            steps = step[docs]
+            at = path["at"][steps]
             turn[docs] = at
-            share = self.share[self.node[at]].astype(np.float64)
-            barred = (path["barred"][step[docs], None] >> np.arange(share.shape[1])) & 1
-            share[barred == 1] = 0.0
+            node = self.node[at]
+            nth = np.arange(int(edges.count[node].max()))
+            there = nth < edges.count[node][:, None]
+            ways = np.minimum(edges.first[node][:, None] + nth, len(edges.logp) - 1)
+            share = np.where(there, np.exp(edges.logp[ways].astype(np.float64)), 0.0)
+            share[(path["barred"][steps, None] >> nth) & 1 == 1] = 0.0
             upto = np.cumsum(share, axis=1)
             u = _uniform(self.seeds[docs], 3000 + draw, at - self.start[docs]) * upto[:, -1]
-            size = np.minimum((upto <= u[:, None]).sum(axis=1), share.shape[1] - 1)
-            # rounding must not lead to a piece that is barred
-            size = np.where(share[np.arange(len(docs)), size] > 0, size, share.argmax(axis=1))
-            path["barred"][step[docs]] |= np.int64(1) << size
-            gone = np.ones(len(docs)) - (upto[:, -1] - share[np.arange(len(docs)), size])
-            self._bounds(path, step[docs], gone, best, draw)
+            take = np.minimum((upto <= u[:, None]).sum(axis=1), len(nth) - 1)
+            # rounding must not lead to an edge that is barred
+            take = np.where(share[np.arange(len(docs)), take] > 0, take, share.argmax(axis=1))
+            path["barred"][steps] |= np.int64(1) << take
+            share[np.arange(len(docs)), take] = 0.0
+            self._draw(path, steps, share.sum(axis=1), best[docs])
             limit = np.full(self.n, -1)
             limit[docs] = at
             head = np.flatnonzero(np.arange(len(taken)) < limit[self.doc])
             taken[head] = path["taken"][head]
-            taken[at] = size + 1
+            taken[at] = edges.first[node] + take
         has = source >= 0
         at = turn[has]
-        after = at + taken[at]
+        after = at + edges.size[taken[at]]
         word = np.searchsorted(self.word_start, at, side="right") - 1
         end = self.word_start[word] + self.word_size[word]
         inside = after < end
@@ -344,12 +406,12 @@ class Block:
             np.r_[end[inside], self.word_start[later] + self.word_size[later]],
             draw,
         )
-        return self._path(taken, best, turn, draw) | {"taken": taken, "has": has}
+        return self._path(taken, best, turn, draw) | {"has": has}
 
     def ids(self, path: dict) -> list[bytes]:
         """Ids of each document, two bytes an id."""
-        at, size = path["at"], path["size"]
-        ids = self.piece[self.node[at], size - 1]
+        at = path["at"]
+        ids = self.edges.piece[path["edge"]]
         lone = np.flatnonzero(ids == NONE)
         if not len(lone):
             cut = np.r_[path["first"], len(ids)]
@@ -417,7 +479,6 @@ def sample_segmentations(
     seed: int = SEED,
     sharpness: float = SHARPNESS,
     vocabulary: Vocabulary | None = None,
-    check: bool = True,
 ) -> DataFrame:
     """Up to k rows per row of docs: key, rank, ids, n_pieces, log_prob, perturbed, log_inclusion, round_trip.
 
@@ -443,8 +504,9 @@ def sample_segmentations(
                 rows = out.pop("row") + start
                 out.insert(0, "key", [keys[i] for i in rows])
                 out["n_pieces"] = [len(x) // 2 for x in out["ids"]]
-                same = [decode(x, sent.value) == texts[i] for x, i in zip(out["ids"], rows, strict=True)] if check else None
-                out["round_trip"] = same
+                whole = [f" {t}".encode("utf-8", "surrogatepass") if t else b"" for t in texts[start:end]]
+                back = decode_all(out["ids"].tolist(), sent.value)
+                out["round_trip"] = [b == whole[i - start] for b, i in zip(back, rows, strict=True)]
                 yield out
 
     rows = docs.select(F.col(key).alias("key"), F.col(key).cast("string").alias("seed_key"), F.col(text).alias("text"))
@@ -456,3 +518,16 @@ def decode(ids: bytes, vocabulary: Vocabulary) -> str:
     """The text of ids, two bytes an id, without the blank that leads it."""
     raw = b"".join(map(vocabulary.raw.__getitem__, np.frombuffer(ids, dtype="<u2").tolist()))
     return raw[1:].decode("utf-8", "surrogatepass")
+
+
+def decode_all(ids: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """The texts of many lists of ids, as UTF-8, with the blank that leads each."""
+    size = np.array([len(r) for r in vocabulary.raw])
+    start = np.cumsum(size) - size
+    table = np.frombuffer(b"".join(vocabulary.raw), np.uint8)
+    flat = np.frombuffer(b"".join(ids), dtype="<u2")
+    own = size[flat]
+    upto = np.cumsum(own)
+    raw = table[np.repeat(start[flat] - (upto - own), own) + np.arange(int(own.sum()))].tobytes()
+    cut = np.r_[0, upto][np.cumsum([0, *(len(i) // 2 for i in ids)])].tolist()
+    return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagetrace.llm import exact_dedup, language, lines, mixing, sampling, sharding, simhash, token_order, toxicity
+from stagetrace.llm import exact_dedup, iblt, language, lines, mixing, sampling, sharding, simhash, token_order, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return iblt.document_fingerprints(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, with the nearest examples."""
     docs = documents(spark, sf_dir)
@@ -93,7 +98,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_piece_sampling, op3_token_shards, op4_language, op5_line_dedup, op6_kd_shards,
-        op7_source_mix, op9_toxicity, op10_simhash,
+        op7_source_mix, op8_iblt_fingerprints, op9_toxicity, op10_simhash,
     )
 }
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,30 +52,31 @@ class Cut:
         return max(0, self.bits - BITS)
 
     def row(self) -> tuple:
-        return self.node, self.right, self.dim, self.at, self.low, self.low + (1 << self.bits) - 1, self.shift, self.target - self.before
-
-    def narrow(self, bin_: int, below: int, weight: int, slack: float) -> None:
-        """Take the bin that holds the target, and settle if one of its ends is near enough."""
-        size = 1 << self.shift
-        miss = self.target - self.before - below
-        self.low += bin_ * size
-        self.before += below
-        over = weight - miss
-        if min(abs(miss), abs(over)) <= slack or (size == 1 and self.at >= 0):
-            self.low += size if abs(over) < abs(miss) else 0
+        high = min(self.low + (1 << self.bits), 1 << KEY_BITS) - 1
+        return self.node, self.right, self.dim, self.at, self.low, high, self.shift, float(self.target - self.before)
+
+    def narrow(self, found: Row, slack: float) -> None:
+        """Go on in the bin that holds the target: its rows, their keys' ends, their weight
+        and the weight below.  Settle if one of its ends is near enough, or if there is but
+        one row, or one key, to put on either side."""
+        miss = self.target - self.before - (found["cum"] - found["sum"])
+        over = found["sum"] - miss
+        self.before += found["cum"] - found["sum"]
+        self.low, one_key = found["low"], found["low"] == found["high"]
+        if min(abs(miss), abs(over)) <= slack or found["n"] == 1 or (one_key and self.at >= 0):
+            self.low = found["high"] + 1 if abs(over) < abs(miss) else found["low"]
             self.settled = True
-        elif size == 1:  # one key of the dimension is too heavy: divide the rows that share it
+        elif one_key:  # too heavy: divide the rows that share it
             self.at, self.low, self.bits = self.low, 0, KEY_BITS
         else:
-            self.bits = self.shift
-
-
-_CUTS = "_node int, _right int, _dim int, _at long, _low long, _high long, _shift int, _target double"
+            self.bits = (found["high"] - found["low"]).bit_length()
 
 
 def _table(spark: SparkSession, cuts: list[Cut]) -> DataFrame:
-    """At most one row per shard."""
-    return F.broadcast(spark.createDataFrame([c.row() for c in cuts], _CUTS))
+    """At most one row per shard, as literals: no job runs to make it."""
+    rows = ", ".join("({}, {}, {}, {}L, {}L, {}L, {}, {!r}D)".format(*c.row()) for c in cuts)
+    names = "_node, _right, _dim, _at, _low, _high, _shift, _target"
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS cuts({names})"))
 
 
 def _round(rows: DataFrame, cuts: list[Cut], slack: float) -> None:
@@ -87,19 +88,22 @@ def _round(rows: DataFrame, cuts: list[Cut], slack: float) -> None:
         .withColumn("_own", own)
         .where(F.col("_own").between(F.col("_low"), F.col("_high")))
         .groupBy("_node", F.expr("shiftright(_own - _low, _shift)").alias("_bin"))
-        .agg(F.sum("size").alias("_sum"), F.first("_target").alias("_target"))
+        .agg(
+            F.sum("size").alias("sum"),
+            F.count("*").alias("n"),
+            F.min("_own").alias("low"),
+            F.max("_own").alias("high"),
+            F.first("_target").alias("_target"),
+        )
     )
     upto = Window.partitionBy("_node").orderBy("_bin")  # at most 2 ** BITS rows
-    cum = bins.withColumn("_cum", F.sum("_sum").over(upto))
-    last = Window.partitionBy("_node")
-    holds = (F.col("_cum") >= F.col("_target")) | (F.col("_bin") == F.max("_bin").over(last))
-    hit = cum.withColumn("_holds", holds).where("_holds").groupBy("_node").agg(
-        F.min_by(F.struct("_bin", "_cum", "_sum"), "_bin").alias("_hit")
-    )
-    by_node = {r["_node"]: r["_hit"] for r in hit.collect()}
+    cum = bins.withColumn("cum", F.sum("sum").over(upto))
+    last = F.max("_bin").over(Window.partitionBy("_node"))
+    holds = cum.withColumn("_holds", (F.col("cum") >= F.col("_target")) | (F.col("_bin") == last)).where("_holds")
+    hit = holds.groupBy("_node").agg(F.min_by(F.struct("cum", "sum", "n", "low", "high"), "_bin").alias("hit"))
+    by_node = {r["_node"]: r["hit"] for r in hit.collect()}
     for cut in cuts:
-        found = by_node[cut.node]
-        cut.narrow(found["_bin"], found["_cum"] - found["_sum"], found["_sum"], slack)
+        cut.narrow(by_node[cut.node], slack)
 
 
 def _split(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
@@ -165,15 +169,18 @@ def kd_shards(
             .groupBy("_node")
             .agg(
                 F.sum("size").alias("_sum"),
-                *((F.max(F.element_at("_keys", i + 1)) - F.min(F.element_at("_keys", i + 1))).alias(f"_width{i}") for i in range(len(names))),
+                *(f(F.element_at("_keys", i + 1)).alias(f"_{f.__name__}{i}") for i in range(len(names)) for f in (F.min, F.max)),
             )
             .collect()
         )
         cuts = []
         for s in stats:
             k = leaves[s["_node"]]
-            widths = [s[f"_width{i}"] for i in range(len(names))]
-            cuts.append(Cut(s["_node"], s["_node"] + k // 2, widths.index(max(widths)) + 1, s["_sum"] * (k // 2) / k))
+            widths = [s[f"_max{i}"] - s[f"_min{i}"] for i in range(len(names))]
+            dim = widths.index(max(widths))
+            cut = Cut(s["_node"], s["_node"] + k // 2, dim + 1, s["_sum"] * (k // 2) / k)
+            cut.low, cut.bits = s[f"_min{dim}"], widths[dim].bit_length()
+            cuts.append(cut)
         while todo := [c for c in cuts if not c.settled]:
             _round(placed, todo, slack)
         placed = _split(placed, cuts)

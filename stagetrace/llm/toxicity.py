@@ -98,8 +98,10 @@ class Terms:
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
+        known = self.known.get
         for word, n in word_counts(text).items():
-            for t in self.of_word(word):
+            terms = known(word)
+            for t in self.of_word(word) if terms is None else terms:
                 out[t] = out.get(t, 0) + n
         return out
 

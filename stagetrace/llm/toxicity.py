@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ LEAST_CHI2 = 30.0
 #: Beginnings of words that count as terms.
 PREFIXES = (4, 5)
 NEIGHBOURS = 16
-BLOCK = 64
+BLOCK = 512
 #: Pseudo-votes for the share of label 1.
 PRIOR_VOTES = 1.0
 EVIDENCE = 5
@@ -40,8 +40,8 @@ _WORD = re.compile(r"\w+")
 RESULT = "score double, neighbours array<long>, similarities array<double>"
 
 
-def word_counts(text: str | None) -> Counter[str]:
-    return Counter(_WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
 
 
 def terms_of(word: str) -> list[str]:
@@ -66,7 +66,7 @@ def _chosen_terms(examples: DataFrame, most: int) -> list[str]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                found[toxic].update({t for w in word_counts(text) for t in terms_of(w)})
+                found[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)})
         for toxic, terms in enumerate(found):
             yield pd.DataFrame({"term": list(terms), "toxic": toxic, "n": list(terms.values())})
 
@@ -98,31 +98,34 @@ class Terms:
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        known = self.known.get
-        for word, n in word_counts(text).items():
+        known, words = self.known.get, words_of(text)
+        for word in set(words):
             terms = known(word)
             for t in self.of_word(word) if terms is None else terms:
-                out[t] = out.get(t, 0) + n
+                out[t] = out.get(t, 0) + words.count(word)
         return out
 
 
-def document_frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many documents there are."""
+def term_counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """(key, at, n) of every row of docs: the chosen terms it has, and how often."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, found, n = Terms(terms), Counter(), 0
+        own = Terms(terms)
         for frame in frames:
-            n += len(frame)
-            for t in frame["text"]:
-                found.update(own.counts(t).keys())
-        found[len(terms)] = n
-        yield pd.DataFrame({"term": list(found), "n": list(found.values())})
+            counts = [own.counts(t) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(count, f"key {kind}, at array<int>, n array<int>")
 
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(count, "term int, n long")
-    out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r["term"]] = r["n"]
-    return out[:-1], int(out[-1])
+
+def document_frequencies(vectors: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are."""
+    # the term -1 stands for the document itself
+    met = vectors.select(F.explode(F.concat("at", F.array(F.lit(-1)))).alias("term")).groupBy("term").count()
+    found = {r["term"]: r["count"] for r in met.collect()}
+    return np.array([found.get(t, 0) for t in range(terms)], dtype=np.int64), found.get(-1, 0)
 
 
 @dataclass
@@ -199,27 +202,27 @@ def build_index(
     text: str = "text",
     most_examples: int = MOST_EXAMPLES,
     most_terms: int = MOST_TERMS,
-) -> Index:
-    """The index of a sample of at most most_examples training rows."""
+    keep: bool = False,
+) -> tuple[Index, DataFrame]:
+    """The index of a sample of at most most_examples training rows, and the term counts of
+    all documents, which are saved if they are to be kept."""
     training = saved(training, "labelled")
     sample = bounded_sample(training, "toxic", most_examples, SEED, key)
     # at most most_examples rows
     own = F.broadcast(sample.select(F.col(key).alias("_key"), "toxic"))
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(own, F.col("id") == F.col("_key"))
     examples = saved(rows.select("id", "text", "toxic").dropDuplicates(["id"]), "examples")
+    # a few rows of long texts; all tasks take part
+    examples = examples.repartition(8)
     terms = _chosen_terms(examples, most_terms)
-    found, n_docs = document_frequencies(docs, terms, text)
+    vectors = term_counts(docs, terms, key, text)
+    vectors = saved(vectors, "term-counts") if keep else vectors
+    found, n_docs = document_frequencies(vectors, len(terms))
     idf = np.log((1.0 + n_docs) / (1.0 + found)) + 1.0
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = Terms(terms)
-        for frame in frames:
-            counts = [mine.counts(t) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
-
-    got = examples.mapInPandas(count, "id long, toxic int, at array<int>, n array<int>").toPandas()
+    got = term_counts(examples, terms, "id", "text").join(examples.select(F.col("id").alias("key"), "toxic"), "key")
     full = training.groupBy("toxic").count().collect()
-    return _index(terms, idf, got, {r["toxic"]: r["count"] for r in full})
+    got = got.withColumnRenamed("key", "id").toPandas().sort_values("id", ignore_index=True)
+    return _index(terms, idf, got, {r["toxic"]: r["count"] for r in full}), vectors
 
 
 def _index(terms: list[str], idf: np.ndarray, got: pd.DataFrame, full: dict[int, int]) -> Index:
@@ -261,11 +264,15 @@ def scored(docs: DataFrame, index: Index, text: str = "text") -> Column:
         own = sent.value
         mine = Terms(own.terms)
         for batch in texts:
-            yield pd.DataFrame([own.score(mine.counts(t)) for t in batch], columns=["score", "neighbours", "similarities"])
+            yield _results(own.score(mine.counts(t)) for t in batch)
 
     return F.pandas_udf(run, RESULT)(F.col(text))
 
 
+def _results(rows: Iterable[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["score", "neighbours", "similarities"])
+
+
 def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
     """A row per row of docs: key, score, predicted, neighbours, similarities.
 
@@ -274,13 +281,24 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
     at all every score is 0.  Of examples as near as the k-th, all vote.  Only the text
     enters a score.  Further columns are not looked at.
     """
-    found = scored(docs, build_index(docs, training, key, text, **bounds), text)
-    out = docs.select(F.col(key).alias(key), found.alias("_found"))
-    return out.select(key, "_found.score", (F.col("_found.score") >= 0.5).cast("int").alias("predicted"), "_found.neighbours", "_found.similarities")
+    index, vectors = build_index(docs, training, key, text, keep=True, **bounds)
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_EXAMPLES and MOST_TERMS
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        for frame in frames:
+            counts = (dict(zip(a.tolist(), n.tolist(), strict=True)) for a, n in zip(frame["at"], frame["n"], strict=True))
+            out = _results(own.score(c) for c in counts)
+            out.insert(0, "key", frame["key"])
+            yield out
+
+    kind = docs.schema[key].dataType.simpleString()
+    out = vectors.mapInPandas(run, f"key {kind}, {RESULT}").withColumnRenamed("key", key)
+    return out.select(key, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
 
 
 def without_toxic(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
     """The rows of docs that score below 0.5, with their own columns; nothing is shuffled."""
-    index = build_index(docs, training, key, text, **bounds)
+    index, _ = build_index(docs, training, key, text, **bounds)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
     return whole.where(scored(whole, index, "_text")["score"] < 0.5).select("_doc.*")

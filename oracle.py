@@ -23,7 +23,8 @@ WITH stage1 AS (
   SELECT 'sess-' || CAST(event_id AS VARCHAR) AS session_id,
     CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(user_id % 27 AS VARCHAR) END AS farm_id,
     CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS camera_id,
-    ts AS processing_timestamp,
+    CASE WHEN event_id % 61 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_milliseconds(61259900)
+         ELSE ts END AS processing_timestamp,
     CASE event_type WHEN 'purchase' THEN 'animal_husbandry' WHEN 'error' THEN 'down_cow'
                     WHEN 'click' THEN 'quick_movements' ELSE 'no_event' END AS highest_probability_category,
     CAST(CAST(round(value * 100) AS BIGINT) % 1001 AS DOUBLE) / 1000.0 AS highest_probability_value,
@@ -111,6 +112,7 @@ def _keyed2(strict: bool = True, all_votes: bool = False) -> str:
     FROM stage2"""
 
 
+# The folder names, and in _keyed1 and _keyed2 the key patterns.
 _URL = r"""CASE WHEN {path} IS NOT NULL THEN {path}
       ELSE regexp_replace(regexp_replace({frame}, 'frames-to-analyze', 'video-to-analyze', 'g'), '\.jpg$', '.mp4') END"""
 
@@ -128,9 +130,12 @@ def _links(
     tail = ""
     if limit:
         tail = (
-            "ORDER BY s1.stage1_timestamp DESC, s1.session_id ASC, "
-            f"s2.stage2_inference_id ASC NULLS FIRST LIMIT {limit}"
+            "ORDER BY s1.stage1_timestamp DESC, s1.session_id NULLS FIRST, s1.camera_id NULLS FIRST, "
+            "s1.trigger_frame_uri NULLS FIRST, s2.stage2_inference_id NULLS FIRST, "
+            f"s2.stage2_timestamp NULLS FIRST, s2.video_filename NULLS FIRST LIMIT {limit}"
         )
+    if not strict:  # rows with both keys blank belong to nothing
+        on += " AND NOT (s2.blk_file = '' AND s2.video_timestamp_key = '')"
     return f"""{TABLES},
 keyed1 AS ({_keyed1(strict)} {where1}),
 keyed2 AS ({_keyed2(strict, all_votes)} {where2}),
@@ -157,12 +162,16 @@ def _day_links(filters: str = "", band: int = 1, camera: str | None = None, **mo
     return _links(where1, where2, **modes)
 
 
-_NEAR = "AND abs(CAST(s2.stage2_timestamp AS DATE) - CAST(s1.stage1_timestamp AS DATE)) <= 1"
+def _near(band: int = 1) -> str:
+    return f"AND abs(CAST(s2.stage2_timestamp AS DATE) - CAST(s1.stage1_timestamp AS DATE)) <= {band}"
 
 
-def _range_links(filters: str = "") -> str:
+_NEAR = _near()
+
+
+def _range_links(filters: str = "", band: int = 1, **modes) -> str:
     where1 = f"WHERE CAST(processing_timestamp AS DATE) BETWEEN DATE '{FIRST}' AND DATE '{LAST}' {filters}"
-    return _links(where1, "", _NEAR)
+    return _links(where1, "", _near(band), **modes)
 
 
 _ALL = "SELECT * REPLACE (CASE WHEN frame_uris IS NOT NULL THEN CAST(to_json(frame_uris) AS VARCHAR) END AS frame_uris) FROM linked"
@@ -184,21 +193,19 @@ _OF_TENANT = "AND farm_id IN (SELECT farm_id FROM farms WHERE tenant_id = '{}')"
 _ON_DAY = f"CAST(processing_timestamp AS DATE) = DATE '{DAY}'"
 _TENANT_LIST = f"""SELECT DISTINCT f.tenant_name AS label, f.tenant_id AS id
   FROM stage1 s JOIN farms f ON s.farm_id = f.farm_id WHERE {_ON_DAY} AND f.tenant_id <> ''"""
-_FARM_CUT = f"""(SELECT DISTINCT farm_id FROM stage1 WHERE {_ON_DAY} AND farm_id IS NOT NULL
-  ORDER BY farm_id LIMIT 100)"""
+_FARM_IDS = f"(SELECT DISTINCT farm_id FROM stage1 WHERE {_ON_DAY} AND farm_id IS NOT NULL)"
 
 
 def _farm_list(tenant: str | None = None) -> str:
     only = f"WHERE f.tenant_id = '{tenant}'" if tenant else ""
     return f"""SELECT coalesce(f.farm_name, c.farm_id) AS label, c.farm_id AS id
-      FROM {_FARM_CUT} c LEFT JOIN farms f ON c.farm_id = f.farm_id {only}"""
+      FROM {_FARM_IDS} c LEFT JOIN farms f ON c.farm_id = f.farm_id {only}"""
 
 
 def _camera_list(farm: str | None = None) -> str:
     only = f"AND farm_id = '{farm}'" if farm else ""
     return f"""SELECT coalesce(m.camera_name, c.camera_id) AS label, c.camera_id AS id
-      FROM (SELECT DISTINCT camera_id FROM stage1 WHERE {_ON_DAY} AND camera_id IS NOT NULL {only}
-            ORDER BY camera_id LIMIT 100) c LEFT JOIN cameras m ON c.camera_id = m.camera_id"""
+      FROM (SELECT DISTINCT camera_id FROM stage1 WHERE {_ON_DAY} AND camera_id IS NOT NULL {only}) c LEFT JOIN cameras m ON c.camera_id = m.camera_id"""
 
 
 def _list(entries: str) -> str:
@@ -241,7 +248,7 @@ def _status(raw: str) -> str:
 def _body(raw: str) -> str:
     clean = f"replace({raw}, '\\n', chr(10))"
     return f"""CASE {_status(raw)} WHEN 'json' THEN {clean}
-      WHEN 'text' THEN left(replace({clean}, '\\"', '"'), 2000) END"""
+      WHEN 'text' THEN replace({clean}, '\\"', '"') END"""
 
 
 def _details(where: str = "") -> str:
@@ -326,7 +333,7 @@ def statements() -> dict[str, str]:
       || coalesce((SELECT tenant_name FROM tenants WHERE tenant_id = '{TENANT}'), '{TENANT}')
       || ' | Farm: ' || coalesce((SELECT farm_name FROM farms WHERE farm_id = '{FARM}'), '{FARM}')
       || ' | Camera: ' || coalesce((SELECT camera_name FROM cameras WHERE camera_id = '{CAMERA}'), '{CAMERA}')"""
-    status = """SELECT results, CASE WHEN results > 0 THEN 'Found ' || results || ' results | ' || summary
+    status = """SELECT results, least(results, 100) AS on_page, CASE WHEN results > 0 THEN 'Found ' || results || ' results | ' || summary
       ELSE 'No results found. Filters: ' || summary END AS status FROM (SELECT
       (SELECT count(*) FROM linked) AS results, {} AS summary)"""
     uri = {"u": "uri"}
@@ -340,6 +347,11 @@ def statements() -> dict[str, str]:
     return {
         "scan_detections": detections,
         "scan_inferences": f"{TABLES} SELECT * REPLACE ({_array('model_votes')}) FROM stage2",
+        "scan_parsed_responses": f"""{TABLES} SELECT * REPLACE ({_array('frame_uris')},
+            '{{"session":"' || session_id || '"' || coalesce(',"forward":' || CAST(should_forward AS VARCHAR), '') || '}}'
+              AS gemini_raw_response) FROM stage1""",
+        "table_by_path": "SELECT event_id, event_type, value FROM events",
+        "table_by_connector": "SELECT event_id, event_type, value FROM events WHERE event_type = 'error'",
         "tenant_dim": f"{TABLES} SELECT * FROM tenants",
         "farm_dim": f"{TABLES} SELECT * FROM farms",
         "camera_dim": f"{TABLES} SELECT * FROM cameras",
@@ -367,6 +379,7 @@ def statements() -> dict[str, str]:
         "linked_by_empty_tenant": day(_OF_TENANT.format(EMPTY_TENANT)) + _ALL,
         "linked_farm_over_tenant": day(f"AND farm_id = '{FARM_OF_OTHER_TENANT}'") + _ALL,
         "linked_by_camera": day(f"AND camera_id = '{CAMERA}'", camera=CAMERA) + _ALL,
+        "linked_form_values": day(f"AND camera_id = '{CAMERA}' {_WORKING_HOURS}", camera=CAMERA) + _ALL,
         "linked_forwarded_only": day("AND should_forward") + _ALL,
         "linked_time_window": day(_WORKING_HOURS) + _ALL,
         "linked_time_window_micro": day(_MICRO_HOURS) + _ALL,
@@ -376,6 +389,8 @@ def statements() -> dict[str, str]:
         )
         + _ALL,
         "link_range": _range_links() + _ALL,
+        "link_range_verbatim": _range_links(strict=False) + _ALL,
+        "link_range_band2": _range_links(band=2) + _ALL,
         "link_range_time_window": _range_links(f"{_OF_TENANT.format(TENANT)} {_WORKING_HOURS}") + _ALL,
         "link_all_days": whole + _ALL,
         "link_all_days_salted": whole + _ALL,
@@ -401,12 +416,11 @@ def statements() -> dict[str, str]:
         "camera_facet_by_farm": TABLES + _list(_camera_list(FARM)),
         "farm_facet_site_config": TABLES + _list(
             f"""SELECT coalesce(n_name, c.farm_id) AS label, c.farm_id AS id
-            FROM {_FARM_CUT} c LEFT JOIN nation ON c.farm_id = CAST(n_nationkey AS VARCHAR)"""
+            FROM {_FARM_IDS} c LEFT JOIN nation ON c.farm_id = CAST(n_nationkey AS VARCHAR)"""
         ),
         "camera_facet_site_config": TABLES + _list(
             f"""SELECT coalesce(s_name, c.camera_id) AS label, c.camera_id AS id
-            FROM (SELECT DISTINCT camera_id FROM stage1 WHERE {_ON_DAY} AND camera_id IS NOT NULL AND farm_id = '{FARM}'
-                  ORDER BY camera_id LIMIT 100) c LEFT JOIN supplier ON c.camera_id = CAST(s_suppkey AS VARCHAR)"""
+            FROM (SELECT DISTINCT camera_id FROM stage1 WHERE {_ON_DAY} AND camera_id IS NOT NULL AND farm_id = '{FARM}') c LEFT JOIN supplier ON c.camera_id = CAST(s_suppkey AS VARCHAR)"""
         ),
         "load_filters": _lists(**three_lists),
         "after_tenant_choice": _lists(farm=_farm_list(TENANT), camera=_camera_list()),
@@ -418,9 +432,12 @@ def statements() -> dict[str, str]:
         "display_table": whole + _DISPLAY,
         "event_details": whole + _details(),
         "row_details": whole + _details(f"WHERE session_id = '{SESSION}'"),
+        "event_details_all_votes": _links(on=_NEAR, strict=False, all_votes=True) + _details(),
+        "row_details_all_votes": _links(on=_NEAR, strict=False, all_votes=True)
+        + _details(f"WHERE session_id = '{SESSION}'"),
         "linked_display": page + _DISPLAY,
-        "query_status": day(farm_camera_hours, limit=100) + status.format(summary),
-        "query_status_empty": day(_OF_TENANT.format(EMPTY_TENANT), limit=100)
+        "query_status": day(farm_camera_hours) + status.format(summary),
+        "query_status_empty": day(_OF_TENANT.format(EMPTY_TENANT))
         + status.format(f"'Date: {DAY} | Tenant: {EMPTY_TENANT}'"),
         "normalize_response": f"""SELECT id, {_status('raw')} AS status, {_body('raw')} AS body
             FROM ({_RAW_RESPONSES})""",

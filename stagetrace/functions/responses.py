@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The longest text shown for a response that is not JSON, and the
-# states a response can be in.
-SHOWN_CHARS = 2000
+# The states a response can be in.
 JSON, TEXT, ABSENT = "json", "text", "missing"
 
 _STRICT = {
@@ -61,8 +59,13 @@ def response_status(raw: Column) -> Column:
     )
 
 
-def response_text(raw: Column, status: Column) -> Column:
-    """Text to show: whole for JSON, unquoted and cut for anything else."""
+def response_text(raw: Column, status: Column, max_chars: int | None = None) -> Column:
+    """Text to show: as it is for JSON, unquoted for anything else.
+
+    With `max_chars` a text that is not JSON is cut to so many characters.
+    """
     clean = unescaped(raw)
-    plain = F.left(F.replace(clean, F.lit('\\"'), F.lit('"')), F.lit(SHOWN_CHARS))
+    plain = F.replace(clean, F.lit('\\"'), F.lit('"'))
+    if max_chars is not None:
+        plain = F.left(plain, F.lit(max_chars))
     return F.when(status == JSON, clean).when(status == TEXT, plain)

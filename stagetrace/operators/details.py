@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stagetrace.functions import text
 from stagetrace.functions.responses import ABSENT, response_status, response_text
 from stagetrace.operators.lookup import with_display_name
 
-# The lines of the text.
+# The lines of the text, and below the labels in them.
 LOCATION = "═══ Location ═══"
 STAGE1 = "═══ Stage 1 Results ═══"
 STAGE2 = "═══ Stage 2 Results ═══"
@@ -27,22 +28,40 @@ def _response(status: str, body: str) -> Column:
     return F.when(F.col(status) == ABSENT, F.lit(NO_RESPONSE)).otherwise(F.col(body))
 
 
-def normalize_response(df: DataFrame, raw: str, status: str, body: str) -> DataFrame:
+def normalize_response(
+    df: DataFrame, raw: str, status: str, body: str, max_chars: int | None = None
+) -> DataFrame:
     """Add the state of a raw response and the text to show for it."""
     return df.withColumn(status, response_status(F.col(raw))).withColumn(
-        body, response_text(F.col(raw), F.col(status))
+        body, response_text(F.col(raw), F.col(status), max_chars)
     )
 
 
-def event_details(linked: DataFrame, farms: DataFrame, cameras: DataFrame) -> DataFrame:
+def _as_text(df: DataFrame, column: str) -> DataFrame:
+    """A response that came parsed, as JSON text; an empty list of votes is none."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.StringType):
+        return df
+    shown = F.to_json(column)
+    if isinstance(kind, T.ArrayType):
+        shown = F.when(F.size(column) > 0, shown)
+    return df.withColumn(column, shown)
+
+
+def event_details(
+    linked: DataFrame, farms: DataFrame, cameras: DataFrame, max_chars: int | None = None
+) -> DataFrame:
     """`session_id`, `stage2_inference_id` and the details text of every row."""
     rows = linked.withColumns(
         {"farm_id": F.nullif("farm_id", F.lit("")), "camera_id": F.nullif("camera_id", F.lit(""))}
     )
     rows = with_display_name(rows, farms, "farm_id", "farm_name", "_farm")
     rows = with_display_name(rows, cameras, "camera_id", "camera_name", "_camera")
-    rows = normalize_response(rows, "stage1_raw_response", "_status1", "_body1")
-    rows = normalize_response(rows, "stage2_raw_response", "_status2", "_body2")
+    for stage in ("1", "2"):
+        raw = f"stage{stage}_raw_response"
+        rows = normalize_response(
+            _as_text(rows, raw), raw, f"_status{stage}", f"_body{stage}", max_chars
+        )
     blank = F.lit("")
     forwarded1 = text.shown_flag(F.col("stage1_should_forward"), text.YES, text.NO)
     forwarded2 = text.shown_flag(F.col("stage2_should_forward"), text.YES, text.NO)

@@ -68,30 +68,48 @@ def camera_dim(cameras: DataFrame, order: Sequence[str | Column] | None = None)
     )
 
 
-def _site_farms(configs: DataFrame) -> DataFrame:
-    farm = configs.select(F.explode("farms").alias("farm"))
+def _site_farms(configs: DataFrame, order: Sequence[str]) -> DataFrame:
+    farm = configs.select(*order, F.posexplode("farms").alias("_farm_at", "farm"))
     return farm.select(
+        *order,
+        "_farm_at",
         F.coalesce("farm.uuid", F.lit("")).alias("farm_id"),
         F.coalesce("farm.name", F.lit(UNKNOWN_FARM)).alias("farm_name"),
         F.col("farm.cameras").alias("cameras"),
     )
 
 
-def site_farms(configs: DataFrame) -> DataFrame:
-    """Farm dimension of site configuration documents."""
-    farms = _site_farms(configs).select("farm_id", "farm_name")
-    return latest_per_key(farms.where("farm_id <> ''"), "farm_id")
+def site_farms(configs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Farm dimension of site configuration documents.
 
+    Of several entries for a farm the last one counts: of the last document by the
+    columns `order`, and within it by position.  Entries that tie are told apart by
+    their values.
+    """
+    farms = _site_farms(configs, order).where("farm_id <> ''")
+    farms = farms.select(*order, "_farm_at", "farm_id", "farm_name")
+    last = latest_per_key(farms, "farm_id", [*order, "_farm_at", "farm_name"])
+    return last.select("farm_id", "farm_name")
+
+
+def site_cameras(configs: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Camera dimension of site configuration documents, with farm id and name.
 
-def site_cameras(configs: DataFrame) -> DataFrame:
-    """Camera dimension of site configuration documents, with farm id and name."""
-    cameras = _site_farms(configs).select(
-        "farm_id", "farm_name", F.explode("cameras").alias("camera")
+    Of several entries for a camera the last one counts, as for farms.
+    """
+    cameras = _site_farms(configs, order).select(
+        *order, "_farm_at", "farm_id", "farm_name",
+        F.posexplode("cameras").alias("_camera_at", "camera"),
     )
     rows = cameras.select(
+        *order,
+        "_farm_at",
+        "_camera_at",
         F.coalesce("camera.uuid", F.lit("")).alias("camera_id"),
         F.coalesce("camera.name", F.lit(UNKNOWN_CAMERA)).alias("camera_name"),
         "farm_name",
         "farm_id",
-    )
-    return latest_per_key(rows.where("camera_id <> ''"), "camera_id")
+    ).where("camera_id <> ''")
+    rank = [*order, "_farm_at", "_camera_at", "camera_name", "farm_name", "farm_id"]
+    last = latest_per_key(rows, "camera_id", rank)
+    return last.select("camera_id", "camera_name", "farm_name", "farm_id")

@@ -15,15 +15,12 @@ from stagetrace.functions.choices import ALL, chosen
 from stagetrace.operators.linkage import events_on_day
 from stagetrace.operators.lookup import with_display_name
 
-# Fixed value: entries a farm or camera list is cut to, by id.
-LIST_LIMIT = 100
-
 
 def _listed(entries: DataFrame) -> DataFrame:
     """Number the entries by label and put "All" in front.
 
-    The window is not partitioned: its input is one short list, cut to the list
-    limit or drawn from the tenant mapping.
+    The window has no partition: a list has one short row for each tenant, farm or
+    camera of a day, and a position is of use only in a list that is shown whole.
     """
     order = Window.orderBy("label", "id")
     numbered = entries.select(F.row_number().over(order).alias("pos"), "label", "id")
@@ -33,15 +30,28 @@ def _listed(entries: DataFrame) -> DataFrame:
     return everything.unionByName(numbered)
 
 
+def seen_on(detections: DataFrame, day: str | dt.date) -> DataFrame:
+    """Farms and cameras seen together on the day; all lists can be made of it."""
+    return events_on_day(detections, day).select("farm_id", "camera_id").distinct()
+
+
 def _seen(detections: DataFrame, day: str | dt.date, column: str) -> DataFrame:
-    on_day = events_on_day(detections, day).where(F.col(column).isNotNull())
-    return on_day.select(column).distinct()
+    """One of the two alone, for a single list."""
+    return events_on_day(detections, day).select(column).where(F.col(column).isNotNull())
 
 
-def tenant_facet(detections: DataFrame, farms: DataFrame, day: str | dt.date) -> DataFrame:
-    """Tenants of the farms seen on the day; farms without a tenant add none."""
+def _ids(seen: DataFrame, column: str) -> DataFrame:
+    return seen.select(column).where(F.col(column).isNotNull()).distinct()
+
+
+def _first(ids: DataFrame, column: str, limit: int | None) -> DataFrame:
+    return ids if limit is None else ids.orderBy(column).limit(limit)
+
+
+def tenant_list(seen: DataFrame, farms: DataFrame) -> DataFrame:
+    """Tenants of the farms seen; farms without a tenant add none."""
     tenants = (
-        _seen(detections, day, "farm_id")
+        _ids(seen, "farm_id")
         .join(farms.where("tenant_id <> ''"), "farm_id")
         .select(F.col("tenant_name").alias("label"), F.col("tenant_id").alias("id"))
         .distinct()
@@ -49,25 +59,43 @@ def tenant_facet(detections: DataFrame, farms: DataFrame, day: str | dt.date) ->
     return _listed(tenants)
 
 
+def farm_list(
+    seen: DataFrame, farms: DataFrame, tenant: Any = None, limit: int | None = None
+) -> DataFrame:
+    """Farms seen, of one tenant if one is given; a limit then keeps the first by id."""
+    ids = _ids(seen, "farm_id")
+    if chosen(tenant) is not None:
+        wanted = farms.where(F.col("tenant_id") == F.lit(chosen(tenant))).select("farm_id")
+        ids = ids.join(wanted, "farm_id", "left_semi")
+    named = with_display_name(
+        _first(ids, "farm_id", limit), farms, "farm_id", "farm_name", "label"
+    )
+    return _listed(named.select("label", F.col("farm_id").alias("id")))
+
+
+def camera_list(
+    seen: DataFrame, cameras: DataFrame, farm: Any = None, limit: int | None = None
+) -> DataFrame:
+    """Cameras seen, on one farm if one is given; a limit then keeps the first by id."""
+    if chosen(farm) is not None:
+        seen = seen.where(F.col("farm_id") == F.lit(chosen(farm)))
+    ids = _first(_ids(seen, "camera_id"), "camera_id", limit)
+    named = with_display_name(ids, cameras, "camera_id", "camera_name", "label")
+    return _listed(named.select("label", F.col("camera_id").alias("id")))
+
+
+def tenant_facet(detections: DataFrame, farms: DataFrame, day: str | dt.date) -> DataFrame:
+    return tenant_list(_seen(detections, day, "farm_id"), farms)
+
+
 def farm_facet(
     detections: DataFrame,
     farms: DataFrame,
     day: str | dt.date,
     tenant: Any = None,
-    limit: int = LIST_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Farms seen on the day.
-
-    The list is cut by id before the tenant is applied, so a tenant's list can
-    lack farms of a day with more farms than the limit.
-    """
-    cut = _seen(detections, day, "farm_id").orderBy("farm_id").limit(limit)
-    named = with_display_name(cut, farms, "farm_id", "farm_name", "label")
-    of_tenant = chosen(tenant)
-    if of_tenant is not None:
-        wanted = farms.where(F.col("tenant_id") == F.lit(of_tenant)).select("farm_id")
-        named = named.join(wanted, "farm_id", "left_semi")
-    return _listed(named.select("label", F.col("farm_id").alias("id")))
+    return farm_list(_seen(detections, day, "farm_id"), farms, tenant, limit)
 
 
 def camera_facet(
@@ -75,12 +103,8 @@ def camera_facet(
     cameras: DataFrame,
     day: str | dt.date,
     farm: Any = None,
-    limit: int = LIST_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Cameras seen on the day, optionally on one farm; cut by id."""
-    of_farm = chosen(farm)
-    if of_farm is not None:
-        detections = detections.where(F.col("farm_id") == F.lit(of_farm))
-    cut = _seen(detections, day, "camera_id").orderBy("camera_id").limit(limit)
-    named = with_display_name(cut, cameras, "camera_id", "camera_name", "label")
-    return _listed(named.select("label", F.col("camera_id").alias("id")))
+    if chosen(farm) is not None:
+        detections = detections.where(F.col("farm_id") == F.lit(chosen(farm)))
+    return camera_list(_seen(detections, day, "camera_id"), cameras, None, limit)

@@ -16,49 +16,48 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are salted.  Every key beyond the first 1,000 holds less
-# than a thousandth of the right rows, so it needs no salting; and the list of
-# salted keys has a fixed bound, which is what makes broadcasting it safe.
-MAX_HOT_KEYS = 1000
-
+# Plan parameters; rows never depend on them.
 # Right rows of one key from which it counts as hot; also the rows of one slot.
 HOT_ROWS = 500_000
-
+# Heaviest keys looked at.  A key beyond them holds less than about a
+# ten-thousandth of the right rows, which is less than a partition of a large
+# job should hold.
+CANDIDATES = 10_000
+TRACKED = 65_536
 # Slots over which rows without a key are dealt.
 KEYLESS_SLOTS = 4096
 
 
-def hot_keys(right: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """The heaviest right keys and the number of slots each needs.
-
-    Rows are counted with map-side merging before anything is shuffled, so a hot
-    key arrives as one count per task.
-    """
-    counts = right.groupBy(*keys).agg(F.count("*").alias("_n"))
-    slots = F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slots")
-    return (
-        counts.where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, slots)
-    )
-
-
-def _with_days(
-    hot: DataFrame, right: DataFrame, keys: Sequence[str], day: str
-) -> DataFrame:
-    """Hot keys with the days on which their right rows lie.
+def hot_keys(right: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The hot right keys and the number of slots each needs, or None if there are none.
 
-    Reads the right side again, but only when there is a hot key.
+    Runs now, so that both sides of the join are salted by one and the same list:
+    a count of the rows; if one key could be hot at all, a sketch of the heaviest
+    keys, merged from small sketches without a shuffle of keys; and the exact
+    counts of these few.
     """
-    days = (
-        right.join(hot.select(*keys), list(keys), "left_semi")
-        .select(*keys, day)
-        .distinct()
+    narrow = right.select(*keys)
+    if narrow.count() < hot_rows:
+        return None
+    spark = right.sparkSession
+    name = F.to_json(F.struct(*keys))
+    heaviest = F.call_function("approx_top_k", F.col("_name"), F.lit(CANDIDATES), F.lit(TRACKED))
+    # at most CANDIDATES names
+    found = narrow.select(name.alias("_name")).agg(heaviest.alias("_top")).first()["_top"]
+    names = [item["item"] for item in found if item["count"] >= hot_rows]
+    if not names:
+        return None
+    seen = spark.createDataFrame([(n,) for n in names], "_name string")
+    counts = (
+        narrow.withColumn("_name", name)
+        .join(F.broadcast(seen), "_name", "left_semi")
         .groupBy(*keys)
-        .agg(F.collect_list(day).alias("_days"))
+        .agg(F.count("*").alias("_n"))
+        .where(F.col("_n") >= hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slots"))
     )
-    return F.broadcast(hot.join(days, list(keys)))
+    rows = counts.collect()
+    return spark.createDataFrame(rows, counts.schema) if rows else None
 
 
 def left_join(
@@ -67,53 +66,46 @@ def left_join(
     keys: Sequence[tuple[str, str]],
     left_row: Sequence[str],
     right_row: Sequence[str],
-    band: tuple[str, str, int] | None = None,
     hot_rows: int | None = HOT_ROWS,
+    keyless: Column | None = None,
 ) -> DataFrame:
     """`left LEFT JOIN right` on equal keys; right key columns are dropped.
 
     `keys` pairs left with right column names.  `left_row` and `right_row` name
-    columns whose hash deals rows over slots.  `band` adds the condition that
-    the right date column lies within that many days of the left one.  Without
-    `hot_rows` nothing is salted.
+    columns whose hash deals rows over slots.  `keyless` marks further left rows
+    that match nothing.  Without `hot_rows` nothing is salted.
     """
     right_keys = [f"_key{i}" for i in range(len(keys))]
     for (_, name), renamed in zip(keys, right_keys):
         right = right.withColumnRenamed(name, renamed)
     right = right.where(reduce(and_, [F.col(k).isNotNull() for k in right_keys]))
-    right = right.withColumn("_hit", F.lit(True))
-
     on: list[Column] = [F.col(a) == F.col(b) for (a, _), b in zip(keys, right_keys)]
-    if band is not None:
-        left_day, right_day, days = band
-        on.append(F.abs(F.datediff(F.col(right_day), F.col(left_day))) <= days)
-    scratch = [*right_keys, "_hit"]
-    if hot_rows is None:
-        return left.join(right, reduce(and_, on), "left").drop(*scratch)
+    nothing = reduce(or_, [F.col(a).isNull() for a, _ in keys])
+    if keyless is not None:
+        nothing = nothing | F.coalesce(keyless, F.lit(False))
+    own_slot = (-1 - F.pmod(F.xxhash64(*left_row), F.lit(KEYLESS_SLOTS))).cast("int")
+    hot = None if hot_rows is None else hot_keys(right, right_keys, hot_rows)
+    if hot is None:
+        left = left.withColumn("_left_slot", F.when(nothing, own_slot).otherwise(F.lit(0)))
+        right = right.withColumn("_right_slot", F.lit(0))
+        on.append(F.col("_left_slot") == F.col("_right_slot"))
+        return left.join(right, reduce(and_, on), "left").drop(
+            *right_keys, "_left_slot", "_right_slot"
+        )
 
-    hot = F.broadcast(hot_keys(right, right_keys, hot_rows))
-    marks = hot if band is None else _with_days(hot, right, right_keys, right_day)
-    marks = marks.select(
+    right = right.withColumn("_hit", F.lit(True))
+    marks = hot.select(
         *(F.col(k).alias(f"_hot{i}") for i, k in enumerate(right_keys)),
         F.col("_slots").alias("_copies"),
-        *([] if band is None else ["_days"]),
     )
     dealt = F.pmod(F.xxhash64(*right_row), F.col("_slots")).cast("int")
     right = right.join(hot, right_keys, "left").select(
         *right.columns, F.coalesce(dealt, F.lit(0)).alias("_right_slot")
     )
-
     copied = F.col("_copies").isNotNull()
-    if band is not None:
-        # A hot key may have no right row within the band of this left row; such
-        # a row is not copied, so its one unmatched result is kept.
-        near = F.sequence(F.date_sub(left_day, days), F.date_add(left_day, days))
-        copied = copied & F.coalesce(F.arrays_overlap("_days", near), F.lit(False))
-    keyless = reduce(or_, [F.col(a).isNull() for a, _ in keys])
-    own_slot = (-1 - F.pmod(F.xxhash64(*left_row), F.lit(KEYLESS_SLOTS))).cast("int")
     slots = (
         F.when(copied, F.sequence(F.lit(0), F.col("_copies") - 1))
-        .when(keyless, F.array(own_slot))
+        .when(nothing, F.array(own_slot))
         .otherwise(F.array(F.lit(0)))
     )
     is_hot = [F.col(a) == F.col(f"_hot{i}") for i, (a, _) in enumerate(keys)]
@@ -124,5 +116,5 @@ def left_join(
     joined = left.join(right, reduce(and_, on), "left")
     # A copied row has a partner in some slot; its unmatched copies are dropped.
     return joined.where(~F.col("_copied") | F.col("_hit").isNotNull()).drop(
-        *scratch, "_copied", "_left_slot", "_right_slot"
+        *right_keys, "_hit", "_copied", "_left_slot", "_right_slot"
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagetrace.functions import daytime, keys
@@ -16,11 +16,12 @@ from stagetrace.functions.choices import as_day, chosen, time_bound
 from stagetrace.operators.hotkeys import HOT_ROWS, left_join
 from stagetrace.operators.lookup import join_key
 
-# Rows returned by default, and rows a result page asks for.
-DEFAULT_ROWS = 50
+# Rows of a short and of a whole result page.
+SHORT_PAGE_ROWS = 50
 PAGE_ROWS = 100
 
-# Largest top-k whose keys are broadcast; beyond it the whole join is sorted.
+# Largest top-k whose keys are broadcast; beyond it the whole join is sorted, in the
+# same order.
 TOP_ROWS_BROADCAST = 10_000
 
 STAGE1_COLUMNS = (
@@ -234,20 +235,27 @@ def _result(linked: DataFrame) -> DataFrame:
 
 
 def newest_first() -> list:
-    """Total order of linked rows."""
+    """Total order of linked rows; rows alike in all of it are alike in their link."""
     return [
         F.desc_nulls_last("stage1_timestamp"),
         F.asc_nulls_first("session_id"),
+        F.asc_nulls_first("camera_id"),
+        F.asc_nulls_first("trigger_frame_uri"),
         F.asc_nulls_first("stage2_inference_id"),
+        F.asc_nulls_first("stage2_timestamp"),
+        F.asc_nulls_first("video_filename"),
     ]
 
 
 def _newest(detections: DataFrame, limit: int) -> DataFrame:
     """The newest detections with their rank.
 
-    They are ordered on stored columns, so keys are parsed only for the rows that
-    remain.  Rows that tie on all of them link to the same inferences.
+    The time of the last of them is found on the time alone; only rows from that
+    time on carry their other columns.  They are ordered on stored columns, so
+    keys are parsed only for the rows that remain.
     """
+    times = detections.select("processing_timestamp").orderBy(F.desc("processing_timestamp"))
+    last = times.limit(limit).agg(F.min("processing_timestamp")).scalar()
     order = [
         F.desc_nulls_last("processing_timestamp"),
         F.asc_nulls_first("session_id"),
@@ -255,42 +263,60 @@ def _newest(detections: DataFrame, limit: int) -> DataFrame:
         keys.trigger_frame(F.col("frame_uris")).asc_nulls_first(),
     ]
     rank = F.row_number().over(Window.orderBy(*order))
-    return detections.orderBy(*order).limit(limit).withColumn("_rank", rank)
+    newest = detections.where(F.col("processing_timestamp") >= last)
+    return newest.orderBy(*order).limit(limit).withColumn("_rank", rank)
 
 
-def _top_rows(
-    detections: DataFrame, stage2: DataFrame, modes: Modes, band: int | None, limit: int
+def _nearby(day: str, band: int) -> Column:
+    """The days within the band of a day, each as a row."""
+    return F.explode(F.sequence(F.date_sub(day, band), F.date_add(day, band)))
+
+
+def _probed(
+    stage1: DataFrame, row: str, stage2: DataFrame, band: int | None
 ) -> DataFrame:
-    """The first rows of the sorted left join, without joining everything.
+    """Second-stage rows of the few first-stage rows, by the column `row` of these.
 
-    Every detection yields at least one row, so the result only involves the
-    `limit` newest of them.  Their keys are broadcast over the second stage, each
-    task keeps its best `limit` pairs, and the pairs return to their rows.
-    Nothing large is shuffled, however many inferences share a key.
+    The keys of the first stage are broadcast over the second, which is neither
+    shuffled nor sorted.  With a band every key comes once for each of its days.
     """
-    newest = _newest(detections, limit)
-    stage1 = stage1_keyed(newest, modes.blank_keys, "_rank")
     probe = stage1.select(
-        "_rank",
+        row,
         *(F.col(a).alias(f"_probe{i}") for i, (a, _) in enumerate(_KEYS)),
         F.col("stage1_timestamp").cast("date").alias("_probe_day"),
     )
     on = [F.col(b) == F.col(f"_probe{i}") for i, (_, b) in enumerate(_KEYS)]
     if band is not None:
-        on.append(F.abs(F.datediff(F.col(_DAY2), F.col("_probe_day"))) <= band)
+        probe = probe.withColumn("_probe_day", _nearby("_probe_day", band))
+        on.append(F.col(_DAY2) == F.col("_probe_day"))
+    return stage2.join(F.broadcast(probe), reduce(and_, on)).select(row, *STAGE2_COLUMNS)
+
+
+def _top_rows(
+    detections: DataFrame, stage2: DataFrame, modes: Modes, band: int | None, limit: int
+) -> DataFrame:
+    """The first rows of the sorted left join, without joining everything.
+
+    Every detection yields at least one row, so the result only involves the
+    `limit` newest of them.  Each task keeps its best `limit` pairs, and the pairs
+    return to their rows.
+    """
+    stage1 = stage1_keyed(_newest(detections, limit), modes.blank_keys, "_rank")
     within = [
         F.col("_rank"),
         F.asc_nulls_first("stage2_inference_id"),
         F.asc_nulls_first("stage2_timestamp"),
         F.asc_nulls_first("video_filename"),
     ]
-    pairs = (
-        stage2.join(F.broadcast(probe), reduce(and_, on), "inner")
-        .select("_rank", *STAGE2_COLUMNS)
-        .orderBy(*within)
-        .limit(limit)
-    )
-    return stage1.join(pairs, "_rank", "left").orderBy(*within[:2]).limit(limit)
+    pairs = _probed(stage1, "_rank", stage2, band).orderBy(*within).limit(limit)
+    return stage1.join(pairs, "_rank", "left").orderBy(*within).limit(limit)
+
+
+def _second_stage(inferences: DataFrame, modes: Modes) -> DataFrame:
+    """Keyed inferences with their day; those with both keys blank link to nothing."""
+    rows = stage2_keyed(inferences, modes.blank_keys, modes.raw)
+    rows = rows.where((F.col("blk_file") != "") | (F.col("video_timestamp_key") != ""))
+    return rows.withColumn(_DAY2, F.col("stage2_timestamp").cast("date"))
 
 
 def _link(
@@ -301,43 +327,72 @@ def _link(
     limit: int | None,
     hot_rows: int | None,
 ) -> DataFrame:
-    stage2 = stage2_keyed(inferences, modes.blank_keys, modes.raw).withColumn(
-        _DAY2, F.col("stage2_timestamp").cast("date")
-    )
+    stage2 = _second_stage(inferences, modes)
     band = modes.band_days if banded else None
     if limit is not None and limit <= TOP_ROWS_BROADCAST:
         return _result(_top_rows(detections, stage2, modes, band, limit))
     stage1 = stage1_keyed(detections, modes.blank_keys).withColumn(
         _DAY1, F.col("stage1_timestamp").cast("date")
     )
+    on = list(_KEYS)
+    if band is not None:
+        # a detection has one day, so that no pair is doubled
+        stage2 = stage2.withColumn(_DAY2, _nearby(_DAY2, band))
+        on.append((_DAY1, _DAY2))
     linked = _result(
         left_join(
             stage1,
             stage2,
-            _KEYS,
+            on,
             left_row=("session_id", "stage1_timestamp", "camera_id", "trigger_frame_uri"),
             right_row=("stage2_inference_id", "stage2_timestamp", "video_filename"),
-            band=None if band is None else (_DAY1, _DAY2, band),
             hot_rows=hot_rows,
+            keyless=(F.col("blk_file") == "") & (F.col("frame_timestamp_key") == ""),
         )
     )
     return linked if limit is None else linked.orderBy(*newest_first()).limit(limit)
 
 
+def link_session(
+    detections: DataFrame,
+    inferences: DataFrame,
+    session_id: str,
+    day: str | dt.date | None = None,
+    modes: Modes = STANDARD,
+) -> DataFrame:
+    """The linked rows of one session, found by its keys.
+
+    A session is one event or a few.  A known day bounds both scans.
+    """
+    the_day = None if day is None else as_day(day)
+    kept = select_detections(detections, first=the_day, last=the_day)
+    kept = kept.where(
+        (F.col("session_id") == F.lit(session_id)) & F.col("processing_timestamp").isNotNull()
+    )
+    near = select_inferences(inferences, modes.band_days, None, the_day, the_day)
+    order = Window.partitionBy("session_id").orderBy(
+        "stage1_timestamp", "camera_id", "trigger_frame_uri", F.xxhash64("stage1_raw_response")
+    )
+    stage1 = stage1_keyed(kept, modes.blank_keys).withColumn("_row", F.row_number().over(order))
+    pairs = _probed(stage1, "_row", _second_stage(near, modes), modes.band_days)
+    return _result(stage1.join(pairs, "_row", "left"))
+
+
 def link_stages(
     detections: DataFrame,
     inferences: DataFrame,
     day: str | dt.date,
     filters: Filters = NO_FILTERS,
     farms: DataFrame | None = None,
-    limit: int | None = DEFAULT_ROWS,
+    limit: int | None = None,
     modes: Modes = STANDARD,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Detections of one day with the inferences they led to, newest first.
+    """Detections of one day with the inferences they led to.
 
     A detection without an inference keeps nulls; one with several gives several
-    rows.  `limit=None` gives the whole day, in no particular order.
+    rows.  A limit gives the newest rows, newest first; without one the whole day
+    comes in no particular order.
     """
     the_day = as_day(day)
     kept = select_detections(
@@ -360,8 +415,8 @@ def link_range(
 ) -> DataFrame:
     """The union of the daily links over a span of days, in one job.
 
-    Open ends take the whole table.  The day band becomes a condition between
-    the two dates of a pair.
+    Open ends take the whole table.  The day band is part of the join key: an
+    inference stands for each of the days whose detections it can belong to.
     """
     start = None if first is None else as_day(first)
     end = None if last is None else as_day(last)

@@ -39,7 +39,8 @@ def with_display_name(
 
 def farm_info(ids: DataFrame, farms: DataFrame) -> DataFrame:
     """Full farm record for each row's `farm_id`, defaults where it is unmapped."""
-    return ids.join(farms, "farm_id", "left").select(
+    farms = farms.select(join_key("farm_id").alias("_id"), "farm_name", "tenant_id", "tenant_name")
+    return ids.join(farms, F.col("farm_id") == F.col("_id"), "left").select(
         *ids.columns,
         F.coalesce("farm_name", "farm_id").alias("farm_name"),
         F.coalesce("tenant_id", F.lit("")).alias("tenant_id"),
@@ -59,4 +60,6 @@ def camera_info(ids: DataFrame, cameras: DataFrame) -> DataFrame:
             F.coalesce("farm_name", F.lit(UNKNOWN)).alias("farm_name"),
             F.coalesce("farm_id", F.lit("")).alias("farm_id"),
         ]
-    return ids.join(cameras, "camera_id", "left").select(*columns)
+    others = [c for c in cameras.columns if c != "camera_id"]
+    cameras = cameras.select(join_key("camera_id").alias("_id"), *others)
+    return ids.join(cameras, F.col("camera_id") == F.col("_id"), "left").select(*columns)

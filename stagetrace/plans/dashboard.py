@@ -56,22 +56,24 @@ def _facets(lists: dict[str, DataFrame]) -> DataFrame:
 
 
 def load_filters(ws: Workspace, day: str | dt.date) -> DataFrame:
-    """The three filter lists of a day, told apart by the column `facet`."""
+    """The three filter lists of a day, told apart by the column `facet`; one scan."""
+    seen = facets.seen_on(ws.detections, day)
     return _facets(
         {
-            "tenant": facets.tenant_facet(ws.detections, ws.farms, day),
-            "farm": facets.farm_facet(ws.detections, ws.farms, day),
-            "camera": facets.camera_facet(ws.detections, ws.cameras, day),
+            "tenant": facets.tenant_list(seen, ws.farms),
+            "farm": facets.farm_list(seen, ws.farms),
+            "camera": facets.camera_list(seen, ws.cameras),
         }
     )
 
 
 def after_tenant_choice(ws: Workspace, day: str | dt.date, tenant: Any) -> DataFrame:
     """Farm and camera lists once a tenant is chosen; cameras go back to all."""
+    seen = facets.seen_on(ws.detections, day)
     return _facets(
         {
-            "farm": facets.farm_facet(ws.detections, ws.farms, day, tenant),
-            "camera": facets.camera_facet(ws.detections, ws.cameras, day),
+            "farm": facets.farm_list(seen, ws.farms, tenant),
+            "camera": facets.camera_list(seen, ws.cameras),
         }
     )
 
@@ -93,6 +95,7 @@ def facet_counts(ws: Workspace, day: str | dt.date) -> DataFrame:
         count("farm").alias("farms"),
         count("camera").alias("cameras"),
     )
+    # fixed text of the status line
     status = F.format_string(
         f"Loaded %d tenants, %d farms, %d cameras for {as_day(day)}",
         "tenants",
@@ -106,7 +109,7 @@ def linked(
     ws: Workspace,
     day: str | dt.date,
     filters: Filters = NO_FILTERS,
-    limit: int | None = linkage.DEFAULT_ROWS,
+    limit: int | None = None,
     modes: Modes = STANDARD,
 ) -> DataFrame:
     farms = ws.farms if chosen(filters.tenant) is not None else None
@@ -119,10 +122,10 @@ def linked_display(
     ws: Workspace,
     day: str | dt.date,
     filters: Filters = NO_FILTERS,
-    limit: int | None = PAGE_ROWS,
+    limit: int | None = None,
     modes: Modes = STANDARD,
 ) -> DataFrame:
-    """A page of linked rows as a display table."""
+    """Linked rows as a display table; a limit keeps the newest."""
     return display.display_table(linked(ws, day, filters, limit, modes), ws.farms, ws.cameras)
 
 
@@ -153,25 +156,35 @@ def query_status(
     ws: Workspace,
     day: str | dt.date,
     filters: Filters = NO_FILTERS,
-    limit: int | None = PAGE_ROWS,
+    page_rows: int = PAGE_ROWS,
     modes: Modes = STANDARD,
 ) -> DataFrame:
-    """One row: the number of results on the page and the status line."""
-    counted = linked(ws, day, filters, limit, modes).agg(F.count("*").alias("results"))
+    """One row: the number of all results, how many of them a page shows, and the status line."""
+    counted = linked(ws, day, filters, modes=modes).agg(F.count("*").alias("results"))
     summary = filter_summary(ws, day, filters)
+    # fixed texts of the status line
     found = F.concat(F.lit("Found "), F.col("results"), F.lit(" results | "), summary)
     none = F.concat(F.lit("No results found. Filters: "), summary)
-    return counted.withColumn("status", F.when(F.col("results") > 0, found).otherwise(none))
+    return counted.withColumns(
+        {
+            "on_page": F.least("results", F.lit(page_rows).cast("long")),
+            "status": F.when(F.col("results") > 0, found).otherwise(none),
+        }
+    )
 
 
 def row_details(
     ws: Workspace,
-    linked_rows: DataFrame,
     session_id: str,
     inference_id: str | None = None,
+    day: str | dt.date | None = None,
+    modes: Modes = STANDARD,
 ) -> DataFrame:
-    """Details of one event, found by its ids rather than by its row number."""
-    rows = linked_rows.where(F.col("session_id") == F.lit(session_id))
+    """Details of one event, found by its ids rather than by its row number.
+
+    Only the session's keys go to the inferences; a known day bounds both scans.
+    """
+    rows = linkage.link_session(ws.detections, ws.inferences, session_id, day, modes)
     if inference_id is not None:
         rows = rows.where(F.col("stage2_inference_id") == F.lit(inference_id))
     return details.event_details(rows, ws.farms, ws.cameras)

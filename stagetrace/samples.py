@@ -24,7 +24,6 @@ _SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
-    "orders": "o_orderkey bigint",
     "documents": "doc_id bigint, text string",
     "pages": "page_id bigint, url string",
     "conversations": "conv_id bigint, turn bigint, text string",
@@ -71,7 +70,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sess-"), _text("event_id")).alias("session_id"),
         F.when(~_every(89), (F.col("user_id") % 27).cast("string")).alias("farm_id"),
         F.when(~_every(97), _text("user_id")).alias("camera_id"),
-        F.col("ts").alias("processing_timestamp"),
+        # some rows lie in the last second of the working hours
+        F.when(_every(61), F.timestamp_add("MILLISECOND", F.lit(61_259_900), F.col("ts").cast("date").cast("timestamp_ntz")))
+        .otherwise(F.col("ts"))
+        .alias("processing_timestamp"),
         F.when(kind == "purchase", "animal_husbandry")
         .when(kind == "error", "down_cow")
         .when(kind == "click", "quick_movements")
@@ -236,10 +238,17 @@ def site_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     farms = _read(spark, sf_dir, "nation").join(cameras, "n_nationkey", "left")
     filled = farms.groupBy("n_nationkey", "n_name", "_part").agg(
-        F.collect_list("camera").alias("cameras")
+        F.array_sort(F.collect_list("camera")).alias("cameras")
+    )
+    # some cameras have an earlier entry, which must not count
+    earlier = F.transform(
+        F.filter("cameras", lambda c: c["uuid"].cast("int") % 10 == 0),
+        lambda c: F.struct(F.lit("Zed").alias("name"), c["uuid"].alias("uuid")),
     )
     farm = F.struct(
-        F.col("n_name").alias("name"), _text("n_nationkey").alias("uuid"), "cameras"
+        F.col("n_name").alias("name"),
+        _text("n_nationkey").alias("uuid"),
+        F.concat(earlier, "cameras").alias("cameras"),
     )
     return filled.select(F.to_json(F.struct(F.array(farm).alias("farms"))).alias("doc"))
 
@@ -255,10 +264,7 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data files the events and orders rows came from."""
-    files = [
-        _read(spark, sf_dir, name).select(F.col("_metadata.file_path").alias("uri")).distinct()
-        for name in ("events", "orders")
-    ]
-    return files[0].unionByName(files[1])
+def struct_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections whose response comes parsed."""
+    parsed = F.struct(F.col("session_id").alias("session"), F.col("should_forward").alias("forward"))
+    return detections(spark, sf_dir).withColumn("gemini_raw_response", parsed)

@@ -11,6 +11,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Many small partitions to begin with, which adaptive execution merges to fit; a
+    # job over terabytes needs tens of thousands, and no partition that is too large
+    # can be made smaller again.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
     # HotSpot does not compile methods beyond 8,000 bytes; better several small ones.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
@@ -27,8 +31,9 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(SETTINGS)
-    if shuffle_partitions:
+    if shuffle_partitions:  # a number for a known, small input
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+        del conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"]
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

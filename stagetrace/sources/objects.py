@@ -1,26 +1,16 @@
-"""Listing, checking and fetching media objects."""
+"""Listing media objects."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKED = "uri string, found boolean, n_bytes long"
-FETCHED = f"{CHECKED}, content binary"
-
-# A batch handed back to Spark holds at most this many bytes of content, or one
-# object if that is larger.
-_BATCH_BYTES = 64 * 1024 * 1024
-
 
 def list_objects(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """URI and size of every object under a root; no content is read.
 
-    Spark's file listing passes over objects of no bytes; `check_objects` does
-    not.
+    Spark's file listing passes over objects of no bytes.  Which objects exist is a
+    semi or anti join with the listing.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
@@ -28,81 +18,3 @@ def list_objects(spark: SparkSession, root: str, pattern: str | None = None) ->
     return reader.load(root).select(
         F.col("path").alias("uri"), F.col("length").alias("n_bytes")
     )
-
-
-def _open(uri: str):
-    """(file system, path, size) of an object, or None if there is none."""
-    from pyarrow import fs
-
-    scheme, colon, rest = uri.partition(":/")
-    if not colon:
-        return None
-    if not rest.startswith("/"):  # Spark prints local files as file:/path
-        uri = f"{scheme}:///{rest}"
-    store, path = fs.FileSystem.from_uri(uri)
-    info = store.get_file_info(path)
-    return (store, path, info.size) if info.type == fs.FileType.File else None
-
-
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [_open(uri) for uri in batch["uri"]]
-        yield pd.DataFrame(
-            {
-                "uri": batch["uri"],
-                "found": [f is not None for f in found],
-                "n_bytes": pd.array([f[2] if f else None for f in found], "Int64"),
-            }
-        )
-
-
-def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def frame(rows: list[tuple[str, bytes | None]]) -> pd.DataFrame:
-        sizes = [None if data is None else len(data) for _, data in rows]
-        return pd.DataFrame(
-            {
-                "uri": [uri for uri, _ in rows],
-                "found": [size is not None for size in sizes],
-                "n_bytes": pd.array(sizes, "Int64"),
-                "content": [data for _, data in rows],
-            }
-        )
-
-    held: list[tuple[str, bytes | None]] = []
-    size = 0
-    for batch in batches:
-        for uri in batch["uri"]:
-            place = _open(uri)
-            data = None
-            if place:
-                with place[0].open_input_stream(place[1]) as stream:
-                    data = stream.read()
-            held.append((uri, data))
-            size += len(data or b"")
-            if size >= _BATCH_BYTES:
-                yield frame(held)
-                held, size = [], 0
-    if held:
-        yield frame(held)
-
-
-def _asked(uris: DataFrame, column: str) -> DataFrame:
-    # Distinct, and by that spread over the shuffle partitions.
-    return uris.select(F.col(column).alias("uri")).where("uri IS NOT NULL").distinct()
-
-
-def check_objects(uris: DataFrame, column: str = "uri") -> DataFrame:
-    """Whether each named object exists, and its size; asked once per URI.
-
-    For few URIs in a large store.  For many, join with a listing instead.
-    """
-    return _asked(uris, column).mapInPandas(_check, CHECKED)
-
-
-def fetch_objects(uris: DataFrame, column: str = "uri") -> DataFrame:
-    """Bytes of the named objects, each fetched once, in parallel tasks.
-
-    Neither the driver nor a listing of the store is involved.  A missing object
-    gives `found = false`; a failed read fails its task, which Spark retries.
-    """
-    return _asked(uris, column).mapInPandas(_fetch, FETCHED)

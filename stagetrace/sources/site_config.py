@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,35 +9,15 @@ from stagetrace import schemas
 
 
 def read_json_configs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per JSON file; files that are not JSON give a null `farms`."""
-    return spark.read.schema(schemas.SITE_CONFIG).json(path, multiLine=True)
-
-
-def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import json
-
-    import yaml
-
-    def convert(text: str) -> str | None:
-        try:
-            return json.dumps(yaml.safe_load(text), default=str)
-        except yaml.YAMLError:
-            return None
-
-    for batch in batches:
-        yield pd.DataFrame({"doc": batch["value"].map(convert)})
-
-
-def read_yaml_configs(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per YAML file; needs PyYAML on the executors.
-
-    Each file is turned into JSON text inside its task and parsed by Spark.
-    """
-    files = spark.read.text(path, wholetext=True)
-    return parse_configs(files.mapInPandas(_yaml_to_json, "doc string"), "doc")
+    """One row per JSON file, with its path as `document`; files that are not JSON give
+    a null `farms`."""
+    rows = spark.read.schema(schemas.SITE_CONFIG).json(path, multiLine=True)
+    return rows.select(F.col("_metadata.file_path").alias("document"), "farms")
 
 
 def parse_configs(documents: DataFrame, column: str) -> DataFrame:
-    """Documents held as JSON text in a column, parsed with the declared schema."""
+    """Documents held as JSON text in a column, parsed with the declared schema; other
+    columns stay."""
     parsed = F.from_json(F.col(column), schemas.SITE_CONFIG)
-    return documents.select(parsed["farms"].alias("farms"))
+    others = [c for c in documents.columns if c != column]
+    return documents.select(*others, parsed["farms"].alias("farms"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from pyspark.sql import Row
 from tables import at, cameras, detections, farms
 
 from stagetrace import schemas
@@ -14,8 +15,9 @@ def rows(df, *columns):
 
 
 def test_choices():
-    assert [chosen(v) for v in (None, "", "All", ("All", "All"), ["Farm", ""])] == [None] * 5
-    assert [chosen(v) for v in ("x", ("X", "x"), 7, ("X", 7))] == ["x", "x", "7", "7"]
+    entry = Row(pos=3, label="X", id="x")
+    assert [chosen(v) for v in (None, "", "All", {"id": "All"}, Row(id=""))] == [None] * 5
+    assert [chosen(v) for v in ("x", entry, 7, {"label": "X", "id": 7})] == ["x", "x", "7", "7"]
 
 
 def test_dimensions(spark):
@@ -104,7 +106,7 @@ def test_facets(spark):
     assert entries(facets.farm_facet(events, dim, DAY)) == [
         ("All", "All"), ("A", "f2"), ("Q", "f9"), ("Z", "f1"),
     ]
-    assert entries(facets.farm_facet(events, dim, DAY, ("Same", "t1"))) == [
+    assert entries(facets.farm_facet(events, dim, DAY, {"label": "Same", "id": "t1"})) == [
         ("All", "All"), ("Z", "f1"),
     ]
     names = cameras(spark, [("c1", "Zed"), ("c3", "Amy")])
@@ -117,15 +119,27 @@ def test_facets(spark):
     assert entries(facets.camera_facet(events, names, "2023-01-01")) == [("All", "All")]
 
 
-def test_farm_list_is_cut_before_the_tenant_applies(spark):
+def test_lists_are_whole_and_limits_come_last(spark):
     farm_ids = [f"f{i:03d}" for i in range(120)]
     events = events_of(spark, [(f, "c") for f in farm_ids])
     dim = farms(spark, [(f, f"N{f}", "t1" if i >= 95 else "t0", "T") for i, f in enumerate(farm_ids)])
-    assert len(entries(facets.farm_facet(events, dim, DAY))) == 101
-    assert [i for _, i in entries(facets.farm_facet(events, dim, DAY, "t1"))] == [
-        "All", *farm_ids[95:100],
-    ]
-    # the cut is by id even when names sort the other way round
+    assert len(entries(facets.farm_facet(events, dim, DAY))) == 121
+    assert [i for _, i in entries(facets.farm_facet(events, dim, DAY, "t1"))] == ["All", *farm_ids[95:]]
+    cut = facets.farm_facet(events, dim, DAY, "t1", limit=5)
+    assert [i for _, i in entries(cut)] == ["All", *farm_ids[95:100]]
+    # a limit is by id even when names sort the other way round
     reverse = farms(spark, [(f, f"N{999 - i}", "t", "T") for i, f in enumerate(farm_ids)])
-    listed = [i for _, i in entries(facets.farm_facet(events, reverse, DAY))]
+    listed = [i for _, i in entries(facets.farm_facet(events, reverse, DAY, limit=100))]
     assert listed == ["All", *reversed(farm_ids[:100])]
+
+
+def test_the_last_entry_of_a_site_document_counts(spark):
+    configs = spark.createDataFrame(
+        [(1, [("F", "f1", [("Zed", "c"), ("Amy", "c"), ("One", "d")]), ("G", "f1", [("Two", "d")])]),
+         (2, [("H", "f2", [("Bob", "e")])]), (3, [("Ann", "f2", [("Abe", "e")])])],
+        "doc int, farms array<struct<name: string, uuid: string, cameras: array<struct<name: string, uuid: string>>>>",
+    )
+    assert rows(dims.site_cameras(configs, ["doc"])) == [
+        ("c", "Amy", "F", "f1"), ("d", "Two", "G", "f1"), ("e", "Abe", "Ann", "f2"),
+    ]
+    assert rows(dims.site_farms(configs, ["doc"])) == [("f1", "G"), ("f2", "Ann")]

@@ -40,10 +40,16 @@ def test_result_has_26_columns_in_order(spark):
 
 
 @pytest.mark.parametrize("limit", [None, 50])
-def test_unparseable_rows_link_only_verbatim(spark, limit):
+def test_rows_without_both_keys_never_link(spark, limit):
     event, video = one_event(spark, uris=["gs://b/bad.jpg"]), one_video(spark, name="bad.mp4")
-    assert ids(link_stages(event, video, DAY, limit=limit)) == [("s", None)]
     verbatim = Modes(blank_keys="verbatim")
+    for modes in (Modes(), verbatim):
+        assert ids(link_stages(event, video, DAY, limit=limit, modes=modes)) == [("s", None)]
+    assert link_stages(event, video, DAY, modes=verbatim).first().blk_file == ""
+    # one blank key is enough to link by the other, verbatim only
+    half = "_2024-01-10T08:00:00_x"
+    event, video = one_event(spark, uris=[f"gs://b/{half}.jpg"]), one_video(spark, name=f"{half}.mp4")
+    assert ids(link_stages(event, video, DAY, limit=limit)) == [("s", None)]
     assert ids(link_stages(event, video, DAY, limit=limit, modes=verbatim)) == [("s", "i")]
 
 
@@ -143,7 +149,7 @@ def test_filters(spark):
         return "".join(sorted(r.session_id for r in df.collect()))
 
     assert kept() == kept(farm="All", tenant="", camera=None) == "abcde"
-    assert kept(farm="f1") == kept(farm=("Farm one", "f1")) == "a"
+    assert kept(farm="f1") == kept(farm={"label": "Farm one", "id": "f1"}) == "a"
     assert kept(tenant="t1") == "ab"
     assert kept(tenant="nobody") == ""
     assert kept(tenant="t1", farm="f3") == "c"
@@ -242,19 +248,24 @@ def brute_force(events, videos, modes, days=None):
             v["inference_id"]
             for v in videos
             if None not in key
+            and key[1:] != ("", "")
             and key == (v["camera_id"], *keys_of(v["file_name"], r"^(\d{3}_\d{7})_", strict))
             and abs((v["inference_timestamp"].date() - day).days) <= modes.band_days
         ]
-        rows += [(e["processing_timestamp"], e["session_id"], v) for v in found or [None]]
+        known = e["processing_timestamp"], e["session_id"], e["camera_id"], uri
+        rows += [(*known, v) for v in found or [None]]
     return rows
 
 
 def triples(df):
-    return [(r.stage1_timestamp, r.session_id, r.stage2_inference_id) for r in df.collect()]
+    return [
+        (r.stage1_timestamp, r.session_id, r.camera_id, r.trigger_frame_uri, r.stage2_inference_id)
+        for r in df.collect()
+    ]
 
 
 def in_order(rows):
-    return sorted(rows, key=lambda r: (-r[0].timestamp(), r[1], r[2] or ""))
+    return sorted(rows, key=lambda r: (-r[0].timestamp(), *(x or "" for x in r[1:])))
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -293,11 +304,39 @@ def test_range_is_the_union_of_its_days(spark):
     assert in_order(triples(link_range(s1, s2, "2024-01-09", "2024-01-11"))) == in_order(daily)
 
 
-def test_no_more_hot_keys_than_the_bound(spark, monkeypatch):
-    from stagetrace.operators import hotkeys
+def test_both_top_plans_agree_on_repeated_sessions(spark, monkeypatch):
+    same = dict(session_id="s", processing_timestamp=at("2024-01-10 08:00:00"))
+    events = [
+        {**same, "camera_id": c, "frame_uris": [frame_uri(b, STAMP)]} for c in ("b", "a") for b in (2, 1)
+    ]
+    videos = [
+        {"inference_id": i, "camera_id": c, "inference_timestamp": at("2024-01-10 08:00:00"),
+         "file_name": video_name(b, STAMP)}
+        for i, c, b in (("i9", "a", 1), ("i1", "b", 1), ("i5", "a", 2), ("i5", "a", 1))
+    ]
+    s1, s2 = detections(spark, events), inferences(spark, videos)
+    for limit in (1, 2, 3, 9):
+        tops = []
+        for most in (0, 10_000):
+            monkeypatch.setattr(linkage, "TOP_ROWS_BROADCAST", most)
+            tops.append(triples(link_stages(s1, s2, DAY, limit=limit)))
+            tops.append(triples(link_range(s1, s2, limit=limit)))
+        assert all(t == in_order(brute_force(events, videos, Modes()))[:limit] for t in tops)
+
 
-    monkeypatch.setattr(hotkeys, "MAX_HOT_KEYS", 2)
-    events, videos = random_tables(random.Random(3), 60)
+def test_a_session_alone_is_linked_as_in_the_whole(spark):
+    events, videos = random_tables(random.Random(7), 60)
     s1, s2 = detections(spark, events), inferences(spark, videos)
-    expected = in_order(brute_force(events, videos, Modes()))
-    assert in_order(triples(link_range(s1, s2, hot_rows=1))) == expected
+    for modes in (Modes(), Modes(blank_keys="verbatim")):
+        for session in {e["session_id"] for e in events[:8]}:
+            own = [e for e in events if e["session_id"] == session]
+            expected = in_order(brute_force(own, videos, modes))
+            assert in_order(triples(linkage.link_session(s1, s2, session, modes=modes))) == expected
+
+
+def test_no_hot_key_among_few_rows(spark):
+    from stagetrace.operators import hotkeys
+
+    rows = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "k string")
+    assert hotkeys.hot_keys(rows, ["k"], 8) is None and hotkeys.hot_keys(rows, ["k"], 6) is None
+    assert [tuple(r) for r in hotkeys.hot_keys(rows, ["k"], 2).orderBy("k").collect()] == [("a", 3), ("b", 1)]

@@ -8,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from tables import cameras, detections, farms, inferences
 
+from stagetrace import schemas
 from stagetrace.operators import details, dims, display, facets, linkage, lookup, media
 from stagetrace.operators.linkage import Filters
+from stagetrace.plans import dashboard
+from stagetrace.plans.dashboard import Workspace
 from stagetrace.sources.tables import Table, scan_detections, scan_inferences
 
 DAY = "2024-01-10"
@@ -81,7 +84,7 @@ def test_time_window_reaches_the_scan(stored):
 
 
 def test_top_rows_shuffle_nothing_large(stored):
-    text = plan(linkage.link_stages(*stored, DAY))
+    text = plan(linkage.link_stages(*stored, DAY, limit=50))
     assert "TakeOrderedAndProject" in text
     assert "SortMergeJoin" not in text and "hashpartitioning" not in text
 
@@ -145,13 +148,40 @@ def large(spark):
         spark.conf.set(key, value)
 
 
-def test_a_hot_id_is_split_in_lookups(spark, large):
+def test_a_range_has_its_day_in_the_key(stored):
+    text = plan(linkage.link_range(*stored, "2024-01-08", DAY))
+    assert "datediff" not in text and "date_diff" not in text
+    assert len(of_inferences(text)) == 1  # no second pass to count keys
+
+
+def test_a_session_broadcasts_its_keys(spark, stored):
+    linked = linkage.link_session(*stored, "s", DAY)
+    assert "EqualTo(session_id,s)" in of_detections(plan(linked))[0][1]
+    text = plan(linked)
+    # only detections are numbered within a session; nothing is dealt by the keys of inferences
+    assert "BroadcastHashJoin" in text and "hashpartitioning(camera_id" not in text
+
+
+def test_one_scan_behind_all_lists(spark, stored):
+    maps = ([("t", "T", None, None)], schemas.TENANTS), ([("f", "F", "t")], schemas.FARMS), ([("c", "C")], schemas.CAMERAS)
+    ws = Workspace(*stored, *(spark.createDataFrame(*m) for m in maps))
+    for df in (dashboard.load_filters(ws, DAY), dashboard.after_tenant_choice(ws, DAY, "t")):
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert len(re.findall(r"FileScan parquet[^\n]*processing_timestamp", final)) <= 1
+
+
+@pytest.mark.parametrize("look_up", ["with_display_name", "camera_info"])
+def test_a_hot_id_is_split_in_lookups(spark, large, look_up):
     third = F.when(F.col("id") % 3 == 0, "7").otherwise((F.col("id") % 5000).cast("string"))
     filler = F.sha2(F.col("id").cast("string"), 256).alias("filler")
     facts = spark.range(600_000).select(third.alias("camera_id"), filler)
     ids = spark.range(5000).select(F.col("id").cast("string").alias("camera_id"))
     dim = dims.camera_dim(ids.withColumn("camera_name", F.col("camera_id")))
-    named = lookup.with_display_name(facts, dim, "camera_id", "camera_name", "name")
+    if look_up == "camera_info":
+        named = lookup.camera_info(facts, dim)
+    else:
+        named = lookup.with_display_name(facts, dim, "camera_id", "camera_name", "name")
     assert named.toArrow().num_rows == 600_000
     assert "skew=true" in plan(named)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pyspark.sql import types as T
+
 import pytest
 from tables import at, cameras, detections, farms, frame_uri, inferences, video_name
 
@@ -59,7 +61,7 @@ def test_display_keeps_only_present_columns(ws):
 
 
 def test_details_of_a_linked_event(ws):
-    rows = dashboard.row_details(ws, dashboard.linked(ws, DAY), "a", "i1").collect()
+    rows = dashboard.row_details(ws, "a", "i1").collect()
     assert [r.details for r in rows] == [
         """Session ID: a
 
@@ -91,7 +93,7 @@ def test_details_of_a_linked_event(ws):
 
 
 def test_details_of_an_event_without_second_stage(ws):
-    text = dashboard.row_details(ws, dashboard.linked(ws, DAY), "b").first().details
+    text = dashboard.row_details(ws, "b", day=DAY).first().details
     assert "  Farm: N/A\n  Farm ID: N/A\n  Camera: N/A\n  Camera ID: N/A\n" in text
     assert "  Confidence: N/A\n  Should Forward: N/A\n  Frame Count: N/A\n" in text
     assert "  (No Stage 2 processing - event not forwarded)\n" in text
@@ -104,7 +106,7 @@ def test_status_lines(ws):
         return dashboard.query_status(ws, DAY, Filters(**filters)).first().status
 
     assert status() == "Found 2 results | Date: 2024-01-10"
-    assert status(farm="f1", camera=("C1", "c1"), start="07:00") == (
+    assert status(farm="f1", camera={"label": "C1", "id": "c1"}, start="07:00") == (
         "Found 1 results | Date: 2024-01-10 | From: 07:00 | Farm: F1 | Camera: C1"
     )
     assert status(tenant="t1", end="07:00") == (
@@ -158,3 +160,24 @@ def test_only_recorded_videos_play(spark, ws):
     assert [tuple(r) for r in media.playable_videos(linked).collect()] == [
         ("a", "i1", "gs://v/1.mp4")
     ]
+
+
+def test_details_of_all_votes(spark, ws):
+    from stagetrace.operators.linkage import Modes
+
+    whole = link_stages(ws.detections, ws.inferences, DAY, modes=Modes(raw="all_votes"))
+    votes = whole.schema["stage2_raw_response"].dataType
+    for given, shown in (
+        (None, "  (No raw response available)"), ([], "  (No raw response available)"),
+        ([("x",), ("y",)], '[{"raw_response":"x"},{"raw_response":"y"}]'),
+    ):
+        one = spark.createDataFrame([(given,)], T.StructType().add("v", votes)).select("v")
+        rows = whole.drop("stage2_raw_response").crossJoin(one.withColumnRenamed("v", "stage2_raw_response"))
+        text = details.event_details(rows, ws.farms, ws.cameras).where("session_id = 'a'").first().details
+        assert text.endswith("═══ Stage 2 Raw Response ═══\n" + shown)
+
+
+def test_texts_are_whole_unless_a_length_is_given(spark):
+    df = spark.createDataFrame([("x" * 5000,)], "raw string")
+    assert len(details.normalize_response(df, "raw", "s", "b").first().b) == 5000
+    assert len(details.normalize_response(df, "raw", "s", "b", 7).first().b) == 7

@@ -106,30 +106,10 @@ def test_json_site_files(spark, tmp_path):
     check_site(site_config.read_json_configs(spark, str(tmp_path)))
 
 
-def test_yaml_site_files(spark, tmp_path):
-    yaml = pytest.importorskip("yaml")
-    for i, site in enumerate([SITE_1, SITE_2]):
-        (tmp_path / f"{i}.yaml").write_text(yaml.safe_dump(site))
-    (tmp_path / "broken.yaml").write_text("farms: [")
-    (tmp_path / "empty.yaml").write_text("")
-    check_site(site_config.read_yaml_configs(spark, str(tmp_path)))
-
-
-def test_listing_and_fetching(spark, tmp_path):
+def test_listing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     contents = {"a.jpg": b"aaa", "in/b.jpg": b"", "c.txt": b"text"}
     for name, data in contents.items():
         (tmp_path / name).write_bytes(data)
     listed = objects.list_objects(spark, str(tmp_path), "*.jpg").collect()
     assert sorted((r.uri.rsplit("/", 1)[1], r.n_bytes) for r in listed) == [("a.jpg", 3)]
-    wanted = [f"file://{tmp_path}/{n}" for n in (*contents, "gone.jpg", "in")] + ["a.jpg"]
-    asked = spark.createDataFrame([(u,) for u in wanted + wanted[:1]] + [(None,)], "uri string")
-    checked = {r.uri: (r.found, r.n_bytes) for r in objects.check_objects(asked).collect()}
-    fetched = {r.uri: r for r in objects.fetch_objects(asked).collect()}
-    assert sorted(fetched) == sorted(wanted)
-    for uri, data in zip(wanted, [*contents.values(), None, None, None]):
-        row = fetched[uri]
-        got = None if row.content is None else bytes(row.content)
-        assert (got, row.found) == (data, data is not None)
-        assert checked[uri] == (row.found, row.n_bytes)
-        assert row.n_bytes == (None if data is None else len(data))

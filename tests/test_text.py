@@ -73,7 +73,7 @@ def expected_response(raw):
     clean = raw.replace("\\n", "\n")
     if valid_json(clean):
         return ("json", clean)
-    return ("text", clean.replace('\\"', '"')[:2000])
+    return ("text", clean.replace('\\"', '"'))
 
 
 def test_responses_are_cleaned_in_order(spark):

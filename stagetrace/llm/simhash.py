@@ -156,7 +156,7 @@ def choose_parts(fps: DataFrame, tau: int = TAU) -> list[Part]:
     for m, gs in groups.items():
         costs = []
         for i, g in enumerate(gs):
-            n, met_ = pairs.get((m, i), (0, 0.0))
+            n, met_ = pairs.get((m, i), (1, 0.0))
             probes = [sum(math.comb(len(g), k) for k in range(t + 1)) for t in range(tau + 1)]
             costs.append([0.0, *(p * (PROBE_COST * n + met_ + n * n / 2.0 ** len(g)) for p in probes)])
         cost, chosen = allocate(costs, tau - m + 1)

@@ -1,0 +1,129 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from stagetrace.llm import simhash
+from stagetrace.llm.simhash import Part, signed
+
+
+def slow_fingerprint(text, n=4):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    counts = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s.encode(), seed=42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    return signed(sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles)))
+
+
+def test_fingerprints(odd_rows):
+    texts = [r[1] for r in odd_rows] + ["A b", "a B c D", "É É É É É", "a b c d e" * 9]
+    assert [simhash.fingerprint(t) for t in texts] == [slow_fingerprint(t) for t in texts]
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+
+
+def slow_components(fps, tau):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= tau:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {f: find(f) for f in fps}
+
+
+def crowd(seed, centres=6, each=25):
+    """Fingerprints in crowds, with chains between some of them."""
+    rng = random.Random(seed)
+    out = {0, -1}
+    for _ in range(centres):
+        c = rng.getrandbits(64)
+        for _ in range(each):
+            out.add(signed(c))
+            for b in rng.sample(range(64), rng.randrange(4)):
+                c ^= 1 << b
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [16384, 3])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_all_pairs(spark, seed, most):
+    fps = crowd(seed)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    expected = slow_components(fps, 4)
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, 4, most=most)).collect()}
+    assert {f: found.get(f, f) for f in fps} == expected
+
+
+@pytest.mark.parametrize("parts", [3, 4, 5])
+def test_every_number_of_partitions_loses_no_link(spark, parts, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTITIONS", (parts,))
+    fps = crowd(parts)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    chosen = simhash.choose_parts(df)
+    assert sum(p.threshold for p in chosen) - (parts - len(chosen)) == 4 - parts + 1
+    assert sorted(b for p in chosen for b in p.bits) == list(range(64)) or len(chosen) < parts
+    found = {r.node: r.root for r in simhash.components(simhash.links(df, 4, chosen)).collect()}
+    assert {f: found.get(f, f) for f in fps} == slow_components(fps, 4)
+
+
+def test_allocation_is_the_cheapest():
+    costs = [[0.0, 3.0, 50.0, 90.0], [0.0, 10.0, 11.0, 12.0], [0.0, 4.0, 60.0, 99.0]]
+    cost, chosen = simhash.allocate(costs, 1)
+    ways = [
+        (costs[0][a + 1] + costs[1][b + 1] + costs[2][c + 1], [a, b, c])
+        for a in range(-1, 3) for b in range(-1, 3) for c in range(-1, 3) if a + b + c == 1
+    ]
+    assert (cost, chosen) == min(ways)
+
+
+def test_correlated_bits_share_a_partition():
+    near = np.full((64, 64), 0.01)
+    for i in range(0, 64, 16):
+        near[i : i + 16, i : i + 16] = 0.9
+    near = near[np.ix_(order := np.random.default_rng(0).permutation(64), order)]
+    groups = simhash.group_bits(near, 4)
+    assert all(len({int(order[b]) // 16 for b in g}) == 1 for g in groups)
+
+
+def test_groups_that_span_batches():
+    import pandas as pd
+
+    fps = crowd(5)
+    frame = pd.DataFrame({"part": 0, "probe": 1, "fp": fps})
+    frames = [frame.iloc[i : i + 7] for i in range(0, len(frame), 7)]
+    links = pd.concat(simhash._compare(iter(frames), 4))
+    root = {f: f for f in fps}
+    for a, b in links.itertuples(index=False):
+        root[a] = b
+    assert root == {f: r for f, r in slow_components(fps, 4).items()} or len(set(root.values())) == len(set(slow_components(fps, 4).values()))
+    assert Part((0, 1, 2), 1).flips() == [0, 1, 2, 4]
+
+
+def test_documents(make, odd_rows):
+    docs = make(odd_rows)
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(odd_rows)
+    fps = {r[1]: slow_fingerprint(r[1]) for r in odd_rows}
+    roots = slow_components(set(fps.values()), 4)
+    least = {}
+    for d, t, *_ in odd_rows:
+        root = roots[fps[t]]
+        least[root] = min((x for x in (least.get(root), d) if x is not None), default=None)
+    expected = sorted(((d, fps[t], least[roots[fps[t]]]) for d, t, *_ in odd_rows), key=repr)
+    assert sorted(map(tuple, got), key=repr) == expected
+    assert simhash.one_of_each(docs).columns == docs.columns
+    assert simhash.near_duplicates(docs.where("false")).count() == 0

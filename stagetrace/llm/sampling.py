@@ -321,13 +321,13 @@ class Block:
         rest = -np.expm1(path["logs"][steps])
         # a node with one edge has no other way, whatever rounding says
         rest[self.edges.count[self.node[path["at"][steps]]] == 1] = 0.0
-        self._draw(path, steps, rest, path["top"][path["doc"][steps]])
+        self._draw(path, steps, rest, path["top"][path["doc"][steps]], 1000 + path["draw"])
 
-    def _draw(self, path: dict, steps: np.ndarray, rest: np.ndarray, top: np.ndarray) -> None:
+    def _draw(self, path: dict, steps: np.ndarray, rest: np.ndarray, top: np.ndarray, noise: int) -> None:
         at, doc = path["at"][steps], path["doc"][steps]
         with np.errstate(divide="ignore"):
             location = path["before"][steps] + np.log(rest)
-        u = _uniform(self.seeds[doc], 1000 + 64 * path["draw"], at - self.start[doc])
+        u = _uniform(self.seeds[doc], noise, at - self.start[doc])
         path["bound"][steps] = _below(location, top, u)
 
     def search(self, k: int) -> tuple[list[dict], np.ndarray]:
@@ -387,7 +387,8 @@ class Block:
             take = np.where(share[np.arange(len(docs)), take] > 0, take, share.argmax(axis=1))
             path["barred"][steps] |= np.int64(1) << take
             share[np.arange(len(docs)), take] = 0.0
-            self._draw(path, steps, share.sum(axis=1), best[docs])
+            # what is left of the set needs noise of its own
+            self._draw(path, steps, share.sum(axis=1), best[docs], 5000 + draw)
             limit = np.full(self.n, -1)
             limit[docs] = at
             head = np.flatnonzero(np.arange(len(taken)) < limit[self.doc])

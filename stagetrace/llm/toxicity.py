@@ -68,6 +68,8 @@ def _chosen_terms(examples: DataFrame, most: int) -> list[str]:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 found[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)})
         for toxic, terms in enumerate(found):
+            if not terms:
+                continue
             yield pd.DataFrame({"term": list(terms), "toxic": toxic, "n": list(terms.values())})
 
     rows = examples.select("text", "toxic").mapInPandas(count, "term string, toxic int, n long")

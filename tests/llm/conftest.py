@@ -40,7 +40,3 @@ def odd_rows():
         for i in range(60)
     ]
     return rows
-
-
-def as_set(df, *columns):
-    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)

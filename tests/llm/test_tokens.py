@@ -159,4 +159,5 @@ def test_shards_hold_every_sequence_once(spark, make, odd_rows, tmp_path):
         assert got[-1] == token_order.END_OF_TEXT and whole.decode(got[:-1]) == (text or "")
     later = token_order.read_shards(spark, path, 32, 100, start=250).collect()
     assert sorted(r.slot for r in later) == list(range(250, len(rows)))
-    assert token_order.write_shards(docs.where("false"), f"{tmp_path}/none") and True
+    none = token_order.write_shards(docs.where("false"), f"{tmp_path}/none", sequence=32)
+    assert none == f"{tmp_path}/none"

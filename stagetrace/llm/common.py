@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: monotonically_increasing_id() holds the row's place in its partition in these bits.
 PLACE_BITS = 33
+#: Rows of a group among which a sample is ranked, for each row it may give.
+OVERSHOOT = 4
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -83,13 +85,17 @@ def bounded_sample(rows: DataFrame, group: str, most: int, seed: int, key: str =
     """At most `most` rows of (key, group), dealt evenly over the groups in hash order.
 
     Each group is ranked by a hash of the key, and the lowest ranks of all groups are
-    taken: a pure function of the rows, whatever their partitions.  The rank is limited
-    before the shuffle, so that a hot group sends at most `most` rows a task.
+    taken: a function of the rows, whatever their partitions.  Groups are counted first,
+    so that only hashes low enough to matter, some OVERSHOOT * most a group, meet in the
+    task that ranks them, however hot a group is.
     """
     order = F.xxhash64(F.lit(seed), F.col(key))
+    counted = rows.groupBy(group).agg(F.count("*").alias("_rows"))
+    low = F.pmod(order, F.lit(1 << 40)) < F.lit(float(OVERSHOOT * most << 40)) / F.col("_rows")
+    rows = rows.select(key, group).join(counted, group).where(low)
     by_group = Window.partitionBy(group).orderBy("_order", key)
     ranked = (
-        rows.select(key, group, order.alias("_order"))
+        rows.select(key, group, F.pmod(order, F.lit(1 << 40)).alias("_order"))
         .withColumn("_rank", F.row_number().over(by_group))
         .where(F.col("_rank") <= most)
     )

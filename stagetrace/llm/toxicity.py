@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagetrace.llm.common import bounded_sample, saved
+from stagetrace.llm.common import bounded_sample, partitions, saved
 
 #: The bound on the sample of labelled rows.
 MOST_EXAMPLES = 8192
@@ -295,6 +295,8 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
             yield out
 
     kind = docs.schema[key].dataType.simpleString()
+    # few bytes, but much to do for each row
+    vectors = vectors.repartition(partitions(docs.sparkSession))
     out = vectors.mapInPandas(run, f"key {kind}, {RESULT}").withColumnRenamed("key", key)
     return out.select(key, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
 

@@ -4,8 +4,8 @@ A text is the set of its paragraphs' digests.  A sketch hashes each digest into
 cells of a block, one in each row of it; a cell keeps a count, the XOR of the digests and
 the XOR of their check sums.  Sketches are linear: cells subtract between two versions, and
 what both have is gone.  Peeling then recovers the differing digests, one by one, from
-cells that hold a single one; if cells are left over, both versions are sketched again with
-twice the blocks and new hashes, until all come out.
+cells that hold a single one; if cells of a block are left over, both versions of it are
+sketched again as two blocks with new hashes, until all come out.
 """
 
 from __future__ import annotations
@@ -99,8 +99,8 @@ def _peeled(cells: Column, level: Column) -> Column:
         return F.coalesce(F.get(F.transform(found, take), F.lit(0)), state)
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
-    # a block of CELLS cells has that many digests at most if all come out
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(CELLS)), start, step)
+    # every digest that comes out empties a cell for good, so that there are no more steps than cells
+    end = F.aggregate(cells, start, step)
     return F.when(F.size(end["cells"]) == 0, end["found"])
 
 
@@ -108,27 +108,34 @@ def _peeled(cells: Column, level: Column) -> Column:
 TEXT, EDITED, NEXT = "digests", "edited_digests", "next_digests"
 
 
-def differences(rows: DataFrame, level: int) -> DataFrame:
-    """(row, edited, next): how many digests differ, or null where peeling got stuck.
+def _block(digest: Column, level: int, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(-1 - level)), blocks)
 
-    rows has `row` and the digests of three versions.  What belongs to a row stays in one
-    task from the sketches to the end, with no further shuffle.
+
+def differences(groups: DataFrame, level: int) -> DataFrame:
+    """(row, part, block, edited, next): how many digests of each block differ, or null where
+    peeling got stuck.
+
+    groups has `row`, `part`, the number of `blocks`, and the digests of three versions.
+    What belongs to a row stays in one task, with no further shuffle.
     """
-    spark = rows.sparkSession
-    most = F.greatest(F.size(EDITED), F.size(NEXT)) + F.size(TEXT)
-    blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD))) + level).cast("long")
+    spark = groups.sparkSession
     seed = F.lit(level)
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = rows.select("row", TEXT, EDITED, NEXT).repartition(n, "row").withColumn("blocks", blocks)
+    own = groups.select("row", "part", "blocks", TEXT, EDITED, NEXT).repartition(n, "row")
 
     def version(i: int, name: str) -> Column:
         return F.transform(F.col(name), lambda d: F.struct(F.lit(i).alias("v"), d.alias("d")))
 
     versions = [version(i, name) for i, name in enumerate((TEXT, EDITED, NEXT))]
-    one = own.select("row", "blocks", F.explode(F.concat(*versions)).alias("x")).select("row", "blocks", "x.v", "x.d")
-    block = F.pmod(F.xxhash64("d", F.lit(-1 - level)), F.col("blocks"))
+    one = own.select("row", "part", "blocks", F.explode(F.concat(*versions)).alias("x"))
     # a digest's check sum and block are the same in all its cells
-    one = one.select("row", "v", "d", block.alias("block"), _check(F.col("d")).alias("c"), F.explode(F.array(*_slots(F.col("d"), seed))).alias("cell"))
+    one = one.select(
+        "row", "part", "x.v", "x.d",
+        _block(F.col("x.d"), level, F.col("blocks")).alias("block"),
+        _check(F.col("x.d")).alias("c"),
+        F.explode(F.array(*_slots(F.col("x.d"), seed))).alias("cell"),
+    )
 
     def cell_of(v: int, name: str) -> list[Column]:
         mine = F.col("v") == v
@@ -139,46 +146,57 @@ def differences(rows: DataFrame, level: int) -> DataFrame:
             F.bit_xor(F.when(mine, F.col("c")).otherwise(zero)).alias(f"c_{name}"),
         ]
 
-    sketches = one.groupBy("row", "block", "cell").agg(*cell_of(0, "text"), *cell_of(1, "edited"), *cell_of(2, "next"))
+    sketches = one.groupBy("row", "part", "block", "cell").agg(
+        *cell_of(0, "text"), *cell_of(1, "edited"), *cell_of(2, "next")
+    )
 
     def minus(name: str) -> Column:
-        return F.struct(
-            "cell",
-            (F.col("n_text") - F.col(f"n_{name}")).alias("n"),
-            F.col("k_text").bitwiseXOR(F.col(f"k_{name}")).alias("k"),
-            F.col("c_text").bitwiseXOR(F.col(f"c_{name}")).alias("c"),
-        )
-
-    def filled(x: Column) -> Column:
-        return (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0)
+        n = F.col("n_text") - F.col(f"n_{name}")
+        k = F.col("k_text").bitwiseXOR(F.col(f"k_{name}"))
+        c = F.col("c_text").bitwiseXOR(F.col(f"c_{name}"))
+        # collecting leaves nulls out: a cell without a difference is not kept
+        return F.when((n != 0) | (k != 0) | (c != 0), F.struct("cell", n.alias("n"), k.alias("k"), c.alias("c")))
 
     # at most CELLS structs to a block
-    by_block = sketches.select("row", "block", minus("edited").alias("e"), minus("next").alias("x"))
-    by_block = by_block.groupBy("row", "block").agg(F.collect_list("e").alias("e"), F.collect_list("x").alias("x"))
-    by_block = by_block.select("row", *(_peeled(F.filter(c, filled), seed).alias(c) for c in ("e", "x")))
-
-    def total(c: str) -> Column:
-        return F.when(F.count(c) == F.count("*"), F.sum(c))
-
-    return by_block.groupBy("row").agg(total("e").alias("edited"), total("x").alias("next"))
+    by_block = sketches.select("row", "part", "block", minus("edited").alias("e"), minus("next").alias("x"))
+    by_block = by_block.groupBy("row", "part", "block").agg(F.collect_list("e").alias("e"), F.collect_list("x").alias("x"))
+    return by_block.select(
+        "row", "part", "block", _peeled(F.col("e"), seed).alias("edited"), _peeled(F.col("x"), seed).alias("next")
+    )
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """(row, edited, next) for all rows: retried with twice the blocks where peeling got stuck."""
+    """(row, edited, next): how many digests of each row differ.
+
+    A block where peeling got stuck is sketched again, for both versions, as two blocks
+    with new hashes; blocks that came out are not touched again.
+    """
+    most = F.greatest(F.size(EDITED), F.size(NEXT)) + F.size(TEXT)
+    blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD)))).cast("long")
+    groups = rows.select("row", F.lit(0).cast("long").alias("part"), blocks.alias("blocks"), TEXT, EDITED, NEXT)
     done = None
     for level in range(RETRIES):
-        found = saved(differences(rows, level), "differences")
-        whole = found.where("edited is not null and next is not null")
+        found = saved(differences(groups, level), "differences")
+        whole = found.where("edited is not null and next is not null").select("row", "edited", "next")
         done = whole if done is None else done.unionByName(whole)
-        stuck = found.where("edited is null or next is null").select("row")
+        stuck = found.where("edited is null or next is null").select("row", "part", "block")
         if stuck.isEmpty():
-            return done
-        rows = saved(rows.join(stuck, "row", "left_semi"), "stuck")
+            groups = None
+            break
+
+        def within(name: str, at: int = level) -> Column:
+            return F.filter(F.col(name), lambda d: _block(d, at, F.col("blocks")) == F.col("block")).alias(name)
+
+        part = F.xxhash64("part", "block", F.lit(level)).alias("part")
+        groups = groups.join(stuck, ["row", "part"]).select("row", part, *map(within, (TEXT, EDITED, NEXT)))
+        groups = saved(groups.withColumn("blocks", F.lit(2).cast("long")), "stuck")
+    if groups is not None:  # never seen: the rest, digest by digest
 
-    def apart(other: str) -> Column:
-        return F.size(F.array_except(TEXT, other)) + F.size(F.array_except(other, TEXT))
+        def apart(other: str) -> Column:
+            return (F.size(F.array_except(TEXT, other)) + F.size(F.array_except(other, TEXT))).cast("int")
 
-    return done.unionByName(rows.select("row", apart(EDITED).cast("long").alias("edited"), apart(NEXT).cast("long").alias("next")))
+        done = done.unionByName(groups.select("row", apart(EDITED).alias("edited"), apart(NEXT).alias("next")))
+    return done.groupBy("row").agg(F.sum("edited").alias("edited"), F.sum("next").alias("next"))
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:

@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from stagetrace.llm import near_copies, simhash
+
+
+def sets(text):
+    parts = (text or "").lower().split()
+    return {" ".join(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def groups(rows):
+    """The least key of each row's component, by all pairs."""
+    own, root = {k: sets(t) for k, t in rows}, {k: k for k, _ in rows}
+    for a in own:
+        for b in own:
+            x, y = own[a], own[b]
+            if root[a] != root[b] and (x == y or len(x & y) >= 0.8 * len(x | y)):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def test_a_changed_sentence_makes_a_near_copy(spark, make):
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    changed = [*words[:70], "quite", "another", "sentence", "stands", "here", *words[75:]]
+    other = [*words[:75], *(f"v{i}" for i in range(75))]
+    x, y = sets(" ".join(words)), sets(" ".join(changed))
+    assert len(x & y) / len(x | y) >= 0.8
+    apart = simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(changed))
+    assert (apart & (1 << 64) - 1).bit_count() > simhash.TAU
+    docs = make([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(other))])
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_components_against_all_pairs(make, monkeypatch, sample):
+    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+    monkeypatch.setattr(near_copies, "LEAST_COMMON", 2)
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(40)]
+    rows = []
+    for family in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 8, 60, 200]))]
+        base = common + base if family % 2 else base
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(own) // 12)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(0, 2)])))
+    rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "One two"), (1004, "one  TWO")]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(make(rows)).collect()}
+    assert got == groups(rows)
+    assert len(set(got.values())) > 20
+
+
+def test_no_rows_and_parities(make, odd_rows):
+    docs = make(odd_rows)
+    assert near_copies.one_of_each(docs).columns == docs.columns
+    assert near_copies.near_copies(docs).count() == len(odd_rows)
+    assert near_copies.near_copies(docs.where("false")).count() == 0
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
+        apart = np.bitwise_count((near_copies.parities(x) ^ near_copies.parities(y)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(x, y))

@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagetrace.llm import exact_dedup, iblt, language, lines, mixing, sampling, sharding, simhash, token_order, toxicity
+from stagetrace.llm import (
+    exact_dedup, hard_negatives, iblt, language, lines, mixing, sampling, sharding, simhash, token_order, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 40
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +89,7 @@ def op8_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, with the nearest examples."""
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    labels = table(spark, sf_dir, "labels")
     out = toxicity.score_documents(docs, toxicity.training_rows(docs, labels))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "neighbours", "similarities")
@@ -95,10 +101,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, hard_negatives.moved_label())
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_piece_sampling, op3_token_shards, op4_language, op5_line_dedup, op6_kd_shards,
-        op7_source_mix, op8_iblt_fingerprints, op9_toxicity, op10_simhash,
+        op7_source_mix, op8_iblt_fingerprints, op9_toxicity, op10_simhash, op13_hard_negatives,
     )
 }
 
@@ -161,4 +173,28 @@ ORACLES: dict[str, str] = {
                CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
         FROM epochs
     """,
+    "op13_hard_negatives": """
+        WITH vec AS (
+            SELECT row_number() OVER () AS row, coalesce(vec_id, 9223372036854775807) AS id, vec_id % 100 = 0 AS is_anchor,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pair AS (
+            SELECT a.row, a.id AS anchor_id, c.id, c.label = a.label AS alike, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+            FROM vec a JOIN vec c ON a.is_anchor),
+        positive AS (
+            SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, id) AS k
+            FROM pair WHERE alike AND id <> anchor_id QUALIFY k <= 5),
+        negative AS (
+            SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.row, p.k ORDER BY n.score DESC, n.id) AS rank
+            FROM positive p JOIN pair n ON p.row = n.row
+            WHERE NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+            QUALIFY rank <= 5)
+        SELECT anchor_id, nullif(positive_id, 9223372036854775807) AS positive_id, CAST(rank AS INTEGER) AS rank,
+               nullif(negative_id, 9223372036854775807) AS negative_id, positive_score, negative_score
+        FROM negative
+    """,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagetrace.llm import (
-    exact_dedup, hard_negatives, iblt, language, lines, mixing, sampling, sharding, simhash, token_order, toxicity,
+    exact_dedup, hard_negatives, iblt, language, lines, mixing, packing, prefix_trie, sampling, sharding, simhash, token_order, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 ids, a row for each piece."""
+    out = packing.pack(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, against all vectors."""
     rows = table(spark, sf_dir, "embeddings")
@@ -110,7 +123,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_piece_sampling, op3_token_shards, op4_language, op5_line_dedup, op6_kd_shards,
-        op7_source_mix, op8_iblt_fingerprints, op9_toxicity, op10_simhash, op13_hard_negatives,
+        op7_source_mix, op8_iblt_fingerprints, op9_toxicity, op10_simhash, op11_prefix_trie,
+        op12_best_fit_packing, op13_hard_negatives,
     )
 }
 
@@ -173,6 +187,43 @@ ORACLES: dict[str, str] = {
                CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS BIGINT) AS taken
         FROM epochs
     """,
+    "op11_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id AS c, turn,
+                   md5(strlen(role) || ':' || role || text) || lpad(CAST(length(text) AS VARCHAR), 12, '0') AS record
+            FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+                  FROM conversations WHERE conv_id IS NOT NULL)),
+        own AS (
+            SELECT c, list(record ORDER BY turn NULLS FIRST, record) AS own, CAST(c AS VARCHAR) AS digits
+            FROM turns GROUP BY c),
+        crc AS (
+            -- CRC-32 bit by bit
+            SELECT *, xor(4294967295, list_reduce(
+                   list_transform(range(0, 8 * strlen(digits)), lambda i: CAST(ascii(digits[i // 8 + 1]) AS BIGINT) >> i % 8),
+                   lambda crc, bits: xor(crc >> 1, xor(crc, bits) % 2 * 3988292384), 4294967295)) % 6 AS h
+            FROM own),
+        conv AS (
+            SELECT o.c, list_concat(coalesce(b.own, [])[1:o.h], o.own[o.h + 1:]) AS path
+            FROM crc o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+        prefix AS (
+            SELECT c, d, array_to_string(path[1:d], '') AS node, len(path) = d AS ends
+            FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM conv)),
+        node AS (
+            SELECT node, d, min(c) AS conv_id, count(*) AS n_convs,
+                   CASE WHEN d > 0 THEN (count(*) - 1) * CAST(right(node, 12) AS BIGINT) ELSE 0 END AS saved,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM prefix GROUP BY node, d),
+        child AS (SELECT left(node, 44 * (d - 1)) AS node, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+        below AS (
+            SELECT left(x.node, 44 * x.up) AS node, x.up AS d, sum(x.saved) AS saved, count(*) FILTER (c.n IS NULL) AS leaves
+            FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM node) x LEFT JOIN child c ON x.node = c.node AND x.d = c.d
+            GROUP BY ALL)
+        SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+               coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM node n JOIN below b ON n.node = b.node AND n.d = b.d
+        LEFT JOIN child c ON n.node = c.node AND n.d = c.d
+        LEFT JOIN node p ON p.d = n.d - 1 AND p.node = left(n.node, 44 * (n.d - 1))
+    """,
     "op13_hard_negatives": """
         WITH vec AS (
             SELECT row_number() OVER () AS row, coalesce(vec_id, 9223372036854775807) AS id, vec_id % 100 = 0 AS is_anchor,

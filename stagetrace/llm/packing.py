@@ -14,7 +14,10 @@ numbers are sorted; the token ids meet them in one join.
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,49 +39,84 @@ END_OF_TEXT = 0
 CACHED_WORDS = 500_000
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def byte_letters() -> dict[int, int]:
+    """How a byte-level vocabulary writes a byte: printable ones as they are, all others, in
+    turn, as the letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class OddCharacter(Exception):
+    """A character that the tokenizer's splitter takes for another kind than our pattern does."""
+
+
+class Words(dict):
+    """The ids of a word as bytes; a word that is met again is looked up."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self.find = regex.compile(PATTERN).findall
+        self.model, self.letters = tokenizer.model, byte_letters()
+        self.known: dict[str, bool] = {}
+
+    def _agrees(self, char: str) -> bool:
+        probes = (f"a{char}a", f"1{char}1", f".{char}.", f" {char} ", f"a {char}{char} a", f"'{char}")
+        return all([p[i:j] for _, (i, j) in self.split(p)] == self.find(p) for p in probes)
+
+    def __missing__(self, word: str) -> bytes:
+        for char in set(word):
+            if char not in self.known:
+                self.known[char] = self._agrees(char)
+            if not self.known[char]:
+                raise OddCharacter
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        if word.isascii() and word.isprintable():
+            written = word.replace(" ", chr(self.letters[32]))
+        else:
+            written = word.encode().decode("latin-1").translate(self.letters)
+        out = self[word] = as_bytes([t.id for t in self.model.tokenize(written)])
+        return out
+
+
 class Encoder:
     """The ids of whole texts, word by word, so that a repeated word is encoded once.
 
-    A word's ids don't depend on its neighbours.  Words are found by a pattern of our own; a
-    character that it takes for another kind than the tokenizer's own splitter does is found
-    by trying it, once, and texts with such a character, or with the text of a special token,
-    are left to the tokenizer whole.
+    A word's ids don't depend on its neighbours.  Words are found by a pattern of our own.
+    Whether it takes a character for the same kind as the tokenizer's own splitter does is
+    tried once; texts with a character for which it does not, or with the text of a special
+    token, are left to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added]
-        self.find = regex.compile(PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.known: set[str] = set()
-        self.odd: set[str] = set()
+        settings = json.loads(definition)
+        splitter = settings["pre_tokenizer"] or {}
+        if settings["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space"):
+            raise ValueError("not a plain byte-level tokenizer")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = Words(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _try(self, char: str) -> None:
-        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        for probe in (f"a{char}a", f"1{char}1", f".{char}.", f" {char} ", f"a {char}{char} a", f"'{char}"):
-            if [probe[i:j] for _, (i, j) in split(probe)] != self.find(probe):
-                self.odd.add(char)
-        self.known.add(char)
+        return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        chars = set(text)
-        for char in chars - self.known:
-            self._try(char)
-        if not self.odd.isdisjoint(chars) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
+            return self.whole(text)
+        try:
+            return b"".join(map(self.words.__getitem__, self.words.find(text)))
+        except OddCharacter:
             return self.whole(text)
-        words, out = self.words, []
-        for word in self.find(text):
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= CACHED_WORDS:
-                    words.clear()
-                ids = words[word] = self.whole(word)
-            out.append(ids)
-        return b"".join(out)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -105,7 +143,7 @@ def token_pieces(docs: DataFrame, definition: str, key: str, text: str, capacity
     sent = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(sent.value), np.array([END_OF_TEXT], dtype="<u4").tobytes()
+        encode, end = encoder(sent.value), as_bytes([END_OF_TEXT])
         for frame in frames:
             rows = []
             for name, body in zip(frame["key"], frame["text"], strict=True):

@@ -16,9 +16,12 @@ OVERSHOOT = 4
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; one of our own only where none is set."""
+    """The checkpoint folder that driver and executors share; one of our own only where none is
+    set and all tasks run on the driver's machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="stagetrace-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder
@@ -37,16 +40,15 @@ def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def range_sorted(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """A saved table sorted by `by` over range partitions, with `_part` and `_place`: the
-    partition, in order, and the row's place in it, from 0."""
+    partition, in order, and the row's place in it, from 0.
+
+    Without a number of its own the exchange begins with the session's partitions, which
+    adaptive execution merges to its target size: as many as the rows call for."""
     at = F.monotonically_increasing_id()
     out = (
-        df.repartitionByRange(partitions(df.sparkSession), *by)
+        df.repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_at", at)
         .withColumn("_part", F.shiftright("_at", PLACE_BITS))

@@ -26,9 +26,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_key(key: Column, seed: int) -> Column:
-    """A random order that any engine can repeat: the start of a SHA-256."""
-    return F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256), 1, 16)
+def hash_key(key: Column, text: Column, seed: int) -> Column:
+    """A random order that any engine can repeat: the start of a SHA-256 of key and text, so
+    that rows with the same key, or none, are told apart, and spread."""
+    parts = (F.coalesce(c.cast("string"), F.lit("")) for c in (key, text))
+    return F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256), 1, 16)
 
 
 def source_targets(
@@ -71,6 +73,7 @@ def mixed(
     size: Column,
     key: str = "doc_id",
     source: str = "source",
+    text: str = "text",
     seed: int = 7,
     weights: Sequence[int] = WEIGHTS,
     most_epochs: int = MOST_EPOCHS,
@@ -80,21 +83,23 @@ def mixed(
     `taken` is the number of the document's tokens in the mix: its size for each whole
     epoch of its source, and for the last, partial one what lies before the cut, which
     falls inside a document if the budget does.  A source's taken tokens add up to the
-    floor of its target.  Null keys and null sources are values of their own; a source
-    without tokens has target 0; an empty table gives an empty result.
+    floor of its target.  A source's documents come in the order of a hash of key and text,
+    then of the size, so that a rerun takes the same, however the rows are dealt.  Null keys
+    and null sources are values of their own; a source without tokens has target 0; an empty
+    table gives an empty result.
     """
     rows = saved(
         docs.select(
             F.col(key).alias(key),
             F.col(source).alias("source"),
             size.alias("size"),
-            hash_key(F.col(key), seed).alias("_key"),
+            hash_key(F.col(key), F.col(text), seed).alias("_key"),
         ),
         "mix-sizes",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = saved(source_targets(sizes, weights, most_epochs), "mix-targets")
-    placed = range_sorted(rows, ["source", "_key", key], "mix-sorted")
+    placed = range_sorted(rows, ["source", "_key", key, "size"], "mix-sorted")
     # a row for each source in each range partition
     parts = placed.groupBy("_part", "source").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -61,8 +61,7 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     crc = F.crc32(text)
     size = F.octet_length(text) + 16
-    dims = {"length": F.log2(size), "crc": crc}
-    out = sharding.kd_shards(docs, size, dims, crc, SHARDS)
+    out = sharding.kd_shards(docs, size, sharding.text_metadata(text), crc, SHARDS)
     out = sharding.with_slots(out, "shard", ["doc_id"])
     return out.select(
         "doc_id",
@@ -159,7 +158,7 @@ ORACLES: dict[str, str] = {
     "op7_source_mix": rf"""
         WITH doc AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size,
-                   substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key
+                   substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 16) AS key
             FROM documents),
         named AS (
             SELECT source, source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
@@ -178,7 +177,7 @@ ORACLES: dict[str, str] = {
             FROM placed p, free f),
         summed AS (
             SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
-                   CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id
+                   CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
             FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source),
         epochs AS (

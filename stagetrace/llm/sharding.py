@@ -22,6 +22,9 @@ from stagetrace.llm.common import numbered, saved
 BITS = 12
 #: A cut may miss its target by this share of a shard.
 TOLERANCE = 0.005
+#: Rows alike in everything are parted only if they weigh more than this share of a shard;
+#: a cut beside them misses its target by half of it at most.
+ALIKE = 0.05
 #: Steps of a dimension, and the bits below them that order rows alike in it.
 STEPS = (1 << 30) - 1
 TIE_BITS = 32
@@ -55,15 +58,16 @@ class Cut:
         high = min(self.low + (1 << self.bits), 1 << KEY_BITS) - 1
         return self.node, self.right, self.dim, self.at, self.low, high, self.shift, float(self.target - self.before)
 
-    def narrow(self, found: Row, slack: float) -> None:
+    def narrow(self, found: Row, slack: float, alike: float) -> None:
         """Go on in the bin that holds the target: its rows, their keys' ends, their weight
         and the weight below.  Settle if one of its ends is near enough, or if there is but
-        one row, or one key, to put on either side."""
+        one row, or rows of one key of no more weight than `alike`, to put on either side."""
         miss = self.target - self.before - (found["cum"] - found["sum"])
         over = found["sum"] - miss
         self.before += found["cum"] - found["sum"]
         self.low, one_key = found["low"], found["low"] == found["high"]
-        if min(abs(miss), abs(over)) <= slack or found["n"] == 1 or (one_key and self.at >= 0):
+        whole = one_key and (self.at >= 0 or found["sum"] <= alike)
+        if min(abs(miss), abs(over)) <= slack or found["n"] == 1 or whole:
             self.low = found["high"] + 1 if abs(over) < abs(miss) else found["low"]
             self.settled = True
         elif one_key:  # too heavy: divide the rows that share it
@@ -79,7 +83,7 @@ def _table(spark: SparkSession, cuts: list[Cut]) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS cuts({names})"))
 
 
-def _round(rows: DataFrame, cuts: list[Cut], slack: float) -> None:
+def _round(rows: DataFrame, cuts: list[Cut], slack: float, alike: float) -> None:
     key = F.element_at("_keys", F.col("_dim"))
     # the node's rows, or those that share the key to be divided
     own = F.when(F.col("_at") < 0, key).when(key == F.col("_at"), F.col("_tie"))
@@ -103,7 +107,7 @@ def _round(rows: DataFrame, cuts: list[Cut], slack: float) -> None:
     hit = holds.groupBy("_node").agg(F.min_by(F.struct("cum", "sum", "n", "low", "high"), "_bin").alias("hit"))
     by_node = {r["_node"]: r["hit"] for r in hit.collect()}
     for cut in cuts:
-        cut.narrow(by_node[cut.node], slack)
+        cut.narrow(by_node[cut.node], slack, alike)
 
 
 def _split(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
@@ -117,6 +121,21 @@ def _split(rows: DataFrame, cuts: list[Cut]) -> DataFrame:
     return joined.withColumn("_node", node).select(*rows.columns)
 
 
+def text_metadata(text: Column) -> dict[str, Column]:
+    """Dimensions that tell texts of different kinds apart: length, script and layout.
+
+    All are functions of the text, so that equal texts are alike in them.
+    """
+    chars, octets = F.length(text), F.octet_length(text)
+    lines = octets - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return {
+        "log_chars": F.log2(chars + 1),
+        # from 1 for plain ASCII to 4
+        "bytes_a_char": F.when(chars > 0, octets / chars).otherwise(1.0),
+        "log_lines": F.log2(lines + 1),
+    }
+
+
 def kd_shards(
     docs: DataFrame,
     size: Column,
@@ -130,7 +149,7 @@ def kd_shards(
 
     `size` (above 0) is what the shards balance, `dims` the numeric dimensions; a null
     coordinate is the smallest.  Rows alike in all dimensions and in `group` are parted
-    only if their weight alone would throw a shard off balance by more than TOLERANCE.
+    only if their weight alone is more than the share ALIKE of a shard.
     The number of shards is given, or follows from target_bytes.  An empty table gives an
     empty result; rows that share a key, or have none, are rows of their own.
     """
@@ -182,7 +201,7 @@ def kd_shards(
             cut.low, cut.bits = s[f"_min{dim}"], widths[dim].bit_length()
             cuts.append(cut)
         while todo := [c for c in cuts if not c.settled]:
-            _round(placed, todo, slack)
+            _round(placed, todo, slack, ALIKE * ends["all"] / shards)
         placed = _split(placed, cuts)
         with_rows = {c.node for c in cuts}
         for node in open_:

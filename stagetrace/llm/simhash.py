@@ -326,7 +326,23 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, tau: int = TAU) -> DataFrame:
-    """The rows of docs whose key is the least of their component, with their own columns."""
-    found = near_duplicates(docs, key, text, words, tau)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
-    return docs.join(first, docs[key].eqNullSafe(first["_first"]), "left_semi")
+    """One row of docs for each component, with its own columns.
+
+    The row with the least key stays, null keys last; of rows with that key the one whose
+    text has the least hash, and one of rows that are alike.  Null, empty and blank texts
+    are one component with all others of fingerprint 0.  Columns of any name are kept; an
+    empty table stays empty.
+
+    Rows are saved with a number, so that rows with the same key or none are told apart; only
+    the numbers of the rows that go meet the documents again.
+    """
+    number = F.monotonically_increasing_id()
+    rows = saved(docs.select(F.struct("*").alias("doc"), number.alias("row")), "numbered-documents", "zstd")
+    name, body = F.col("doc")[key], F.col("doc")[text]
+    found = near_duplicates(rows.select("row", body.alias("text")), "row", "text", words, tau)
+    order = F.struct(name.isNull().alias("unnamed"), name.alias("key"), F.xxhash64(body).alias("hash"), "row")
+    members = found.select("row", "component_id").join(rows.select("row", order.alias("order")), "row")
+    members = saved(members, "members")
+    first = members.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first")["row"].alias("row"))
+    gone = saved(members.select("row").join(first, "row", "left_anti"), "near-copies")
+    return rows.join(gone, "row", "left_anti").select("doc.*")

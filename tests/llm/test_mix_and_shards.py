@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -35,7 +36,10 @@ def test_sources_take_their_budgets(make, odd_rows):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(taken[s] == int(t) for s, t in target.items())
-    again = mixing.mixed(make(odd_rows, parts=7), mixing.word_count(F.col("text")))
+    # rows that share a key or have none are told apart by their texts
+    rows = odd_rows + [(7, "w " * n, "c") for n in range(1, 9)] + [(None, "v " * n, "a") for n in range(1, 9)]
+    docs, again = (mixing.mixed(make(rows, parts=n), mixing.word_count(F.col("text"))) for n in (3, 7))
+    out = docs.collect()
     columns = ("doc_id", "size", "source_size", "target", "taken")
     assert as_set(again, *columns) == sorted((tuple(r[c] for c in columns) for r in out), key=repr)
 
@@ -53,8 +57,8 @@ def test_mixed_documents_come_once_an_epoch(make, odd_rows):
 
 def shards_of(docs, n, group=None):
     size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
-    crc = F.crc32(F.coalesce("text", F.lit("")))
-    return sharding.kd_shards(docs, size, {"length": F.log2(size), "crc": crc}, crc if group is None else group, n)
+    text = F.coalesce("text", F.lit(""))
+    return sharding.kd_shards(docs, size, sharding.text_metadata(text), F.crc32(text) if group is None else group, n)
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 40])
@@ -79,7 +83,41 @@ def test_equal_texts_stay_together_where_balance_permits(make):
     where = defaultdict(set)
     for r in out:
         where[r.doc_id // 4].add(r.shard)
-    assert sum(len(s) > 1 for s in where.values()) <= 4
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_cuts_against_a_plain_tree(make):
+    """Leaves of a tree built by sorting: the widest dimension, cut at the weighted quantile."""
+    rng = random.Random(21)
+    points = [(i, rng.randrange(1, 9), rng.random() * 5, rng.gauss(0, 1)) for i in range(600)]
+    spark = make([]).sparkSession
+    docs = spark.createDataFrame(points, "doc_id long, size long, x double, y double").repartition(5)
+    out = sharding.kd_shards(docs, F.col("size"), {"x": F.col("x"), "y": F.col("y")}, F.col("doc_id"), 11).collect()
+    ends = [(min(p[i] for p in points), max(p[i] for p in points)) for i in (2, 3)]
+
+    def scaled(p, i):
+        low, high = ends[i]
+        return (p[i + 2] - low) / (high - low)
+
+    def split(own, node, k):
+        if k == 1:
+            return {p[0]: node for p in own}
+        widths = [max(scaled(p, i) for p in own) - min(scaled(p, i) for p in own) for i in (0, 1)]
+        own = sorted(own, key=lambda p: scaled(p, widths.index(max(widths))))
+        total, before, cut = sum(p[1] for p in own) * (k // 2) / k, 0, 0
+        while before + own[cut][1] <= total:
+            before, cut = before + own[cut][1], cut + 1
+        return split(own[:cut], node, k // 2) | split(own[cut:], node + k // 2, k - k // 2)
+
+    plain = split(points, 0, 11)
+    got = {r.doc_id: r.shard for r in out}
+    # cuts may settle a row earlier or later
+    assert sum(got[d] == plain[d] for d in plain) > 0.97 * len(plain)
+    weight = Counter()
+    for p in points:
+        weight[got[p[0]]] += p[1]
+    mean = sum(weight.values()) / 11
+    assert max(abs(w - mean) for w in weight.values()) < 18
 
 
 def test_a_single_huge_group_is_divided(make):

@@ -125,5 +125,27 @@ def test_documents(make, odd_rows):
         least[root] = min((x for x in (least.get(root), d) if x is not None), default=None)
     expected = sorted(((d, fps[t], least[roots[fps[t]]]) for d, t, *_ in odd_rows), key=repr)
     assert sorted(map(tuple, got), key=repr) == expected
-    assert simhash.one_of_each(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_one_of_each(make, odd_rows):
+    """One row for each component, whatever share a key; the least key stays."""
+    changed = " ".join(f"w{i}" for i in range(900))
+    rows = [*odd_rows, (7, changed), (7, changed + " end"), (3, changed + " end"), (None, "alone"), (None, "alone")]
+    docs = make(rows)
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    fps = {t: slow_fingerprint(t) for _, t, *_ in rows}
+    roots = slow_components(set(fps.values()), 4)
+    members = {}
+    for d, t, *_ in rows:
+        members.setdefault(roots[fps[t]], []).append((d, t))
+    assert sorted(roots[fps[t]] for _, t in kept) == sorted(members)
+    for d, t in kept:
+        assert (d, t) in members[roots[fps[t]]]
+        keys = [k for k, _ in members[roots[fps[t]]] if k is not None]
+        assert d == min(keys, default=None)
+    # 3 has the near copy, so that no 7 with that text stays, though 7 is the first of another group
+    assert (3, changed + " end") in kept and not {(7, changed), (7, changed + " end")} & {*kept}
+    assert simhash.one_of_each(docs.where("false")).count() == 0

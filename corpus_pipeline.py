@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagetrace.llm import exact_dedup, mixing, near_copies, sampling, toxicity
+from stagetrace.llm import exact_dedup, mixing, sampling, simhash, toxicity
 from stagetrace.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard of 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group whose SimHash fingerprints are linked."""
+    return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

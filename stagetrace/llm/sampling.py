@@ -35,8 +35,8 @@ OFFSET = 10
 BLANK = 0x2581
 #: Stands for the sign of a blank where the text itself has it; beyond Unicode.
 LITERAL_BLANK = 0x120000
-#: No piece reaches across a word of so many characters.
-MOST_WORD = 256
+#: Words of more characters are parted where no piece reaches across, which changes nothing.
+LONG_WORD = 256
 BLOCK_CHARS = 2_000_000
 NONE = 0xFFFF
 #: Uniform numbers of 53 bits give Gumbel noise below NOISE; a set whose log-probability is
@@ -139,6 +139,25 @@ class Lattices:
             got[again] = np.where(self.sorted[at] == h[again], self.sorted_ids[at], len(self.weight))
         return got
 
+    def reached(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether a piece may reach across the place before each character of the words that
+        begin where `first` holds.  A segmentation that is parted elsewhere is a pair of
+        segmentations, so that the lattice is that of its parts."""
+        n = len(codes)
+        word = np.cumsum(first)
+        steps = np.zeros(n + 1, dtype=np.int64)
+        at, h = np.arange(n), np.zeros(n, dtype=np.uint64)
+        for k in range(self.most):
+            h = h * _BASE + codes[at + k].astype(np.uint64) + np.uint64(1)
+            if k:
+                hit = at[self.find(h) < len(self.weight)]
+                np.add.at(steps, hit + 1, 1)
+                np.add.at(steps, hit + k + 1, -1)
+            on = at + k + 1 < n
+            on[on] = word[at[on] + k + 1] == word[at[on]]
+            at, h = at[on], h[on]
+        return np.cumsum(steps[:n]) > 0
+
     def build(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Edges:
         """Lattices of the words codes[start : start + length].
 
@@ -149,7 +168,8 @@ class Lattices:
         left = np.repeat(first + lengths, lengths + 1) - np.arange(n)  # characters from the node on
         at = np.repeat(starts - first, lengths + 1) + np.arange(n)
         # nodes by their distance from the word's end: those with k characters left are a tail
-        nodes = np.argsort(left.astype(np.uint16), kind="stable")
+        narrow = np.uint16 if left.max(initial=0) < 1 << 16 else np.int64  # 16 bits are sorted faster
+        nodes = np.argsort(left.astype(narrow), kind="stable")
         ends = np.cumsum(np.bincount(left, minlength=1))
         place = at[nodes]
         h = np.zeros(n, dtype=np.uint64)
@@ -255,17 +275,18 @@ class Block:
         new[self.start[lengths > 0]] = True
         starts = np.flatnonzero(new)
         size = np.diff(np.r_[starts, len(codes)])
-        if len(size) and size.max() > MOST_WORD:  # longer words are cut
-            parts = -(-size // MOST_WORD)
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            size_all = np.repeat(size, parts)
-            starts = np.repeat(starts, parts) + nth * MOST_WORD
-            size = np.minimum(MOST_WORD, size_all - nth * MOST_WORD)
+        if len(size) and size.max() > LONG_WORD:
+            long = size > LONG_WORD
+            at = np.repeat(starts[long], size[long]) + np.concatenate([np.arange(n) for n in size[long].tolist()])
+            new[at[~self.lattices.reached(codes[at], new[at])]] = True
+            starts = np.flatnonzero(new)
+            size = np.diff(np.r_[starts, len(codes)])
         self.word_start, self.word_size = starts, size
         # distinct words, by hash, then checked character by character
         place = np.arange(len(codes)) - np.repeat(starts, size)
-        power = np.ones(MOST_WORD + 1, dtype=np.uint64)
-        np.multiply.accumulate(np.full(MOST_WORD, _BASE), out=power[1:])
+        longest = int(size.max(initial=0))
+        power = np.ones(longest + 1, dtype=np.uint64)
+        np.multiply.accumulate(np.full(longest, _BASE), out=power[1:])
         h = np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * _mix(power[place]), starts) if len(starts) else np.zeros(0, np.uint64)
         _, at, kind = np.unique(h, return_index=True, return_inverse=True)
         source = np.repeat(starts[at][kind] - starts, size) + np.arange(len(codes))

@@ -1,14 +1,15 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded, stratified sample of the labelled rows.  Terms are words and word
-beginnings that tell the classes apart; their document frequencies are counted over all
-documents.  The index keeps, for each term and block of examples, the largest weight, so
-that most blocks are skipped once the nearest are known, and still none is lost.
+Examples are a bounded, stratified sample of the labelled rows.  Terms are all words of the
+examples; their document frequencies are counted over all documents.  A term's weight in a
+text is its TF-IDF times the root of its chi-squared, that is, of how much the classes of the
+examples differ in it: words that tell nothing of the label hardly move a text, and none is
+left out.  The index keeps, for each term and block of examples, the largest weight, so that
+most blocks are skipped once the nearest are known, and still none is lost.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -19,22 +20,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagetrace.llm.common import bounded_sample, partitions, saved
+from stagetrace.llm.common import bounded_sample, saved
 
 #: The bound on the sample of labelled rows.
 MOST_EXAMPLES = 8192
-MOST_TERMS = 4096
-#: A term needs so many documents of the sample, and so large a chi-squared.
-LEAST_DOCS = 5
-LEAST_CHI2 = 30.0
-#: Beginnings of words that count as terms.
-PREFIXES = (4, 5)
 NEIGHBOURS = 16
 BLOCK = 512
 #: Pseudo-votes for the share of label 1.
-PRIOR_VOTES = 1.0
+PRIOR_VOTES = 0.1
 EVIDENCE = 5
 SEED = 9
+#: Tasks for the examples, a bounded number of rows.
+EXAMPLE_TASKS = 8
 
 _WORD = re.compile(r"\w+")
 RESULT = "score double, neighbours array<long>, similarities array<double>"
@@ -44,11 +41,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings with a mark."""
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
-
-
 def training_rows(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", hold_out: int = 5
 ) -> DataFrame:
@@ -59,120 +51,140 @@ def training_rows(
     return rows.groupBy(key).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
 
 
-def _chosen_terms(examples: DataFrame, most: int) -> list[str]:
-    """Terms whose presence differs most between the classes, by chi-squared."""
+@dataclass
+class Terms:
+    """The words of the examples, by number: sorted, a line each."""
+
+    lines: str
+
+    def numbers(self) -> dict[str, int]:
+        """Kept by a worker process for the tasks to come."""
+        if _NUMBERS.get("of") != self.lines:
+            _NUMBERS["of"] = self.lines
+            _NUMBERS["number"] = {w: i for i, w in enumerate(self.lines.split("\n"))} if self.lines else {}
+        return _NUMBERS["number"]
+
+
+_NUMBERS: dict = {}
+
+
+def counts_of(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The known terms of a text, ascending, and how often it has each."""
+    found = [(number[w], n) for w, n in Counter(words_of(text)).items() if w in number]
+    at, n = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    order = np.argsort(at)
+    return at[order], n[order]
+
+
+def example_words(examples: DataFrame) -> pd.DataFrame:
+    """word, a, b: the words of the examples, and how many of label 1 and 0 have them."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                found[toxic].update({t for w in set(words_of(text)) for t in terms_of(w)})
-        for toxic, terms in enumerate(found):
-            if not terms:
-                continue
-            yield pd.DataFrame({"term": list(terms), "toxic": toxic, "n": list(terms.values())})
+                found[toxic].update(set(words_of(text)))
+        for toxic, words in enumerate(found):
+            if words:
+                yield pd.DataFrame({"word": list(words), "toxic": toxic, "n": list(words.values())})
 
-    rows = examples.select("text", "toxic").mapInPandas(count, "term string, toxic int, n long")
+    rows = examples.select("text", "toxic").mapInPandas(count, "word string, toxic int, n long")
     a, b = (F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)) for y in (1, 0))
-    total = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    pos, neg = float(total.get(1, 0)), float(total.get(0, 0))
-    met = rows.groupBy("term").agg(a.alias("a"), b.alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
-    c, d = F.lit(pos) - F.col("a"), F.lit(neg) - F.col("b")
-    across = (F.col("a") + F.col("b")) * (c + d) * pos * neg
-    chi2 = F.when(across > 0, (pos + neg) * (F.col("a") * d - F.col("b") * c) ** 2 / across)
-    best = met.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    return [r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(most).collect()]
+    found = rows.groupBy("word").agg(a.alias("a"), b.alias("b")).toPandas()  # no more than the examples' words
+    return found.sort_values("word", ignore_index=True)
 
 
-class Terms:
-    """Counts of the chosen terms in a text."""
-
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        if word not in self.known:
-            if len(self.known) > 500_000:  # a cache only
-                self.known.clear()
-            self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        return self.known[word]
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known, words = self.known.get, words_of(text)
-        for word in set(words):
-            terms = known(word)
-            for t in self.of_word(word) if terms is None else terms:
-                out[t] = out.get(t, 0) + words.count(word)
-        return out
+def chi_squared(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """How much the presence of a term, in a examples of label 1 and b of label 0, tells of the label."""
+    a, b = a.astype(float), b.astype(float)
+    c, d = pos - a, neg - b
+    across = (a + b) * (c + d) * pos * neg
+    return np.where(across > 0, (pos + neg) * (a * d - b * c) ** 2 / np.maximum(across, 1.0), 0.0)
 
 
-def term_counts(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """(key, at, n) of every row of docs: the chosen terms it has, and how often."""
+def document_frequencies(docs: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are.
+
+    Counted inside each task; a task gives a row for each term it has met.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Terms(terms)
+        number = sent.value.numbers()
+        met, rows = np.zeros(len(number), dtype=np.int64), 0
         for frame in frames:
-            counts = [own.counts(t) for t in frame["text"]]
-            yield pd.DataFrame({"key": frame["key"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
+            rows += len(frame)
+            for t in frame["text"]:
+                met[[number[w] for w in set(words_of(t)) if w in number]] += 1
+        at = np.flatnonzero(met)
+        # the term -1 stands for the documents themselves
+        yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(met[at], rows)})
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(count, f"key {kind}, at array<int>, n array<int>")
+    rows = docs.select(F.col(text).alias("text")).mapInPandas(count, "term int, n long")
+    found = rows.groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # no more than the examples' words
+    out = np.zeros(terms.lines.count("\n") + 1 if terms.lines else 0, dtype=np.int64)
+    known = found[found["term"] >= 0]
+    out[known["term"].to_numpy()] = known["n"].to_numpy()
+    return out, int(found.loc[found["term"] < 0, "n"].sum())
 
 
-def document_frequencies(vectors: DataFrame, terms: int) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many documents there are."""
-    # the term -1 stands for the document itself
-    met = vectors.select(F.explode(F.concat("at", F.array(F.lit(-1)))).alias("term")).groupBy("term").count()
-    found = {r["term"]: r["count"] for r in met.collect()}
-    return np.array([found.get(t, 0) for t in range(terms)], dtype=np.int64), found.get(-1, 0)
+def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers from each start to its stop, one span after the other."""
+    n = stop - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 @dataclass
 class Index:
-    """Postings of the examples by (term, block), with each pair's largest weight.
+    """Postings of the examples by term, in cells by block, each with its largest weight.
 
-    start[t * blocks + b] is where the postings of term t in block b begin; examples
-    number `toxic` labels, `ids` keys.  `weight` undoes the stratified sample.
+    Term t has the cells cell[t] to cell[t + 1]; cell c lies in block[c], and its postings
+    are post[c] to post[c + 1].  Examples number `toxic` labels, `ids` keys.  `weight` undoes
+    the stratified sample.  A block is `width` examples.
     """
 
-    terms: list[str]
-    idf: np.ndarray
+    width: int
+    terms: Terms
+    factor: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: tuple[float, float]
     prior: float
     blank: float
-    blocks: int
-    start: np.ndarray
+    cell: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    post: np.ndarray
     example: np.ndarray
     value: np.ndarray
-    largest: np.ndarray
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of unit length."""
-        at = np.fromiter(sorted(counts), dtype=np.int64, count=len(counts))
-        tf = np.array([1.0 + math.log(counts[i]) for i in at.tolist()])
-        w = tf * self.idf[at]
-        return at, w / max(np.sqrt((w * w).sum()), 1e-12)
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of unit length; terms of no weight are left out."""
+        w = (1.0 + np.log(n)) * self.factor[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / max(np.sqrt((w * w).sum()), 1e-300)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples, with all that tie with the last, and their cosines."""
-        bound = w @ self.largest[at]
-        order = np.argsort(-bound, kind="stable")
+        first, last = self.cell[at], self.cell[at + 1]
+        cells, weights = spans(first, last), np.repeat(w, last - first)
+        by = np.argsort(self.block[cells], kind="stable")
+        cells, weights = cells[by], weights[by]
+        blocks, starts = np.unique(self.block[cells], return_index=True)
+        stops = np.append(starts[1:], len(cells))
+        bound = np.add.reduceat(weights * self.largest[cells], starts) if len(cells) else np.zeros(0)
         found, sims, floor = [], [], 0.0
-        for seen, b in enumerate(order.tolist()):
-            if bound[b] <= 0 or (seen and bound[b] < floor - 1e-9):
+        for seen, i in enumerate(np.argsort(-bound, kind="stable").tolist()):
+            if seen and bound[i] < floor - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, q in zip(at.tolist(), w.tolist(), strict=True):
-                lo, hi = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                score[self.example[lo:hi] - b * BLOCK] += q * self.value[lo:hi]
-            own = np.flatnonzero(score > max(0.0, floor - 1e-9))
-            found.append(own + b * BLOCK)
-            sims.append(score[own])
+            own, q = cells[starts[i] : stops[i]], weights[starts[i] : stops[i]]
+            a, z = self.post[own], self.post[own + 1]
+            at_post = spans(a, z)
+            base = blocks[i] * self.width
+            score = np.bincount(self.example[at_post] - base, np.repeat(q, z - a) * self.value[at_post], self.width)
+            near = np.flatnonzero(score > max(0.0, floor - 1e-9))
+            found.append(near + base)
+            sims.append(score[near])
             held = np.concatenate(sims)
             if len(held) >= k:
                 floor = np.partition(held, -k)[-k]
@@ -184,10 +196,8 @@ class Index:
         order = np.lexsort((self.ids[ids], -held.round(9)))
         return ids[order], held[order]
 
-    def score(self, counts: dict[int, int], k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        if not counts:
-            return self.blank, [], []
-        ids, sims = self.nearest(*self.vector(counts), k)
+    def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
+        ids, sims = self.nearest(*self.vector(*counts_of(text, self.terms.numbers())), k)
         if not len(ids):
             return self.blank, [], []
         # a vote weighs its cosine, squared; those that tie beyond k share the last places
@@ -198,75 +208,85 @@ class Index:
 
 
 def build_index(
-    docs: DataFrame,
-    training: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    most_examples: int = MOST_EXAMPLES,
-    most_terms: int = MOST_TERMS,
-    keep: bool = False,
-) -> tuple[Index, DataFrame]:
-    """The index of a sample of at most most_examples training rows, and the term counts of
-    all documents, which are saved if they are to be kept."""
+    docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", most_examples: int = MOST_EXAMPLES
+) -> Index:
+    """The index of a sample of at most most_examples training rows.
+
+    Of documents that share a key the least text counts.
+    """
     training = saved(training, "labelled")
     sample = bounded_sample(training, "toxic", most_examples, SEED, key)
     # at most most_examples rows
     own = F.broadcast(sample.select(F.col(key).alias("_key"), "toxic"))
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(own, F.col("id") == F.col("_key"))
-    examples = saved(rows.select("id", "text", "toxic").dropDuplicates(["id"]), "examples")
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.join(own, F.col("id") == F.col("_key")).groupBy("id", "toxic").agg(F.min("text").alias("text"))
     # a few rows of long texts; all tasks take part
-    examples = examples.repartition(8)
-    terms = _chosen_terms(examples, most_terms)
-    vectors = term_counts(docs, terms, key, text)
-    vectors = saved(vectors, "term-counts") if keep else vectors
-    found, n_docs = document_frequencies(vectors, len(terms))
+    examples = saved(rows, "examples").repartition(EXAMPLE_TASKS)
+    words = example_words(examples)
+    terms = Terms("\n".join(words["word"]))
+    found, n_docs = document_frequencies(docs, terms, text)
     idf = np.log((1.0 + n_docs) / (1.0 + found)) + 1.0
-    got = term_counts(examples, terms, "id", "text").join(examples.select(F.col("id").alias("key"), "toxic"), "key")
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = sent.value.numbers()
+        for frame in frames:
+            counts = [counts_of(t, number) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"], "at": [c[0] for c in counts], "n": [c[1] for c in counts]})
+
+    got = examples.mapInPandas(count, "id long, toxic int, at array<int>, n array<int>").toPandas()
     full = training.groupBy("toxic").count().collect()
-    got = got.withColumnRenamed("key", "id").toPandas().sort_values("id", ignore_index=True)
-    return _index(terms, idf, got, {r["toxic"]: r["count"] for r in full}), vectors
+    counts = words["a"].to_numpy(), words["b"].to_numpy()
+    return index_of(terms, idf, counts, got.sort_values("id", ignore_index=True), {r["toxic"]: r["count"] for r in full})
 
 
-def _index(terms: list[str], idf: np.ndarray, got: pd.DataFrame, full: dict[int, int]) -> Index:
+def index_of(
+    terms: Terms, idf: np.ndarray, counts: tuple[np.ndarray, np.ndarray], got: pd.DataFrame, full: dict[int, int]
+) -> Index:
+    """The index of the examples `got` (id, toxic, at, n); `counts` are the terms' examples of
+    label 1 and of label 0, `full` the training rows by label."""
     have = got["toxic"].value_counts()
     weight = tuple(float(full.get(y, 0) / have[y]) if y in have else 1.0 for y in (0, 1))
     weight = (weight[0] / weight[1], 1.0)
     total = sum(full.values())
     prior = full.get(1, 0) / total if total else 0.0
-    empty = got["at"].map(len) == 0
+    factor = idf * np.sqrt(chi_squared(*counts, float(have.get(1, 0)), float(have.get(0, 0))))
+    none, zero = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    out = Index(BLOCK, terms, factor, none, none, weight, prior, 0.0, np.zeros(len(idf) + 1, np.int64), none, np.zeros(0), zero, none, np.zeros(0))
+    vectors = [out.vector(np.asarray(a, dtype=np.int64), np.asarray(n)) for a, n in zip(got["at"], got["n"], strict=True)]
+    empty = np.array([not len(at) for at, _ in vectors], dtype=bool)
     n0, n1 = (((got["toxic"] == y) & empty).sum() * weight[y] for y in (0, 1))
-    blank = float((n1 + PRIOR_VOTES * prior) / (n0 + n1 + PRIOR_VOTES))
-    got = got[~empty].reset_index(drop=True)
-    out = Index(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), weight, prior, blank, 1, np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), 1)))
-    if got.empty:
-        return out
-    vectors = [out.vector(dict(zip(a, n, strict=True))) for a, n in zip(got["at"], got["n"], strict=True)]
+    out.blank = float((n1 + PRIOR_VOTES * prior) / (n0 + n1 + PRIOR_VOTES))
     # alike examples side by side, so that few blocks reach a query's bound
-    order = sorted(range(len(got)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(got["toxic"][i]), int(got["id"][i])))
+    order = sorted(
+        np.flatnonzero(~empty).tolist(),
+        key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(got["toxic"][i]), int(got["id"][i])),
+    )
+    if not order:
+        return out
     out.ids, out.toxic = got["id"].to_numpy()[order], got["toxic"].to_numpy()[order]
-    out.blocks = -(-len(order) // BLOCK)
     term = np.concatenate([vectors[i][0] for i in order])
     value = np.concatenate([vectors[i][1] for i in order])
     example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-    cell = term * out.blocks + example // BLOCK
-    by = np.argsort(cell, kind="stable")
-    out.example, out.value = example[by], value[by]
-    out.start = np.searchsorted(cell[by], np.arange(len(terms) * out.blocks + 1))
-    out.largest = np.zeros(len(terms) * out.blocks)
-    np.maximum.at(out.largest, cell, value)
-    out.largest = out.largest.reshape(len(terms), out.blocks)
+    by = np.argsort(term, kind="stable")  # then by example, and so by block
+    term, out.example, out.value = term[by], example[by], value[by]
+    block = out.example // out.width
+    new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
+    starts = np.flatnonzero(new)
+    out.block, out.post = block[starts], np.append(starts, len(term))
+    out.largest = np.maximum.reduceat(out.value, starts)
+    out.cell = np.searchsorted(term[starts], np.arange(len(idf) + 1))
     return out
 
 
 def scored(docs: DataFrame, index: Index, text: str = "text") -> Column:
     """A column (score, neighbours, similarities) for the texts of docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_EXAMPLES and MOST_TERMS
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # no more than the examples
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = sent.value
-        mine = Terms(own.terms)
         for batch in texts:
-            yield _results(own.score(mine.counts(t)) for t in batch)
+            yield _results(own.score(t) for t in batch)
 
     return F.pandas_udf(run, RESULT)(F.col(text))
 
@@ -279,30 +299,18 @@ def score_documents(docs: DataFrame, training: DataFrame, key: str = "doc_id", t
     """A row per row of docs: key, score, predicted, neighbours, similarities.
 
     training has (key, toxic), a row per labelled document.  Null, empty and other texts
-    without a chosen term get the share of label 1 among such examples; with no examples
+    without a word of weight get the share of label 1 among such examples; with no examples
     at all every score is 0.  Of examples as near as the k-th, all vote.  Only the text
     enters a score.  Further columns are not looked at.
     """
-    index, vectors = build_index(docs, training, key, text, keep=True, **bounds)
-    sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_EXAMPLES and MOST_TERMS
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
-        for frame in frames:
-            counts = (dict(zip(a.tolist(), n.tolist(), strict=True)) for a, n in zip(frame["at"], frame["n"], strict=True))
-            out = _results(own.score(c) for c in counts)
-            out.insert(0, "key", frame["key"])
-            yield out
-
-    kind = docs.schema[key].dataType.simpleString()
-    # few bytes, but much to do for each row
-    vectors = vectors.repartition(partitions(docs.sparkSession))
-    out = vectors.mapInPandas(run, f"key {kind}, {RESULT}").withColumnRenamed("key", key)
+    index = build_index(docs, training, key, text, **bounds)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    out = rows.select("key", scored(rows, index).alias("found")).select(F.col("key").alias(key), "found.*")
     return out.select(key, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "similarities")
 
 
 def without_toxic(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", **bounds: int) -> DataFrame:
     """The rows of docs that score below 0.5, with their own columns; nothing is shuffled."""
-    index, _ = build_index(docs, training, key, text, **bounds)
+    index = build_index(docs, training, key, text, **bounds)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
     return whole.where(scored(whole, index, "_text")["score"] < 0.5).select("_doc.*")

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -53,26 +57,79 @@ def test_languages_are_told_apart(make):
     assert nothing is None and {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
 
 
-def brute_scores(vectors, query):
-    return np.array([sum(query.get(t, 0.0) * w for t, w in v.items()) for v in vectors])
-
-
-def test_nearest_examples_against_all_cosines():
-    rng = random.Random(6)
-    terms = [f"t{i}" for i in range(40)]
-    counts = [{t: rng.randrange(1, 4) for t in rng.sample(range(40), rng.randrange(1, 7))} for _ in range(1500)]
-    got = pd.DataFrame({"id": range(1500), "toxic": [rng.randrange(2) for _ in counts], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
-    index = toxicity._index(terms, np.linspace(1, 3, 40), got, {0: 1500, 1: 700})
-    assert index.blocks > 1
-    vectors = [dict(zip(*(x.tolist() for x in index.vector(c)), strict=True)) for c in counts]
-    for _ in range(40):
-        query = {t: rng.randrange(1, 4) for t in rng.sample(range(40), rng.randrange(1, 7))}
-        at, w = index.vector(query)
-        ids, sims = index.nearest(at, w, 10)
-        true = brute_scores(vectors, dict(zip(at.tolist(), w.tolist(), strict=True)))
-        last = np.sort(true)[-10]
-        assert set(index.ids[ids].tolist()) == set(np.flatnonzero(true >= max(last, 1e-12) - 1e-9).tolist())
-        assert np.allclose(sims, true[index.ids[ids]])
+def brute_scores(texts, labels, queries, k=16):
+    """Scores by all cosines over all words of the examples, from plain dictionaries.
+
+    texts: {key: text} of all documents; labels: {key: label} of the examples."""
+    words = {d: Counter(re.findall(r"\w+", (t or "").lower())) for d, t in texts.items()}
+    known = {w for d in labels for w in words[d]}
+    df = Counter(w for c in words.values() for w in c if w in known)
+    pos, neg = sum(labels.values()), len(labels) - sum(labels.values())
+    factor = {}
+    for w in known:
+        a, b = (sum(w in words[d] for d, y in labels.items() if y == z) for z in (1, 0))
+        c, d = pos - a, neg - b
+        across = (a + b) * (c + d) * pos * neg
+        chi2 = (pos + neg) * (a * d - b * c) ** 2 / across if across else 0.0
+        factor[w] = (math.log((1 + len(texts)) / (1 + df[w])) + 1) * math.sqrt(chi2)
+
+    def vector(counts):
+        v = {w: (1 + math.log(n)) * factor[w] for w, n in counts.items() if factor.get(w)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [(y, vector(words[d])) for d, y in labels.items()]
+    prior, extra = pos / len(labels), toxicity.PRIOR_VOTES
+    none = [y for y, v in examples if not v]
+    out = {}
+    for key in queries:
+        query = vector(words[key])
+        sims = sorted(((sum(query.get(w, 0.0) * x for w, x in v.items()), y) for y, v in examples if v), reverse=True)
+        near = [(s, y) for s, y in sims if s > 1e-12 and s >= sims[min(k, len(sims)) - 1][0] - 1e-9]
+        if near:
+            share = min(1.0, k / len(near))
+            votes = sum(s * s * share for s, _ in near)
+            out[key] = (sum(s * s * share for s, y in near if y) + extra * prior) / (votes + extra)
+        else:
+            out[key] = (sum(none) + extra * prior) / (len(none) + extra)
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_scores_against_all_cosines(spark, make, monkeypatch, block):
+    """From the texts on, over the whole vocabulary; every example with a word of weight is indexed."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = random.Random(12)
+    rare = [f"word{i}" for i in range(300)]
+    texts = {i: " ".join(rng.choices(EN, k=8) + rng.choices(rare, k=rng.randrange(0, 12)) + ["vile"] * (i % 4 == 0 and rng.randrange(3))) for i in range(260)}
+    texts |= {900: None, 901: "", 902: "!!", 903: "unheard of nonsense", 904: texts[8], 905: texts[9].upper()}
+    labels = {i: int(i % 4 == 0) for i in range(150)} | {900: 0, 904: 1}
+    docs = make(list(texts.items()))
+    training = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, training).collect()}
+    want = brute_scores(texts, labels, texts)
+    assert got.keys() == want.keys()
+    assert all(got[d] == pytest.approx(want[d], abs=1e-6) for d in want)
+    index = toxicity.build_index(docs, training)
+    assert len(index.ids) == len(labels) - 1  # but the empty one
+    if block == 7:
+        assert len(set(index.block.tolist())) > 15
+
+
+def test_no_example_is_left_out_at_any_size(spark):
+    """Every sampled example with a word is indexed, and held-out toxic documents are found."""
+    for sf, least in (("sf0.001", None), ("sf0.01", 0.8)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        training = toxicity.training_rows(docs, labels)
+        index = toxicity.build_index(docs, training)
+        met = docs.join(training, "doc_id").where("text rlike '\\\\w'").count()
+        assert 0.99 * met <= len(index.ids) <= met
+        if least:
+            truth = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+            scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, training).collect()}
+            pos, neg = ([scores[d] for d, y in truth.items() if d in scores and y == z] for z in (1, 0))
+            auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+            assert auc >= least
 
 
 def test_toxic_texts_are_found(spark, make):
@@ -89,7 +146,7 @@ def test_toxic_texts_are_found(spark, make):
     for r in got.values():
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
         toxic = r.doc_id in (402, 403) or (r.doc_id is not None and r.doc_id < 300 and r.doc_id % 5 == 0)
-        assert r.predicted == toxic and bool(r.neighbours) == toxic
+        assert r.predicted == toxic and (r.neighbours or not toxic)
     kept = toxicity.without_toxic(docs, training, most_examples=80)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 60 - 3
     none = toxicity.score_documents(docs, training.where("false"))
@@ -98,16 +155,12 @@ def test_toxic_texts_are_found(spark, make):
 
 
 def test_held_out_labels_are_not_learnt(spark):
-    import zlib
-
     labels = spark.createDataFrame([(i, 1) for i in range(500)], "doc_id long, toxic int")
     learnt = {r.doc_id for r in toxicity.training_rows(labels, labels).collect()}
     assert learnt == {i for i in range(500) if zlib.crc32(str(i).encode()) % 5}
 
 
 def paragraphs(text):
-    import re
-
     return set(re.split(iblt.PARAGRAPH, text or ""))
 
 

@@ -57,11 +57,15 @@ def test_draws_follow_the_distribution_without_replacement(text, k):
     for p in true:
         assert abs(first[p] / n - true[p]) < 5 * math.sqrt(true[p] / n) + 1e-3
         assert abs(second[p] / n - then[p]) < 5 * math.sqrt(then[p] / n) + 1e-3
-    # each path's inverse inclusion probability weighs it right
-    share = defaultdict(float)
+    # each path's inverse inclusion probability weighs it right: the mean is 1, within five
+    # standard errors, as inverses have a heavy tail
+    weights = defaultdict(list)
     for p, x in zip(out["path"], out["log_inclusion"], strict=True):
-        share[p] += math.exp(-x) / n
-    assert all(abs(share[p] - 1) < 0.1 for p in true if true[p] > 0.05)
+        weights[p].append(math.exp(-x))
+    for p in true:
+        if true[p] > 0.05:
+            mean, square = sum(weights[p]) / n, sum(x * x for x in weights[p]) / n
+            assert abs(mean - 1) < 5 * math.sqrt((square - mean * mean) / n)
 
 
 def test_all_segmentations_come_out_when_k_is_large():
@@ -75,6 +79,31 @@ def test_all_segmentations_come_out_when_k_is_large():
     assert (out["log_inclusion"] == 0).all()
 
 
+@pytest.mark.parametrize("unit", ["ab", "abba", "aéb", "zz", "abé"])
+def test_long_runs_without_a_blank_are_whole(unit):
+    """A run of 900 characters has the probabilities of its whole lattice, wherever it is parted."""
+    vocabulary = small_vocabulary()
+    lattices = Lattices(vocabulary, 0.7)
+    text = (unit * 900)[:900]
+    blank = chr(sampling.BLANK)
+    codes = blank + text
+    # log of the summed weight of all ways from each place to the end
+    match = {p: float(lattices.weight[i]) for i, p in enumerate(vocabulary.pieces) if vocabulary.normal[i]}
+    ways = [0.0] * (len(codes) + 1)
+    for at in range(len(codes) - 1, -1, -1):
+        found = [w + ways[at + len(p)] for p, w in match.items() if codes.startswith(p, at)]
+        if codes[at] not in match:
+            found.append(float(lattices.byte_weight) * len(codes[at].encode()) + ways[at + 1])
+        top = max(found)
+        ways[at] = top + math.log(sum(math.exp(x - top) for x in found))
+    out = segmentations([text] * 3, row_seeds([1, 2, 3], 5), lattices, 2)
+    for ids, logp in zip(out["ids"], out["log_prob"], strict=True):
+        assert decode(ids, vocabulary) == text
+        pieces = np.frombuffer(ids, "<u2").tolist()
+        total = sum(float(lattices.weight[i] if vocabulary.normal[i] else lattices.byte_weight) for i in pieces)
+        assert logp == pytest.approx(total - ways[0], abs=0.02)
+
+
 TEXTS = ["", "a", "▁ sign ▁▁", "two  spaces   three", "line\n\nfeeds\r\n\ttab", "é日本😀\u0000", "x" * 3000, " leading and trailing ", "word " * 3000]
 
 

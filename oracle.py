@@ -23,7 +23,7 @@ WITH stage1 AS (
   SELECT 'sess-' || CAST(event_id AS VARCHAR) AS session_id,
     CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(user_id % 27 AS VARCHAR) END AS farm_id,
     CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS camera_id,
-    CASE WHEN event_id % 61 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_milliseconds(61259900)
+    CASE WHEN (event_id + day(ts)) % 11 = 0 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + to_milliseconds(61259900)
          ELSE ts END AS processing_timestamp,
     CASE event_type WHEN 'purchase' THEN 'animal_husbandry' WHEN 'error' THEN 'down_cow'
                     WHEN 'click' THEN 'quick_movements' ELSE 'no_event' END AS highest_probability_category,
@@ -394,6 +394,12 @@ def statements() -> dict[str, str]:
         "link_range_time_window": _range_links(f"{_OF_TENANT.format(TENANT)} {_WORKING_HOURS}") + _ALL,
         "link_all_days": whole + _ALL,
         "link_all_days_salted": whole + _ALL,
+        "link_all_days_profiled": whole + _ALL,
+        "link_all_days_colocated": whole + _ALL,
+        "hot_link_keys": f"""{TABLES}, keyed2 AS ({_keyed2()})
+            SELECT camera_id, blk_file, video_timestamp_key, count(*) AS inferences, CAST(ceil(count(*) / 2.0) AS INTEGER) AS slots
+            FROM keyed2 WHERE camera_id IS NOT NULL AND blk_file IS NOT NULL AND video_timestamp_key IS NOT NULL
+            GROUP BY ALL HAVING count(*) >= 2""",
         "link_stages_verbatim_salted": day(strict=False) + _ALL,
         "video_url": whole + "SELECT session_id, stage2_inference_id, video_url_derived FROM linked",
         "frame_video_url": f"{TABLES} SELECT session_id, {_URL.format(path='NULL', frame=frame)} AS video_url FROM stage1",

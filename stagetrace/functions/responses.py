@@ -8,41 +8,22 @@ from pyspark.sql import functions as F
 # The states a response can be in.
 JSON, TEXT, ABSENT = "json", "text", "missing"
 
-_STRICT = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "_bad",
-    "allowSingleQuotes": "false",
-}
-
-
-# Last item of the array a text is tested in.
-_END = "~end~"
-
-
 def is_json(text: Column) -> Column:
     """Whether the whole text is one JSON value; null for null.
 
     Spark's JSON functions stop after the first value, so trailing text would go
-    unnoticed.  The text is therefore read as the item before a known last item:
-    it is one value exactly if that item is found, and is the second.  Text that
-    contains the known item itself is tested both as the only item of an array
-    and as the only member of an object; no trailing text survives both.
-    `NaN`, infinities and repeated object keys are accepted.
+    unnoticed.  The text is therefore read as the item before a known last item, once:
+    it is one value exactly if that item is found, and is the second.  The last item is
+    the text's own digest, which the text cannot contain.  `NaN`, infinities and
+    repeated object keys are accepted.
     """
+    last = F.md5(text)
     items = F.from_json(
-        F.concat(F.lit("["), text, F.lit(f',"{_END}"]')), "array<string>", _STRICT
-    )
-    as_item = F.from_json(
-        F.concat(F.lit('{"v":['), text, F.lit("]}")), "v array<string>, _bad string", _STRICT
-    )
-    as_member = F.from_json(
-        F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _bad string", _STRICT
-    )
-    return (
-        F.when(text.isNull(), F.lit(None).cast("boolean"))
-        .when(text.contains(_END), as_item["_bad"].isNull() & as_member["_bad"].isNull())
-        .otherwise(F.coalesce(F.array_position(items, _END) == 2, F.lit(False)))
+        F.concat(F.lit("["), text, F.lit(',"'), last, F.lit('"]')),
+        "array<string>",
+        {"allowSingleQuotes": "false"},
     )
+    return F.when(text.isNotNull(), F.coalesce(F.array_position(items, last) == 2, F.lit(False)))
 
 
 def unescaped(text: Column) -> Column:
@@ -50,22 +31,23 @@ def unescaped(text: Column) -> Column:
     return F.replace(text, F.lit("\\n"), F.lit("\n"))
 
 
-def response_status(raw: Column) -> Column:
-    clean = unescaped(raw)
-    return (
-        F.when(F.coalesce(raw, F.lit("")) == "", F.lit(ABSENT))
-        .when(is_json(clean), F.lit(JSON))
-        .otherwise(F.lit(TEXT))
-    )
-
-
-def response_text(raw: Column, status: Column, max_chars: int | None = None) -> Column:
-    """Text to show: as it is for JSON, unquoted for anything else.
+def normalized(raw: Column, max_chars: int | None = None) -> Column:
+    """The state of a response and the text to show for it, as `status` and `body`.
 
-    With `max_chars` a text that is not JSON is cut to so many characters.
+    The text is as it is for JSON, and unquoted for anything else; with `max_chars`
+    a text that is not JSON is cut to so many characters.  One value, so that a text
+    is parsed once for both.
     """
     clean = unescaped(raw)
     plain = F.replace(clean, F.lit('\\"'), F.lit('"'))
     if max_chars is not None:
         plain = F.left(plain, F.lit(max_chars))
-    return F.when(status == JSON, clean).when(status == TEXT, plain)
+
+    def state(status: str, body: Column) -> Column:
+        return F.struct(F.lit(status).alias("status"), body.alias("body"))
+
+    return (
+        F.when(F.coalesce(raw, F.lit("")) == "", state(ABSENT, F.lit(None).cast("string")))
+        .when(is_json(clean), state(JSON, clean))
+        .otherwise(state(TEXT, plain))
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stagetrace.functions import text
-from stagetrace.functions.responses import ABSENT, response_status, response_text
+from stagetrace.functions.responses import ABSENT, normalized
 from stagetrace.operators.lookup import with_display_name
 
 # The lines of the text, and below the labels in them.
@@ -32,8 +32,11 @@ def normalize_response(
     df: DataFrame, raw: str, status: str, body: str, max_chars: int | None = None
 ) -> DataFrame:
     """Add the state of a raw response and the text to show for it."""
-    return df.withColumn(status, response_status(F.col(raw))).withColumn(
-        body, response_text(F.col(raw), F.col(status), max_chars)
+    both = f"_{status}_{body}"
+    return (
+        df.withColumn(both, normalized(F.col(raw), max_chars))
+        .withColumns({status: F.col(both)["status"], body: F.col(both)["body"]})
+        .drop(both)
     )
 
 

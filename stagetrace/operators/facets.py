@@ -6,86 +6,141 @@ Every list has the columns `pos`, `label` and `id`; position 0 is "All".
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagetrace.functions.choices import ALL, chosen
 from stagetrace.operators.linkage import events_on_day
-from stagetrace.operators.lookup import with_display_name
+from stagetrace.operators.lookup import join_key
 
+# The names of the lists.
+TENANT, FARM, CAMERA = "tenant", "farm", "camera"
 
-def _listed(entries: DataFrame) -> DataFrame:
-    """Number the entries by label and put "All" in front.
+# Entries that cut the lists into parts; a plan parameter, positions never depend on it.
+SPLITTERS = 64
 
-    The window has no partition: a list has one short row for each tenant, farm or
-    camera of a day, and a position is of use only in a list that is shown whole.
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Add `pos`, each entry's place in its `facet` by label and id, from 1.
+
+    No list passes through one task.  The entries with the smallest hashes, a sample
+    that depends on the entries alone, cut all lists into parts; an entry's place is
+    its place in its part, which is sorted alone, after the sizes of the parts before.
+    Whatever evaluates the sample or the sizes again gets the same.
     """
-    order = Window.orderBy("label", "id")
-    numbered = entries.select(F.row_number().over(order).alias("pos"), "label", "id")
-    everything = entries.sparkSession.range(1, numPartitions=1).select(
-        F.lit(0).alias("pos"), F.lit(ALL).alias("label"), F.lit(ALL).alias("id")
+    columns = ("facet", "label", "id")
+    lowest = rows.orderBy(F.xxhash64(*columns), *columns).limit(SPLITTERS)
+    splitters = F.array_sort(F.collect_list(F.struct("label", "id"))).alias("_splitters")
+    part = F.size(F.filter("_splitters", lambda s: s <= F.struct("label", "id")))
+    # a row for each list, here and below
+    cut = rows.join(F.broadcast(lowest.groupBy("facet").agg(splitters)), "facet", "left")
+    parts = cut.select(*columns, F.when(F.col("_splitters").isNull(), 0).otherwise(part).alias("_part"))
+    # at most a part for each splitter, and one more for each list
+    sizes = parts.groupBy("facet", "_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.groupBy("facet").agg(F.collect_list(F.struct("_part", "_n")).alias("_sizes"))
+    parts = parts.join(F.broadcast(sizes), "facet")
+    ahead = F.filter("_sizes", lambda p: p["_part"] < F.col("_part"))
+    before = F.aggregate(ahead, F.lit(0).cast("long"), lambda n, p: n + p["_n"])
+    place = F.row_number().over(Window.partitionBy("facet", "_part").orderBy("label", "id"))
+    return parts.select("facet", (before + place).cast("int").alias("pos"), "label", "id")
+
+
+def listed(rows: DataFrame, lists: Sequence[str]) -> DataFrame:
+    """Number the entries of each list and put "All" in front."""
+    name = F.explode(F.array(*(F.lit(x) for x in lists)))
+    everything = rows.sparkSession.range(1, numPartitions=1).select(
+        name.alias("facet"), F.lit(0).alias("pos"), F.lit(ALL).alias("label"), F.lit(ALL).alias("id")
     )
-    return everything.unionByName(numbered)
+    return everything.unionByName(numbered(rows))
 
 
-def seen_on(detections: DataFrame, day: str | dt.date) -> DataFrame:
-    """Farms and cameras seen together on the day; all lists can be made of it."""
-    return events_on_day(detections, day).select("farm_id", "camera_id").distinct()
+def _entry(facet: str, label: Column, value: Column) -> Column:
+    return F.struct(F.lit(facet).alias("facet"), label.alias("label"), value.alias("id"))
 
 
-def _seen(detections: DataFrame, day: str | dt.date, column: str) -> DataFrame:
-    """One of the two alone, for a single list."""
-    return events_on_day(detections, day).select(column).where(F.col(column).isNotNull())
+def _tenant_of_farm() -> Column:
+    """The tenant as an entry; farms without a tenant add none."""
+    return F.when(F.col("tenant_id") != "", _entry(TENANT, F.col("tenant_name"), F.col("tenant_id")))
 
 
-def _ids(seen: DataFrame, column: str) -> DataFrame:
-    return seen.select(column).where(F.col(column).isNotNull()).distinct()
+def _named_farms(ids: DataFrame, farms: DataFrame, tenant: Any = None) -> DataFrame:
+    """With the farm's names, of one tenant if one is given."""
+    columns = [c for c in ("farm_name", "tenant_id", "tenant_name") if c in farms.columns]
+    farms = farms.select(join_key("farm_id").alias("_farm"), *columns)
+    if chosen(tenant) is None:
+        return ids.join(farms, F.col("farm_id") == F.col("_farm"), "left")
+    wanted = farms.where(F.col("tenant_id") == F.lit(chosen(tenant)))
+    return ids.join(wanted, F.col("farm_id") == F.col("_farm"))
 
 
-def _first(ids: DataFrame, column: str, limit: int | None) -> DataFrame:
-    return ids if limit is None else ids.orderBy(column).limit(limit)
+def _farm_entry() -> Column:
+    return _entry(FARM, F.coalesce("farm_name", "farm_id"), F.col("farm_id"))
 
 
-def tenant_list(seen: DataFrame, farms: DataFrame) -> DataFrame:
-    """Tenants of the farms seen; farms without a tenant add none."""
-    tenants = (
-        _ids(seen, "farm_id")
-        .join(farms.where("tenant_id <> ''"), "farm_id")
-        .select(F.col("tenant_name").alias("label"), F.col("tenant_id").alias("id"))
-        .distinct()
-    )
-    return _listed(tenants)
+def _camera_entry() -> Column:
+    return _entry(CAMERA, F.coalesce("camera_name", "camera_id"), F.col("camera_id"))
 
 
-def farm_list(
-    seen: DataFrame, farms: DataFrame, tenant: Any = None, limit: int | None = None
-) -> DataFrame:
-    """Farms seen, of one tenant if one is given; a limit then keeps the first by id."""
-    ids = _ids(seen, "farm_id")
-    if chosen(tenant) is not None:
-        wanted = farms.where(F.col("tenant_id") == F.lit(chosen(tenant))).select("farm_id")
-        ids = ids.join(wanted, "farm_id", "left_semi")
-    named = with_display_name(
-        _first(ids, "farm_id", limit), farms, "farm_id", "farm_name", "label"
-    )
-    return _listed(named.select("label", F.col("farm_id").alias("id")))
+def _named_cameras(ids: DataFrame, cameras: DataFrame) -> DataFrame:
+    names = cameras.select(join_key("camera_id").alias("_camera"), "camera_name")
+    return ids.join(names, F.col("camera_id") == F.col("_camera"), "left")
 
 
-def camera_list(
-    seen: DataFrame, cameras: DataFrame, farm: Any = None, limit: int | None = None
+def entries(
+    detections: DataFrame,
+    farms: DataFrame,
+    cameras: DataFrame,
+    day: str | dt.date,
+    lists: Sequence[str] = (TENANT, FARM, CAMERA),
+    tenant: Any = None,
 ) -> DataFrame:
-    """Cameras seen, on one farm if one is given; a limit then keeps the first by id."""
-    if chosen(farm) is not None:
-        seen = seen.where(F.col("farm_id") == F.lit(chosen(farm)))
-    ids = _first(_ids(seen, "camera_id"), "camera_id", limit)
-    named = with_display_name(ids, cameras, "camera_id", "camera_name", "label")
-    return _listed(named.select("label", F.col("camera_id").alias("id")))
+    """`facet`, `label` and `id` of several lists of a day, from one aggregation of its events.
+
+    The events are grouped by farm and by camera at once.  Tenants are those of the
+    farms seen.  A tenant restricts the farms.
+    """
+    by = [F.col("farm_id")], [F.col("camera_id")]
+    seen = events_on_day(detections, day).select("farm_id", "camera_id")
+    seen = seen.groupingSets(by, "farm_id", "camera_id").agg(F.grouping("farm_id").alias("_camera_row"))
+    farm_rows = _named_farms(seen.where("_camera_row = 0 AND farm_id IS NOT NULL"), farms, tenant)
+    camera_rows = _named_cameras(seen.where("_camera_row = 1 AND camera_id IS NOT NULL"), cameras)
+    of_farm = [e for name, e in ((FARM, _farm_entry()), (TENANT, _tenant_of_farm())) if name in lists]
+    found = farm_rows.select(F.inline(F.array_compact(F.array(*of_farm))))
+    if TENANT in lists:
+        found = found.distinct()  # several farms of a tenant
+    if CAMERA in lists:
+        found = found.unionByName(camera_rows.select(F.inline(F.array(_camera_entry()))))
+    return found
+
+
+def all_lists(
+    detections: DataFrame,
+    farms: DataFrame,
+    cameras: DataFrame,
+    day: str | dt.date,
+    lists: Sequence[str] = (TENANT, FARM, CAMERA),
+    tenant: Any = None,
+) -> DataFrame:
+    """The entries in their places, told apart by `facet`."""
+    return listed(entries(detections, farms, cameras, day, lists, tenant), lists)
+
+
+def _ids(detections: DataFrame, day: str | dt.date, column: str, limit: int | None = None) -> DataFrame:
+    ids = events_on_day(detections, day).select(column).where(F.col(column).isNotNull()).distinct()
+    return ids if limit is None else ids.orderBy(column).limit(limit)
+
+
+def _one(rows: DataFrame, entry: Column, facet: str) -> DataFrame:
+    return listed(rows.select(F.inline(F.array(entry))), [facet]).drop("facet")
 
 
 def tenant_facet(detections: DataFrame, farms: DataFrame, day: str | dt.date) -> DataFrame:
-    return tenant_list(_seen(detections, day, "farm_id"), farms)
+    rows = _named_farms(_ids(detections, day, "farm_id"), farms).where("tenant_id <> ''")
+    tenants = rows.select("tenant_id", "tenant_name").distinct()
+    return _one(tenants, _tenant_of_farm(), TENANT)
 
 
 def farm_facet(
@@ -95,7 +150,12 @@ def farm_facet(
     tenant: Any = None,
     limit: int | None = None,
 ) -> DataFrame:
-    return farm_list(_seen(detections, day, "farm_id"), farms, tenant, limit)
+    """Farms seen, of one tenant if one is given; a limit then keeps the first by id."""
+    ids = _ids(detections, day, "farm_id")
+    rows = _named_farms(ids, farms, tenant)
+    if limit is not None:
+        rows = rows.orderBy("farm_id").limit(limit)
+    return _one(rows, _farm_entry(), FARM)
 
 
 def camera_facet(
@@ -105,6 +165,8 @@ def camera_facet(
     farm: Any = None,
     limit: int | None = None,
 ) -> DataFrame:
+    """Cameras seen, on one farm if one is given; a limit then keeps the first by id."""
     if chosen(farm) is not None:
         detections = detections.where(F.col("farm_id") == F.lit(chosen(farm)))
-    return camera_list(_seen(detections, day, "camera_id"), cameras, None, limit)
+    ids = _ids(detections, day, "camera_id", limit)
+    return _one(_named_cameras(ids, cameras), _camera_entry(), CAMERA)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import and_
 from typing import Any
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stagetrace.functions import daytime, keys
 from stagetrace.functions.choices import as_day, chosen, time_bound
-from stagetrace.operators.hotkeys import HOT_ROWS, left_join
+from stagetrace.operators.hotkeys import HOT_ROWS, Band, heavy_names, hot_keys, key_profile, left_join
 from stagetrace.operators.lookup import join_key
 
 # Rows of a short and of a whole result page.
@@ -58,6 +59,12 @@ _KEYS = (
     ("frame_timestamp_key", "video_timestamp_key"),
 )
 _DAY1, _DAY2 = "_stage1_day", "_stage2_day"
+_SPAN1, _SPAN2 = "_stage1_span", "_stage2_span"
+
+# Days of a span, for each day of the band: an inference is in two spans only if
+# its band crosses the edge between them, so that (1 + 2 / 16) of its rows meet
+# the detections.
+SPAN_DAYS = 16
 
 
 @dataclass(frozen=True)
@@ -272,6 +279,11 @@ def _nearby(day: str, band: int) -> Column:
     return F.explode(F.sequence(F.date_sub(day, band), F.date_add(day, band)))
 
 
+def _span(day: Column, band: int) -> Column:
+    """The number of the span of days in which a day lies."""
+    return F.floor(F.unix_date(day) / F.lit(SPAN_DAYS * max(band, 1))).cast("int")
+
+
 def _probed(
     stage1: DataFrame, row: str, stage2: DataFrame, band: int | None
 ) -> DataFrame:
@@ -312,44 +324,94 @@ def _top_rows(
     return stage1.join(pairs, "_rank", "left").orderBy(*within).limit(limit)
 
 
-def _second_stage(inferences: DataFrame, modes: Modes) -> DataFrame:
+def second_stage(inferences: DataFrame, modes: Modes) -> DataFrame:
     """Keyed inferences with their day; those with both keys blank link to nothing."""
     rows = stage2_keyed(inferences, modes.blank_keys, modes.raw)
     rows = rows.where((F.col("blk_file") != "") | (F.col("video_timestamp_key") != ""))
     return rows.withColumn(_DAY2, F.col("stage2_timestamp").cast("date"))
 
 
-def _link(
-    detections: DataFrame,
+def inference_profile(inferences: DataFrame, modes: Modes = STANDARD) -> DataFrame:
+    """(day, rows, sketch) of the linkage keys; kept by a loader for each day it adds."""
+    return key_profile(second_stage(inferences, modes), [b for _, b in _KEYS], _DAY2)
+
+
+def with_spans(stage2: DataFrame, band: int) -> DataFrame:
+    """Keyed inferences once for each span that their band touches."""
+    first, last = F.date_sub(_DAY2, band), F.date_add(_DAY2, band)
+    return stage2.withColumn(_SPAN2, F.explode(F.sequence(_span(first, band), _span(last, band))))
+
+
+def hot_link_keys(
     inferences: DataFrame,
-    modes: Modes,
-    banded: bool,
-    limit: int | None,
-    hot_rows: int | None,
+    modes: Modes = STANDARD,
+    hot_rows: int = HOT_ROWS,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    stage2 = _second_stage(inferences, modes)
-    band = modes.band_days if banded else None
-    if limit is not None and limit <= TOP_ROWS_BROADCAST:
-        return _result(_top_rows(detections, stage2, modes, band, limit))
-    stage1 = stage1_keyed(detections, modes.blank_keys).withColumn(
-        _DAY1, F.col("stage1_timestamp").cast("date")
-    )
+    """Keys with very many inferences, how many, and over how many tasks a link deals them."""
+    keys = [b for _, b in _KEYS]
+    rows = second_stage(inferences, modes).where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    names = None if profile is None else heavy_names(profile, hot_rows)
+    found = hot_keys(rows, keys, hot_rows, names)
+    return found.select(*keys, F.col("_n").alias("inferences"), F.col("_slots").alias("slots"))
+
+
+def link_keyed(
+    stage1: DataFrame,
+    stage2: DataFrame,
+    band: int | None,
+    hot_rows: int | None = HOT_ROWS,
+    names: list[str] | None = None,
+    stored: bool = False,
+) -> DataFrame:
+    """The 26 columns of keyed detections with their keyed inferences.
+
+    Without a band the days of the two are not compared.  `stored` sides lie by the
+    keys alone, so that nothing else may be a key.
+    """
     on = list(_KEYS)
-    if band is not None:
-        # a detection has one day, so that no pair is doubled
-        stage2 = stage2.withColumn(_DAY2, _nearby(_DAY2, band))
-        on.append((_DAY1, _DAY2))
-    linked = _result(
+    days = None
+    if band is None:
+        stage2 = stage2.drop(_DAY2)
+    else:
+        stage1 = stage1.withColumn(_DAY1, F.col("stage1_timestamp").cast("date"))
+        days = Band(_DAY1, _DAY2, band)
+    if band is not None and not stored:
+        stage1 = stage1.withColumn(_SPAN1, _span(F.col(_DAY1), band))
+        # a detection is in one span, so that no pair is doubled
+        stage2 = with_spans(stage2, band)
+        on.append((_SPAN1, _SPAN2))
+    return _result(
         left_join(
             stage1,
             stage2,
             on,
-            left_row=("session_id", "stage1_timestamp", "camera_id", "trigger_frame_uri"),
+            left_row=() if stored else ("session_id", "stage1_timestamp", "camera_id", "trigger_frame_uri"),
             right_row=("stage2_inference_id", "stage2_timestamp", "video_filename"),
             hot_rows=hot_rows,
             keyless=(F.col("blk_file") == "") & (F.col("frame_timestamp_key") == ""),
+            band=days,
+            names=names,
+            named=len(_KEYS),
         )
     )
+
+
+def _link(
+    detections: DataFrame,
+    inferences: DataFrame,
+    modes: Modes,
+    banded: bool,
+    limit: int | None,
+    hot_rows: int | None,
+    names: Callable[[], list[str] | None],
+) -> DataFrame:
+    stage2 = second_stage(inferences, modes)
+    band = modes.band_days if banded else None
+    if limit is not None and limit <= TOP_ROWS_BROADCAST:
+        return _result(_top_rows(detections, stage2, modes, band, limit))
+    stage1 = stage1_keyed(detections, modes.blank_keys)
+    linked = link_keyed(stage1, stage2, band, hot_rows, names())
     return linked if limit is None else linked.orderBy(*newest_first()).limit(limit)
 
 
@@ -359,10 +421,14 @@ def link_session(
     session_id: str,
     day: str | dt.date | None = None,
     modes: Modes = STANDARD,
+    hot_rows: int | None = HOT_ROWS,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """The linked rows of one session, found by its keys.
 
-    A session is one event or a few.  A known day bounds both scans.
+    A known day bounds both scans.  A session may be of any size: it is linked as
+    a range is.  Spark filters the inferences by the keys of its few detections
+    before they are shuffled.
     """
     the_day = None if day is None else as_day(day)
     kept = select_detections(detections, first=the_day, last=the_day)
@@ -370,12 +436,20 @@ def link_session(
         (F.col("session_id") == F.lit(session_id)) & F.col("processing_timestamp").isNotNull()
     )
     near = select_inferences(inferences, modes.band_days, None, the_day, the_day)
-    order = Window.partitionBy("session_id").orderBy(
-        "stage1_timestamp", "camera_id", "trigger_frame_uri", F.xxhash64("stage1_raw_response")
+    names = partial(_hot_names, profile, hot_rows, modes.band_days, the_day, the_day)
+    return _link(kept, near, modes, banded=True, limit=None, hot_rows=hot_rows, names=names)
+
+
+def _hot_names(
+    profile: DataFrame | None, hot_rows: int | None, band_days: int, first: dt.date | None, last: dt.date | None
+) -> list[str] | None:
+    """What a profile says of the inferences near these days; None without one."""
+    if profile is None or hot_rows is None:
+        return None
+    band = dt.timedelta(days=band_days)
+    return heavy_names(
+        profile, hot_rows, None if first is None else first - band, None if last is None else last + band
     )
-    stage1 = stage1_keyed(kept, modes.blank_keys).withColumn("_row", F.row_number().over(order))
-    pairs = _probed(stage1, "_row", _second_stage(near, modes), modes.band_days)
-    return _result(stage1.join(pairs, "_row", "left"))
 
 
 def link_stages(
@@ -387,19 +461,22 @@ def link_stages(
     limit: int | None = None,
     modes: Modes = STANDARD,
     hot_rows: int | None = HOT_ROWS,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Detections of one day with the inferences they led to.
 
     A detection without an inference keeps nulls; one with several gives several
     rows.  A limit gives the newest rows, newest first; without one the whole day
-    comes in no particular order.
+    comes in no particular order.  A profile of the inferences' keys, kept for
+    each day, saves looking for hot ones; it is the only thing read now.
     """
     the_day = as_day(day)
     kept = select_detections(
         detections, filters, farms, the_day, the_day, modes.time_precision
     )
     near = select_inferences(inferences, modes.band_days, filters.camera, the_day, the_day)
-    return _link(kept, near, modes, banded=False, limit=limit, hot_rows=hot_rows)
+    names = partial(_hot_names, profile, hot_rows, modes.band_days, the_day, the_day)
+    return _link(kept, near, modes, banded=False, limit=limit, hot_rows=hot_rows, names=names)
 
 
 def link_range(
@@ -412,15 +489,18 @@ def link_range(
     limit: int | None = None,
     modes: Modes = STANDARD,
     hot_rows: int | None = HOT_ROWS,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """The union of the daily links over a span of days, in one job.
 
-    Open ends take the whole table.  The day band is part of the join key: an
-    inference stands for each of the days whose detections it can belong to.
+    Open ends take the whole table.  A span of days is part of the join key: an
+    inference stands for each span whose detections it can belong to, mostly one,
+    and the exact band is checked on the pairs that meet.
     """
     start = None if first is None else as_day(first)
     end = None if last is None else as_day(last)
     kept = select_detections(detections, filters, farms, start, end, modes.time_precision)
     kept = kept.where(F.col("processing_timestamp").isNotNull())
     near = select_inferences(inferences, modes.band_days, filters.camera, start, end)
-    return _link(kept, near, modes, banded=True, limit=limit, hot_rows=hot_rows)
+    names = partial(_hot_names, profile, hot_rows, modes.band_days, start, end)
+    return _link(kept, near, modes, banded=True, limit=limit, hot_rows=hot_rows, names=names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,42 +50,26 @@ class Workspace:
         )
 
 
-def _facets(lists: dict[str, DataFrame]) -> DataFrame:
-    named = [df.select(F.lit(name).alias("facet"), "*") for name, df in lists.items()]
-    return reduce(DataFrame.unionByName, named)
-
-
 def load_filters(ws: Workspace, day: str | dt.date) -> DataFrame:
     """The three filter lists of a day, told apart by the column `facet`; one scan."""
-    seen = facets.seen_on(ws.detections, day)
-    return _facets(
-        {
-            "tenant": facets.tenant_list(seen, ws.farms),
-            "farm": facets.farm_list(seen, ws.farms),
-            "camera": facets.camera_list(seen, ws.cameras),
-        }
-    )
+    return facets.all_lists(ws.detections, ws.farms, ws.cameras, day)
 
 
 def after_tenant_choice(ws: Workspace, day: str | dt.date, tenant: Any) -> DataFrame:
     """Farm and camera lists once a tenant is chosen; cameras go back to all."""
-    seen = facets.seen_on(ws.detections, day)
-    return _facets(
-        {
-            "farm": facets.farm_list(seen, ws.farms, tenant),
-            "camera": facets.camera_list(seen, ws.cameras),
-        }
-    )
+    lists = (facets.FARM, facets.CAMERA)
+    return facets.all_lists(ws.detections, ws.farms, ws.cameras, day, lists, tenant)
 
 
 def after_farm_choice(ws: Workspace, day: str | dt.date, farm: Any) -> DataFrame:
     """Camera list once a farm is chosen."""
-    return _facets({"camera": facets.camera_facet(ws.detections, ws.cameras, day, farm)})
+    cameras = facets.camera_facet(ws.detections, ws.cameras, day, farm)
+    return cameras.select(F.lit(facets.CAMERA).alias("facet"), "*")
 
 
 def facet_counts(ws: Workspace, day: str | dt.date) -> DataFrame:
     """How many tenants, farms and cameras the lists offer, and the status line."""
-    entries = load_filters(ws, day).where("pos > 0")
+    entries = facets.entries(ws.detections, ws.farms, ws.cameras, day)
 
     def count(facet: str) -> Column:
         return F.count_if(F.col("facet") == facet)

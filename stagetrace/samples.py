@@ -7,9 +7,13 @@ to make a query smaller.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagetrace.operators import colocated, linkage
 from stagetrace.plans.dashboard import Workspace
 from stagetrace.sources.site_config import parse_configs
 
@@ -70,8 +74,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("sess-"), _text("event_id")).alias("session_id"),
         F.when(~_every(89), (F.col("user_id") % 27).cast("string")).alias("farm_id"),
         F.when(~_every(97), _text("user_id")).alias("camera_id"),
-        # some rows lie in the last second of the working hours
-        F.when(_every(61), F.timestamp_add("MILLISECOND", F.lit(61_259_900), F.col("ts").cast("date").cast("timestamp_ntz")))
+        # on every day some rows lie in the last second of the working hours
+        F.when(
+            (F.col("event_id") + F.dayofmonth("ts")) % 11 == 0,
+            F.timestamp_add("MILLISECOND", F.lit(61_259_900), F.col("ts").cast("date").cast("timestamp_ntz")),
+        )
         .otherwise(F.col("ts"))
         .alias("processing_timestamp"),
         F.when(kind == "purchase", "animal_husbandry")
@@ -268,3 +275,28 @@ def struct_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections whose response comes parsed."""
     parsed = F.struct(F.col("session_id").alias("session"), F.col("should_forward").alias("forward"))
     return detections(spark, sf_dir).withColumn("gemini_raw_response", parsed)
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="stagetrace-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def inference_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key profile of the inferences, as a loader would have kept it."""
+    path = _shared_folder(spark)
+    linkage.inference_profile(inferences(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def stored_stages(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Names of both stages as keyed, bucketed tables, written anew."""
+    path = _shared_folder(spark)
+    names = tuple(f"stagetrace_stage{i}_{uuid.uuid4().hex[:12]}" for i in (1, 2))
+    colocated.write_keyed(detections(spark, sf_dir), inferences(spark, sf_dir), *names, buckets=8, path=path)
+    return names

@@ -15,6 +15,10 @@ SETTINGS = {
     # job over terabytes needs tens of thousands, and no partition that is too large
     # can be made smaller again.
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    # Filtered detections hand their keys to the scan of the inferences as a Bloom filter
+    # of at most some megabytes, however large the tables are that they come from.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1g",
     # HotSpot does not compile methods beyond 8,000 bytes; better several small ones.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

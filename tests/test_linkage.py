@@ -5,9 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tables import at, detections, farms, frame_uri, inferences, video_name
 
-from stagetrace.operators import linkage
+from stagetrace.operators import colocated, hotkeys, linkage
 from stagetrace.operators.linkage import LEGACY, Filters, Modes, link_range, link_stages
 
 DAY = "2024-01-10"
@@ -334,9 +335,80 @@ def test_a_session_alone_is_linked_as_in_the_whole(spark):
             assert in_order(triples(linkage.link_session(s1, s2, session, modes=modes))) == expected
 
 
-def test_no_hot_key_among_few_rows(spark):
-    from stagetrace.operators import hotkeys
+def test_hot_keys_are_exact(spark):
+    rows = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2 + [(None,)] * 9, "k string").where("k IS NOT NULL")
 
-    rows = spark.createDataFrame([("a",)] * 5 + [("b",)] * 2, "k string")
-    assert hotkeys.hot_keys(rows, ["k"], 8) is None and hotkeys.hot_keys(rows, ["k"], 6) is None
-    assert [tuple(r) for r in hotkeys.hot_keys(rows, ["k"], 2).orderBy("k").collect()] == [("a", 3), ("b", 1)]
+    def hot(n, names=None):
+        return [(r.k, r._n, r._slots) for r in hotkeys.hot_keys(rows, ["k"], n, names).orderBy("k").collect()]
+
+    assert hot(6) == [] and hot(2) == [("a", 5, 3), ("b", 2, 1)] and hot(3) == [("a", 5, 2)]
+    # names only say where to look
+    assert hot(2, ['{"k0":"b"}', '{"k0":"c"}']) == [("b", 2, 1)] and hot(1, []) == []
+
+
+def test_a_profile_names_the_heavy_keys_of_its_days(spark):
+    days = [dt.date(2024, 1, d) for d in (8, 9, 10)]
+    rows = [("a", days[0])] * 40 + [("b", days[1])] * 30 + [("a", days[2])] * 5 + [(None, days[2])] * 50
+    rows += [(f"x{i}", days[i % 3]) for i in range(200)]
+    rows = spark.createDataFrame(rows, "k string, d date")
+    loads = [rows.where(F.col("k") != "b"), rows.where(F.col("k") == "b")]
+    profile = hotkeys.key_profile(loads[0], ["k"], "d").unionByName(hotkeys.key_profile(loads[1], ["k"], "d"))
+    assert {(r.day, r["rows"]) for r in profile.collect()} >= {(days[1], 30)}
+
+    def heavy(n, first=None, last=None):
+        return sorted(hotkeys.heavy_names(profile, n, first, last))
+
+    a, b = '{"k0":"a"}', '{"k0":"b"}'
+    assert heavy(30) == [a, b] and heavy(45) == [a] and heavy(46) == []
+    assert heavy(30, days[1], days[2]) == [b] and heavy(30, None, days[0]) == [a]
+    assert heavy(1, dt.date(2025, 1, 1)) == []
+
+
+@pytest.mark.parametrize("band", [0, 1, 2, 40])
+def test_bands_across_the_edges_of_spans(spark, band):
+    """Days on both sides of an edge, for spans of any length, and before 1970."""
+    events, videos = [], []
+    for base in ("1969-12-20", "2024-01-01"):
+        for i in range(70):
+            moment = at(f"{base} 12:00:00") + dt.timedelta(days=i)
+            events.append({"session_id": f"{base}{i}", "camera_id": "c", "processing_timestamp": moment,
+                           "frame_uris": [frame_uri(i % 2, STAMP)]})
+            videos.append({"inference_id": f"{base}{i}", "camera_id": "c", "inference_timestamp": moment,
+                           "file_name": video_name(i % 2, STAMP)})
+    s1, s2 = detections(spark, events), inferences(spark, videos)
+    modes = Modes(band_days=band)
+    want = in_order(brute_force(events, videos, modes))
+    for hot_rows in (None, 3):
+        assert in_order(triples(link_range(s1, s2, modes=modes, hot_rows=hot_rows))) == want
+
+
+def test_hot_keys_without_a_partner_in_the_band(spark):
+    """A hot key's inferences lie in the span of an event, but not within its band."""
+    events = [{"session_id": f"s{d}", "camera_id": "c", "processing_timestamp": at(f"2024-01-{d:02d} 08:00:00"),
+               "frame_uris": [frame_uri(1, STAMP)]} for d in range(1, 29)]
+    videos = [{"inference_id": f"i{i}", "camera_id": "c", "inference_timestamp": at("2024-01-14 08:00:00"),
+               "file_name": video_name(1, STAMP)} for i in range(20)]
+    s1, s2 = detections(spark, events), inferences(spark, videos)
+    profile = linkage.inference_profile(s2)
+    want = in_order(brute_force(events, videos, Modes()))
+    for given in (None, profile):
+        assert in_order(triples(link_range(s1, s2, hot_rows=4, profile=given))) == want
+        one = linkage.link_session(s1, s2, "s13", hot_rows=4, profile=given)
+        assert in_order(triples(one)) == [r for r in want if r[1] == "s13"]
+
+
+def test_profiles_and_stored_tables_give_the_same_links(spark, tmp_path):
+    events, videos = random_tables(random.Random(13), 80)
+    s1, s2 = detections(spark, events), inferences(spark, videos)
+    for modes in (Modes(), Modes(blank_keys="verbatim")):
+        want = in_order(brute_force(events, videos, modes))
+        profile = linkage.inference_profile(s2, modes)
+        assert in_order(triples(link_range(s1, s2, modes=modes, hot_rows=3, profile=profile))) == want
+        names = f"stored1_{modes.blank_keys}", f"stored2_{modes.blank_keys}"
+        colocated.write_keyed(s1, s2, *names, buckets=4, modes=modes, path=str(tmp_path))
+        assert in_order(triples(colocated.link_stored(spark, *names, modes))) == want
+        assert in_order(triples(colocated.link_stored(spark, *names, modes, profile, hot_rows=3))) == want
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
+    found = linkage.hot_link_keys(s2, hot_rows=5, profile=linkage.inference_profile(s2))
+    assert found.collect() == linkage.hot_link_keys(s2, hot_rows=5).collect() != []

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
-from tables import cameras, detections, farms, inferences
+from tables import cameras, detections, farms, inferences, video_name
 
 from stagetrace import schemas
-from stagetrace.operators import details, dims, display, facets, linkage, lookup, media
+from stagetrace.operators import colocated, details, dims, display, facets, linkage, lookup, media
 from stagetrace.operators.linkage import Filters
 from stagetrace.plans import dashboard
 from stagetrace.plans.dashboard import Workspace
@@ -109,10 +111,36 @@ def test_tenant_filter_is_a_semi_join(spark, stored):
 def test_filter_lists_read_two_columns(spark, stored):
     text = plan(facets.camera_facet(stored[0], cameras(spark, [("c", "C")]), DAY))
     check_clean(text)
-    assert len(of_detections(text)) == 1
-    schema, pushed = of_detections(text)[0]
-    assert re.fullmatch(r"camera_id:string,processing_timestamp:timestamp(_ntz)?", schema)
-    assert "IsNotNull(camera_id)" in pushed
+    for schema, pushed in of_detections(text):
+        assert re.fullmatch(r"camera_id:string,processing_timestamp:timestamp(_ntz)?", schema)
+        assert "IsNotNull(camera_id)" in pushed
+
+
+def windows(text):
+    """The partition columns of every window."""
+    return re.findall(r"^\(\d+\) Window\n.*?\nArguments: \[.*?\], \[(.*?)\], \[", text, re.M | re.S)
+
+
+def test_no_list_is_numbered_in_one_task(spark, stored):
+    maps = ([("t", "T", None, None)], schemas.TENANTS), ([("f", "F", "t")], schemas.FARMS), ([("c", "C")], schemas.CAMERAS)
+    ws = Workspace(*stored, *(spark.createDataFrame(*m) for m in maps))
+    for df in (dashboard.load_filters(ws, DAY), dashboard.after_farm_choice(ws, DAY, "f"), facets.tenant_facet(ws.detections, ws.farms, DAY)):
+        found = windows(plan(df))
+        assert found and all("facet" in w and "_part" in w for w in found)
+
+
+def test_positions_of_a_long_list(spark):
+    """Labels that repeat, and many entries; every position once, in order."""
+    entries = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "camera").otherwise("farm").alias("facet"),
+        F.concat(F.lit("n"), F.col("id") % 500).alias("label"),
+        F.col("id").cast("string").alias("id"),
+    )
+    rows = facets.listed(entries, ["farm", "camera", "tenant"]).collect()
+    for facet, n in (("farm", 20_000), ("camera", 10_000), ("tenant", 0)):
+        own = sorted((r.pos, r.label, r.id) for r in rows if r.facet == facet)
+        assert [p for p, *_ in own] == list(range(n + 1)) and own[0] == (0, "All", "All")
+        assert own[1:] == sorted(own[1:], key=lambda r: r[1:])
 
 
 def test_frames_need_no_shuffle(stored):
@@ -148,18 +176,116 @@ def large(spark):
         spark.conf.set(key, value)
 
 
-def test_a_range_has_its_day_in_the_key(stored):
-    text = plan(linkage.link_range(*stored, "2024-01-08", DAY))
-    assert "datediff" not in text and "date_diff" not in text
-    assert len(of_inferences(text)) == 1  # no second pass to count keys
+def jobs_of(spark, build):
+    """What build() gives, and the number of Spark jobs that it started."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return build(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_a_session_broadcasts_its_keys(spark, stored):
-    linked = linkage.link_session(*stored, "s", DAY)
-    assert "EqualTo(session_id,s)" in of_detections(plan(linked))[0][1]
-    text = plan(linked)
-    # only detections are numbered within a session; nothing is dealt by the keys of inferences
-    assert "BroadcastHashJoin" in text and "hashpartitioning(camera_id" not in text
+def test_building_a_link_runs_nothing(spark, stored, tmp_path):
+    for build in (
+        lambda: linkage.link_range(*stored),
+        lambda: linkage.link_stages(*stored, DAY),
+        lambda: linkage.link_range(*stored, limit=50_000),
+        lambda: linkage.link_session(*stored, "s"),
+    ):
+        assert jobs_of(spark, build)[1] == 0
+    linkage.inference_profile(stored[1]).write.parquet(f"{tmp_path}/profile")
+    profile = spark.read.parquet(f"{tmp_path}/profile")
+    linked, jobs = jobs_of(spark, lambda: linkage.link_range(*stored, profile=profile))
+    # only the profile is read; it names no hot key, so that none is looked for
+    assert jobs > 0 and len(of_inferences(plan(linked))) == 1
+    assert "file_name" not in plan(profile)
+
+
+def test_a_range_has_spans_of_days_in_the_key(stored):
+    text = plan(linkage.link_range(*stored, "2024-01-08", DAY, hot_rows=None))
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", text) + re.findall(r"Left keys \[\d+\]: \[(.*)\]", text)
+    assert any("span" in k for k in keys) and not any("_day" in k for k in keys)
+    assert re.search(r"Join condition: .*date_?diff", text)
+    assert len(of_inferences(text)) == 1
+
+
+def test_few_inferences_are_copied_for_a_band(spark, tmp_path):
+    """An inference a day over a year: under a fifth of them meet two spans."""
+    days = [dt.datetime(2024, 1, 1) + dt.timedelta(days=i) for i in range(365)]
+    rows = [{"inference_id": str(i), "inference_timestamp": d, "camera_id": "c", "file_name": video_name(i, "2024-01-10T08:00:00")} for i, d in enumerate(days)]
+    inferences(spark, rows).write.parquet(f"{tmp_path}/i")
+    for band in (1, 2, 5):
+        linked = linkage.link_range(
+            detections(spark, []), spark.read.parquet(f"{tmp_path}/i"), modes=linkage.Modes(band_days=band), hot_rows=None
+        )
+        spans = linkage.with_spans(linkage.second_stage(spark.read.parquet(f"{tmp_path}/i"), linkage.STANDARD), band)
+        assert 365 < spans.count() < 1.2 * 365
+        assert linked.count() == 0
+
+
+def test_keys_of_the_kept_detections_filter_the_inferences(spark, stored, large):
+    """Spark's own runtime filter, for detections of one farm."""
+    threshold = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "1")
+    try:
+        for linked in (
+            linkage.link_range(*stored, "2024-01-08", DAY, Filters(farm="f"), hot_rows=None),
+            linkage.link_session(*stored, "s", hot_rows=None),
+        ):
+            assert "might_contain" in plan(linked)
+        assert "might_contain" not in plan(linkage.link_range(*stored, hot_rows=None))
+    finally:
+        spark.conf.set(threshold, before)
+
+
+def test_a_session_of_any_size(spark, stored, large):
+    text = plan(linkage.link_session(*stored, "s", DAY, hot_rows=None))
+    assert "EqualTo(session_id,s)" in of_detections(text)[0][1]
+    assert "Window" not in text and "Broadcast" not in text
+    # a third of the detections are one session, and a third of its rows have one key
+    n = 6000
+    stem = F.concat(F.lit("gs://b/007_"), F.lpad(F.when(F.col("id") % 9 == 0, 0).otherwise(F.col("id")).cast("string"), 7, "0"))
+    moment = F.lit("2024-01-10 08:00:00").cast("timestamp_ntz")
+    d = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "s").otherwise(F.concat(F.lit("s"), "id")).alias("session_id"),
+        F.lit("c").alias("camera_id"),
+        moment.alias("processing_timestamp"),
+        F.array(F.concat(stem, F.lit("_cam_2024-01-10T08:00:00_f0.jpg"))).alias("frame_uris"),
+    )
+    i = spark.range(n).select(
+        F.concat(F.lit("i"), "id").alias("inference_id"),
+        F.lit("c").alias("camera_id"),
+        moment.alias("inference_timestamp"),
+        F.concat(F.substring(stem, 8, 99), F.lit("_cam_2024-01-10T08:00:00.mp4")).alias("file_name"),
+    )
+    d = detections(spark, []).unionByName(d, allowMissingColumns=True)
+    i = inferences(spark, []).unionByName(i, allowMissingColumns=True)
+    hot = -(-n // 9)
+    for hot_rows in (None, 100):
+        linked = linkage.link_session(d, i, "s", hot_rows=hot_rows)
+        counts = linked.agg(F.count("*"), F.count("stage2_inference_id"), F.countDistinct("stage2_inference_id")).first()
+        assert tuple(counts) == (hot * hot + n // 3 - hot, hot * hot + n // 3 - hot, n // 3)
+
+
+def test_stored_stages_link_without_an_exchange(spark, stored, large, tmp_path):
+    names = f"side1_{tmp_path.name}", f"side2_{tmp_path.name}"
+    colocated.write_keyed(*stored, *names, buckets=4, path=str(tmp_path))
+    text = plan(colocated.link_stored(spark, *names))
+    assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
+    assert "Exchange" not in text
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_response_is_parsed_once(spark, stored):
+    both = farms(spark, [("f", "F", "t", "T")]), cameras(spark, [("c", "C")])
+    raw = stored[0].select(F.col("gemini_raw_response").alias("raw"))
+    shown = details.event_details(linkage.link_range(*stored, hot_rows=None), *both)
+    for df, texts in ((details.normalize_response(raw, "raw", "status", "body"), 1), (shown, 2)):
+        optimised = df._jdf.queryExecution().optimizedPlan().toString()
+        assert optimised.count("from_json(") == texts
 
 
 def test_one_scan_behind_all_lists(spark, stored):

@@ -81,12 +81,8 @@ def test_responses_are_cleaned_in_order(spark):
         None, "", '{"a":\\n 1}', '{"a": "x\\ny"}', 'say \\"hi\\"', "x" * 5000, "é" * 2500, "\\\\nn",
     ]
 
-    def both(raw):
-        status = responses.response_status(raw)
-        return F.struct(status.alias("s"), responses.response_text(raw, status).alias("t"))
-
-    rows = column(spark, raws, both, "string")
-    assert [(r.s, r.t) for r in rows] == [expected_response(r) for r in raws]
+    rows = column(spark, raws, responses.normalized, "string")
+    assert [(r.status, r.body) for r in rows] == [expected_response(r) for r in raws]
 
 
 URIS = [

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ from stagetrace.llm.common import bounded_sample, saved
 MOST_EXAMPLES = 8192
 NEIGHBOURS = 16
 BLOCK = 512
+#: So many of the commonest terms have full lists, a weight for each example, which are
+#: multiplied for many texts at once; a plan parameter, as results never depend on it.
+FULL_LISTS = 128
+TEXTS = 256
 #: Pseudo-votes for the share of label 1.
 PRIOR_VOTES = 0.1
 EVIDENCE = 5
@@ -70,14 +76,15 @@ _NUMBERS: dict = {}
 
 def counts_of(text: str | None, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The known terms of a text, ascending, and how often it has each."""
-    found = [(number[w], n) for w, n in Counter(words_of(text)).items() if w in number]
-    at, n = np.array(found, dtype=np.int64).reshape(-1, 2).T
-    order = np.argsort(at)
-    return at[order], n[order]
+    words = words_of(text)
+    found = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+    at, n = np.unique(found, return_counts=True)
+    known = int(len(at) > 0 and at[0] < 0)
+    return at[known:], n[known:]
 
 
-def example_words(examples: DataFrame) -> pd.DataFrame:
-    """word, a, b: the words of the examples, and how many of label 1 and 0 have them."""
+def example_words(examples: DataFrame) -> tuple[Terms, np.ndarray, np.ndarray]:
+    """The words of the examples, and how many of label 1 and of label 0 have each."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -90,8 +97,9 @@ def example_words(examples: DataFrame) -> pd.DataFrame:
 
     rows = examples.select("text", "toxic").mapInPandas(count, "word string, toxic int, n long")
     a, b = (F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)) for y in (1, 0))
-    found = rows.groupBy("word").agg(a.alias("a"), b.alias("b")).toPandas()  # no more than the examples' words
-    return found.sort_values("word", ignore_index=True)
+    # no more than the examples' words
+    found = rows.groupBy("word").agg(a.alias("a"), b.alias("b")).orderBy("word").toArrow()
+    return Terms("\n".join(found["word"].to_pylist())), found["a"].to_numpy(), found["b"].to_numpy()
 
 
 def chi_squared(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
@@ -115,17 +123,17 @@ def document_frequencies(docs: DataFrame, terms: Terms, text: str) -> tuple[np.n
         for frame in frames:
             rows += len(frame)
             for t in frame["text"]:
-                met[[number[w] for w in set(words_of(t)) if w in number]] += 1
+                met[counts_of(t, number)[0]] += 1
         at = np.flatnonzero(met)
         # the term -1 stands for the documents themselves
         yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(met[at], rows)})
 
     rows = docs.select(F.col(text).alias("text")).mapInPandas(count, "term int, n long")
-    found = rows.groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # no more than the examples' words
+    found = rows.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # no more than the examples' words
+    at, n = found["term"].to_numpy(), found["n"].to_numpy()
     out = np.zeros(terms.lines.count("\n") + 1 if terms.lines else 0, dtype=np.int64)
-    known = found[found["term"] >= 0]
-    out[known["term"].to_numpy()] = known["n"].to_numpy()
-    return out, int(found.loc[found["term"] < 0, "n"].sum())
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
 def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -139,8 +147,9 @@ class Index:
     """Postings of the examples by term, in cells by block, each with its largest weight.
 
     Term t has the cells cell[t] to cell[t + 1]; cell c lies in block[c], and its postings
-    are post[c] to post[c + 1].  Examples number `toxic` labels, `ids` keys.  `weight` undoes
-    the stratified sample.  A block is `width` examples.
+    are post[c] to post[c + 1].  The commonest terms have full lists instead: term t is row
+    full[t] of `lists`.  Examples number `toxic` labels, `ids` keys.  `weight` undoes the
+    stratified sample.  A block is `width` examples.
     """
 
     width: int
@@ -157,6 +166,8 @@ class Index:
     post: np.ndarray
     example: np.ndarray
     value: np.ndarray
+    full: np.ndarray
+    lists: np.ndarray
 
     def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of unit length; terms of no weight are left out."""
@@ -164,40 +175,41 @@ class Index:
         at, w = at[w > 0], w[w > 0]
         return at, w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples, with all that tie with the last, and their cosines."""
+    def _add(self, score: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        a, z = self.post[cells], self.post[cells + 1]
+        at = spans(a, z)
+        return score + np.bincount(self.example[at], np.repeat(weights, z - a) * self.value[at], len(score))
+
+    def nearest(self, base: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar examples, with all that tie with the last, and their cosines.
+
+        `base` has the share of the full lists in all cosines.  The block with the largest
+        bound is scored first; then, at once, all blocks whose bounds reach the k-th cosine.
+        """
         first, last = self.cell[at], self.cell[at + 1]
         cells, weights = spans(first, last), np.repeat(w, last - first)
-        by = np.argsort(self.block[cells], kind="stable")
-        cells, weights = cells[by], weights[by]
-        blocks, starts = np.unique(self.block[cells], return_index=True)
-        stops = np.append(starts[1:], len(cells))
-        bound = np.add.reduceat(weights * self.largest[cells], starts) if len(cells) else np.zeros(0)
-        found, sims, floor = [], [], 0.0
-        for seen, i in enumerate(np.argsort(-bound, kind="stable").tolist()):
-            if seen and bound[i] < floor - 1e-9:
-                break
-            own, q = cells[starts[i] : stops[i]], weights[starts[i] : stops[i]]
-            a, z = self.post[own], self.post[own + 1]
-            at_post = spans(a, z)
-            base = blocks[i] * self.width
-            score = np.bincount(self.example[at_post] - base, np.repeat(q, z - a) * self.value[at_post], self.width)
-            near = np.flatnonzero(score > max(0.0, floor - 1e-9))
-            found.append(near + base)
-            sims.append(score[near])
-            held = np.concatenate(sims)
-            if len(held) >= k:
-                floor = np.partition(held, -k)[-k]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ids, held = np.concatenate(found), np.concatenate(sims)
-        stay = held >= floor - 1e-9
-        ids, held = ids[stay], held[stay]
-        order = np.lexsort((self.ids[ids], -held.round(9)))
-        return ids[order], held[order]
-
-    def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[int], list[float]]:
-        ids, sims = self.nearest(*self.vector(*counts_of(text, self.terms.numbers())), k)
+        block = self.block[cells]
+        tops = base.reshape(-1, self.width).max(axis=1)
+        bound = tops + np.bincount(block, weights * self.largest[cells], len(tops))
+        best = int(bound.argmax())
+        one = slice(best * self.width, (best + 1) * self.width)
+        own = block == best
+        score = self._add(base, cells[own], weights[own])
+        floor = max(0.0, np.partition(score[one], -k)[-k]) if k <= self.width else 0.0
+        more = bound >= floor - 1e-9
+        more[best] = False
+        own = more[block]
+        score = self._add(score, cells[own], weights[own])
+        more[best] = True
+        score[~np.repeat(more, self.width)] = 0.0
+        if k < len(score):
+            floor = max(floor, np.partition(score, -k)[-k])
+        near = np.flatnonzero((score > 1e-12) & (score >= floor - 1e-9))
+        order = np.lexsort((self.ids[near], -score[near].round(9)))
+        return near[order], score[near][order]
+
+    def _score(self, base: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[float, list[int], list[float]]:
+        ids, sims = self.nearest(base, at, w, k)
         if not len(ids):
             return self.blank, [], []
         # a vote weighs its cosine, squared; those that tie beyond k share the last places
@@ -206,6 +218,21 @@ class Index:
         score = (votes[self.toxic[ids] > 0].sum() + PRIOR_VOTES * self.prior) / (votes.sum() + PRIOR_VOTES)
         return float(score), self.ids[ids[:EVIDENCE]].tolist(), sims[:EVIDENCE].tolist()
 
+    def scores(self, texts: Sequence[str | None], k: int = NEIGHBOURS) -> Iterator[tuple[float, list[int], list[float]]]:
+        number = self.terms.numbers()
+        for start in range(0, len(texts), TEXTS):
+            vectors = [self.vector(*counts_of(t, number)) for t in texts[start : start + TEXTS]]
+            common = np.zeros((len(vectors), len(self.lists)))
+            for i, (at, w) in enumerate(vectors):
+                row = self.full[at]
+                common[i, row[row >= 0]] = w[row >= 0]
+            for base, (at, w) in zip(common @ self.lists, vectors, strict=True):
+                if not len(at) or not len(self.ids):
+                    yield self.blank, [], []
+                    continue
+                rare = self.full[at] < 0
+                yield self._score(base, at[rare], w[rare], k)
+
 
 def build_index(
     docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", most_examples: int = MOST_EXAMPLES
@@ -222,8 +249,7 @@ def build_index(
     rows = rows.join(own, F.col("id") == F.col("_key")).groupBy("id", "toxic").agg(F.min("text").alias("text"))
     # a few rows of long texts; all tasks take part
     examples = saved(rows, "examples").repartition(EXAMPLE_TASKS)
-    words = example_words(examples)
-    terms = Terms("\n".join(words["word"]))
+    terms, *counts = example_words(examples)
     found, n_docs = document_frequencies(docs, terms, text)
     idf = np.log((1.0 + n_docs) / (1.0 + found)) + 1.0
     sent = docs.sparkSession.sparkContext.broadcast(terms)
@@ -234,49 +260,75 @@ def build_index(
             counts = [counts_of(t, number) for t in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"], "at": [c[0] for c in counts], "n": [c[1] for c in counts]})
 
-    got = examples.mapInPandas(count, "id long, toxic int, at array<int>, n array<int>").toPandas()
+    # no more than the examples' words; a copy of plain arrays
+    got = examples.mapInPandas(count, "id long, toxic int, at array<int>, n array<int>").toArrow().sort_by("id")
     full = training.groupBy("toxic").count().collect()
-    counts = words["a"].to_numpy(), words["b"].to_numpy()
-    return index_of(terms, idf, counts, got.sort_values("id", ignore_index=True), {r["toxic"]: r["count"] for r in full})
+    return index_of(terms, idf, tuple(counts), got, {r["toxic"]: r["count"] for r in full})
 
 
 def index_of(
-    terms: Terms, idf: np.ndarray, counts: tuple[np.ndarray, np.ndarray], got: pd.DataFrame, full: dict[int, int]
+    terms: Terms, idf: np.ndarray, counts: tuple[np.ndarray, np.ndarray], got: pa.Table, full: dict[int, int]
 ) -> Index:
     """The index of the examples `got` (id, toxic, at, n); `counts` are the terms' examples of
     label 1 and of label 0, `full` the training rows by label."""
-    have = got["toxic"].value_counts()
-    weight = tuple(float(full.get(y, 0) / have[y]) if y in have else 1.0 for y in (0, 1))
+    ids, toxic = got["id"].to_numpy(), got["toxic"].to_numpy()
+    have = [int((toxic == y).sum()) for y in (0, 1)]
+    weight = [full.get(y, 0) / have[y] if have[y] else 1.0 for y in (0, 1)]
     weight = (weight[0] / weight[1], 1.0)
     total = sum(full.values())
     prior = full.get(1, 0) / total if total else 0.0
-    factor = idf * np.sqrt(chi_squared(*counts, float(have.get(1, 0)), float(have.get(0, 0))))
-    none, zero = np.zeros(0, np.int64), np.zeros(1, np.int64)
-    out = Index(BLOCK, terms, factor, none, none, weight, prior, 0.0, np.zeros(len(idf) + 1, np.int64), none, np.zeros(0), zero, none, np.zeros(0))
-    vectors = [out.vector(np.asarray(a, dtype=np.int64), np.asarray(n)) for a, n in zip(got["at"], got["n"], strict=True)]
-    empty = np.array([not len(at) for at, _ in vectors], dtype=bool)
-    n0, n1 = (((got["toxic"] == y) & empty).sum() * weight[y] for y in (0, 1))
-    out.blank = float((n1 + PRIOR_VOTES * prior) / (n0 + n1 + PRIOR_VOTES))
+    factor = idf * np.sqrt(chi_squared(*counts, float(have[1]), float(have[0])))
+    # all terms of all examples, one example after the other
+    at, n = (got[c].combine_chunks() for c in ("at", "n"))
+    size = at.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    term, n = at.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy()
+    row = np.repeat(np.arange(len(ids)), size)
+    value = (1.0 + np.log(n)) * factor[term]
+    term, row, value = term[value > 0], row[value > 0], value[value > 0]
+    value /= np.sqrt(np.bincount(row, value * value, len(ids)))[row]
+    filled = np.bincount(row, minlength=len(ids)) > 0
+    n0, n1 = (((toxic == y) & ~filled).sum() * weight[y] for y in (0, 1))
+    blank = float((n1 + PRIOR_VOTES * prior) / (n0 + n1 + PRIOR_VOTES))
     # alike examples side by side, so that few blocks reach a query's bound
-    order = sorted(
-        np.flatnonzero(~empty).tolist(),
-        key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), int(got["toxic"][i]), int(got["id"][i])),
+    heaviest = np.lexsort((term, -value, row))
+    main = np.zeros(len(ids), dtype=np.int64)
+    main[row[heaviest][::-1]] = term[heaviest][::-1]
+    order = np.lexsort((ids, toxic, main))
+    order = order[filled[order]]
+    place = np.zeros(len(ids), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    example = place[row]
+    by = np.lexsort((example, term))
+    term, example, value = term[by], example[by], value[by]
+    # full lists of the commonest terms; blocks that aren't full are padded
+    met = np.bincount(term, minlength=len(idf))
+    common = np.argsort(-met, kind="stable")[:FULL_LISTS]
+    full = np.full(len(idf), -1)
+    full[common] = np.arange(len(common))
+    lists = np.zeros((len(common), -(-len(order) // BLOCK) * BLOCK))
+    often = full[term] >= 0
+    lists[full[term[often]], example[often]] = value[often]
+    term, example, value = term[~often], example[~often], value[~often]
+    block = example // BLOCK
+    starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
+    return Index(
+        width=BLOCK,
+        terms=terms,
+        factor=factor,
+        ids=ids[order],
+        toxic=toxic[order],
+        weight=weight,
+        prior=prior,
+        blank=blank,
+        cell=np.searchsorted(term[starts], np.arange(len(idf) + 1)),
+        block=block[starts],
+        largest=np.maximum.reduceat(value, starts) if len(starts) else value,
+        post=np.append(starts, len(term)),
+        example=example,
+        value=value,
+        full=full,
+        lists=lists,
     )
-    if not order:
-        return out
-    out.ids, out.toxic = got["id"].to_numpy()[order], got["toxic"].to_numpy()[order]
-    term = np.concatenate([vectors[i][0] for i in order])
-    value = np.concatenate([vectors[i][1] for i in order])
-    example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-    by = np.argsort(term, kind="stable")  # then by example, and so by block
-    term, out.example, out.value = term[by], example[by], value[by]
-    block = out.example // out.width
-    new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))
-    starts = np.flatnonzero(new)
-    out.block, out.post = block[starts], np.append(starts, len(term))
-    out.largest = np.maximum.reduceat(out.value, starts)
-    out.cell = np.searchsorted(term[starts], np.arange(len(idf) + 1))
-    return out
 
 
 def scored(docs: DataFrame, index: Index, text: str = "text") -> Column:
@@ -286,7 +338,7 @@ def scored(docs: DataFrame, index: Index, text: str = "text") -> Column:
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for batch in texts:
-            yield _results(own.score(t) for t in batch)
+            yield _results(own.scores(batch.tolist()))
 
     return F.pandas_udf(run, RESULT)(F.col(text))
 

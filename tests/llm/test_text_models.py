@@ -95,10 +95,11 @@ def brute_scores(texts, labels, queries, k=16):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 512])
-def test_scores_against_all_cosines(spark, make, monkeypatch, block):
+@pytest.mark.parametrize("block, full", [(7, 0), (20, 5), (512, 512)])
+def test_scores_against_all_cosines(spark, make, monkeypatch, block, full):
     """From the texts on, over the whole vocabulary; every example with a word of weight is indexed."""
     monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "FULL_LISTS", full)
     rng = random.Random(12)
     rare = [f"word{i}" for i in range(300)]
     texts = {i: " ".join(rng.choices(EN, k=8) + rng.choices(rare, k=rng.randrange(0, 12)) + ["vile"] * (i % 4 == 0 and rng.randrange(3))) for i in range(260)}
@@ -112,8 +113,9 @@ def test_scores_against_all_cosines(spark, make, monkeypatch, block):
     assert all(got[d] == pytest.approx(want[d], abs=1e-6) for d in want)
     index = toxicity.build_index(docs, training)
     assert len(index.ids) == len(labels) - 1  # but the empty one
-    if block == 7:
-        assert len(set(index.block.tolist())) > 15
+    assert len(index.lists) == min(full, len(index.factor))
+    if full < len(index.factor):
+        assert len(set(index.block.tolist())) > 100 // block
 
 
 def test_no_example_is_left_out_at_any_size(spark):

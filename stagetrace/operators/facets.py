@@ -13,25 +13,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagetrace.functions.choices import ALL, chosen
+from stagetrace.functions.sizes import estimated_bytes
 from stagetrace.operators.linkage import events_on_day
 from stagetrace.operators.lookup import join_key
 
 # The names of the lists.
 TENANT, FARM, CAMERA = "tenant", "farm", "camera"
 
-# Entries that cut the lists into parts; a plan parameter, positions never depend on it.
+# Plan parameters; positions never depend on them.
+# Entries that cut the lists into parts.
 SPLITTERS = 64
+# Lists made of no more bytes, by Spark's estimate, are sorted whole, a list in a task.
+WHOLE_LIST_BYTES = 32 << 20
 
 
-def numbered(rows: DataFrame) -> DataFrame:
+def numbered(rows: DataFrame, source: DataFrame) -> DataFrame:
     """Add `pos`, each entry's place in its `facet` by label and id, from 1.
 
-    No list passes through one task.  The entries with the smallest hashes, a sample
-    that depends on the entries alone, cut all lists into parts; an entry's place is
-    its place in its part, which is sorted alone, after the sizes of the parts before.
-    Whatever evaluates the sample or the sizes again gets the same.
+    No list passes through one task if `source`, of which the lists are made, has more
+    than WHOLE_LIST_BYTES.  The entries with the
+    smallest hashes, a sample that depends on the entries alone, cut all lists into parts;
+    an entry's place is its place in its part, which is sorted alone, after the sizes of
+    the parts before.  Whatever evaluates the sample or the sizes again gets the same.
     """
     columns = ("facet", "label", "id")
+    if estimated_bytes(source) <= WHOLE_LIST_BYTES:
+        place = F.row_number().over(Window.partitionBy("facet").orderBy("label", "id"))
+        return rows.select("facet", place.alias("pos"), "label", "id")
     lowest = rows.orderBy(F.xxhash64(*columns), *columns).limit(SPLITTERS)
     splitters = F.array_sort(F.collect_list(F.struct("label", "id"))).alias("_splitters")
     part = F.size(F.filter("_splitters", lambda s: s <= F.struct("label", "id")))
@@ -48,13 +56,13 @@ def numbered(rows: DataFrame) -> DataFrame:
     return parts.select("facet", (before + place).cast("int").alias("pos"), "label", "id")
 
 
-def listed(rows: DataFrame, lists: Sequence[str]) -> DataFrame:
+def listed(rows: DataFrame, lists: Sequence[str], source: DataFrame) -> DataFrame:
     """Number the entries of each list and put "All" in front."""
     name = F.explode(F.array(*(F.lit(x) for x in lists)))
     everything = rows.sparkSession.range(1, numPartitions=1).select(
         name.alias("facet"), F.lit(0).alias("pos"), F.lit(ALL).alias("label"), F.lit(ALL).alias("id")
     )
-    return everything.unionByName(numbered(rows))
+    return everything.unionByName(numbered(rows, source))
 
 
 def _entry(facet: str, label: Column, value: Column) -> Column:
@@ -125,7 +133,8 @@ def all_lists(
     tenant: Any = None,
 ) -> DataFrame:
     """The entries in their places, told apart by `facet`."""
-    return listed(entries(detections, farms, cameras, day, lists, tenant), lists)
+    source = detections.select("farm_id", "camera_id")
+    return listed(entries(detections, farms, cameras, day, lists, tenant), lists, source)
 
 
 def _ids(detections: DataFrame, day: str | dt.date, column: str, limit: int | None = None) -> DataFrame:
@@ -133,14 +142,15 @@ def _ids(detections: DataFrame, day: str | dt.date, column: str, limit: int | No
     return ids if limit is None else ids.orderBy(column).limit(limit)
 
 
-def _one(rows: DataFrame, entry: Column, facet: str) -> DataFrame:
-    return listed(rows.select(F.inline(F.array(entry))), [facet]).drop("facet")
+def _one(rows: DataFrame, entry: Column, facet: str, detections: DataFrame) -> DataFrame:
+    source = detections.select(f"{'camera' if facet == CAMERA else 'farm'}_id")
+    return listed(rows.select(F.inline(F.array(entry))), [facet], source).drop("facet")
 
 
 def tenant_facet(detections: DataFrame, farms: DataFrame, day: str | dt.date) -> DataFrame:
     rows = _named_farms(_ids(detections, day, "farm_id"), farms).where("tenant_id <> ''")
     tenants = rows.select("tenant_id", "tenant_name").distinct()
-    return _one(tenants, _tenant_of_farm(), TENANT)
+    return _one(tenants, _tenant_of_farm(), TENANT, detections)
 
 
 def farm_facet(
@@ -155,7 +165,7 @@ def farm_facet(
     rows = _named_farms(ids, farms, tenant)
     if limit is not None:
         rows = rows.orderBy("farm_id").limit(limit)
-    return _one(rows, _farm_entry(), FARM)
+    return _one(rows, _farm_entry(), FARM, detections)
 
 
 def camera_facet(
@@ -169,4 +179,4 @@ def camera_facet(
     if chosen(farm) is not None:
         detections = detections.where(F.col("farm_id") == F.lit(chosen(farm)))
     ids = _ids(detections, day, "camera_id", limit)
-    return _one(_named_cameras(ids, cameras), _camera_entry(), CAMERA)
+    return _one(_named_cameras(ids, cameras), _camera_entry(), CAMERA, detections)

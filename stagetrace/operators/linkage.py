@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stagetrace.functions import daytime, keys
 from stagetrace.functions.choices import as_day, chosen, time_bound
+from stagetrace.functions.sizes import estimated_bytes
 from stagetrace.operators.hotkeys import HOT_ROWS, Band, heavy_names, hot_keys, key_profile, left_join
 from stagetrace.operators.lookup import join_key
 
@@ -66,6 +67,9 @@ _SPAN1, _SPAN2 = "_stage1_span", "_stage2_span"
 # the detections.
 SPAN_DAYS = 16
 
+# Stored bytes of an inference at least, for the choice of a plan.
+LEAST_ROW_BYTES = 64
+
 
 @dataclass(frozen=True)
 class Modes:
@@ -436,16 +440,27 @@ def link_session(
         (F.col("session_id") == F.lit(session_id)) & F.col("processing_timestamp").isNotNull()
     )
     near = select_inferences(inferences, modes.band_days, None, the_day, the_day)
-    names = partial(_hot_names, profile, hot_rows, modes.band_days, the_day, the_day)
+    names = partial(_hot_names, near, profile, hot_rows, modes.band_days, the_day, the_day)
     return _link(kept, near, modes, banded=True, limit=None, hot_rows=hot_rows, names=names)
 
 
 def _hot_names(
-    profile: DataFrame | None, hot_rows: int | None, band_days: int, first: dt.date | None, last: dt.date | None
+    inferences: DataFrame,
+    profile: DataFrame | None,
+    hot_rows: int | None,
+    band_days: int,
+    first: dt.date | None,
+    last: dt.date | None,
 ) -> list[str] | None:
-    """What a profile says of the inferences near these days; None without one."""
-    if profile is None or hot_rows is None:
+    """What a profile says of the inferences near these days.
+
+    Without one, None: the join looks for hot keys itself, unless by Spark's estimate
+    the inferences are too small to hold one.
+    """
+    if hot_rows is None:
         return None
+    if profile is None:
+        return [] if estimated_bytes(inferences) < hot_rows * LEAST_ROW_BYTES else None
     band = dt.timedelta(days=band_days)
     return heavy_names(
         profile, hot_rows, None if first is None else first - band, None if last is None else last + band
@@ -475,7 +490,7 @@ def link_stages(
         detections, filters, farms, the_day, the_day, modes.time_precision
     )
     near = select_inferences(inferences, modes.band_days, filters.camera, the_day, the_day)
-    names = partial(_hot_names, profile, hot_rows, modes.band_days, the_day, the_day)
+    names = partial(_hot_names, near, profile, hot_rows, modes.band_days, the_day, the_day)
     return _link(kept, near, modes, banded=False, limit=limit, hot_rows=hot_rows, names=names)
 
 
@@ -502,5 +517,5 @@ def link_range(
     kept = select_detections(detections, filters, farms, start, end, modes.time_precision)
     kept = kept.where(F.col("processing_timestamp").isNotNull())
     near = select_inferences(inferences, modes.band_days, filters.camera, start, end)
-    names = partial(_hot_names, profile, hot_rows, modes.band_days, start, end)
+    names = partial(_hot_names, near, profile, hot_rows, modes.band_days, start, end)
     return _link(kept, near, modes, banded=True, limit=limit, hot_rows=hot_rows, names=names)

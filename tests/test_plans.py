@@ -121,7 +121,8 @@ def windows(text):
     return re.findall(r"^\(\d+\) Window\n.*?\nArguments: \[.*?\], \[(.*?)\], \[", text, re.M | re.S)
 
 
-def test_no_list_is_numbered_in_one_task(spark, stored):
+def test_no_list_is_numbered_in_one_task(spark, stored, monkeypatch):
+    monkeypatch.setattr(facets, "WHOLE_LIST_BYTES", 0)
     maps = ([("t", "T", None, None)], schemas.TENANTS), ([("f", "F", "t")], schemas.FARMS), ([("c", "C")], schemas.CAMERAS)
     ws = Workspace(*stored, *(spark.createDataFrame(*m) for m in maps))
     for df in (dashboard.load_filters(ws, DAY), dashboard.after_farm_choice(ws, DAY, "f"), facets.tenant_facet(ws.detections, ws.farms, DAY)):
@@ -129,14 +130,16 @@ def test_no_list_is_numbered_in_one_task(spark, stored):
         assert found and all("facet" in w and "_part" in w for w in found)
 
 
-def test_positions_of_a_long_list(spark):
+@pytest.mark.parametrize("whole", [0, 1 << 40])
+def test_positions_of_a_long_list(spark, monkeypatch, whole):
     """Labels that repeat, and many entries; every position once, in order."""
+    monkeypatch.setattr(facets, "WHOLE_LIST_BYTES", whole)
     entries = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, "camera").otherwise("farm").alias("facet"),
         F.concat(F.lit("n"), F.col("id") % 500).alias("label"),
         F.col("id").cast("string").alias("id"),
     )
-    rows = facets.listed(entries, ["farm", "camera", "tenant"]).collect()
+    rows = facets.listed(entries, ["farm", "camera", "tenant"], entries).collect()
     for facet, n in (("farm", 20_000), ("camera", 10_000), ("tenant", 0)):
         own = sorted((r.pos, r.label, r.id) for r in rows if r.facet == facet)
         assert [p for p, *_ in own] == list(range(n + 1)) and own[0] == (0, "All", "All")

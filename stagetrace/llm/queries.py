@@ -36,7 +36,7 @@ def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sequences in training order, as the shards that were written hold them."""
-    path = token_order.write_shards(documents(spark, sf_dir))
+    path = token_order.write_shards(documents(spark, sf_dir), stored=True)
     out = token_order.read_shards(spark, path)
     return out.select("slot", "shard", F.col("doc").alias("doc_id"), "sequence", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

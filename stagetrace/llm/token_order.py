@@ -10,16 +10,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stagetrace.llm.common import new_folder, saved
 
@@ -34,62 +38,118 @@ SHARD_RECORDS = 1 << 15
 HEADER = np.dtype([("doc", "<i8"), ("sequence", "<i4"), ("n_tokens", "<i4")])
 NULL_DOC = -(1 << 63)
 ROUNDS = 8
+#: Bytes of text whose parts are told apart at once.
+BLOCK_BYTES = 1 << 23
+#: How often the rows are counted anew if they have moved to other tasks meanwhile.
+COUNTS = 4
+MOVED = "rows of documents have moved to other tasks"
 
 
-class WordIds(dict):
-    """The ids of a word as bytes, two for each id."""
+def read_vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
 
-    def __init__(self, encoding: tiktoken.Encoding):
-        super().__init__()
-        self.encoding = encoding
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 500_000:  # a cache only
-            self.clear()
-        out = self[word] = np.array(self.encoding.encode_ordinary(word), dtype="<u2").tobytes()
-        return out
+class Parts(NamedTuple):
+    """What an encoder gives for parts of texts: the ids of all, how many each has, and which
+    parts it leaves to texts that are encoded whole."""
 
+    ids: np.ndarray
+    counts: np.ndarray
+    odd: np.ndarray
 
-def read_vocabulary(path: str = VOCABULARY) -> bytes:
-    with open(path, "rb") as f:
-        return f.read()
 
+class Tokenizer:
+    """Ids of texts by a vocabulary of bytes."""
 
-_TOKENIZERS: dict[str, tuple] = {}
+    def __init__(self, vocabulary: bytes):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int64)
+        for token, i in ranks.items():
+            self.size[i] = len(token)
 
+    def __call__(self, text: str) -> np.ndarray:
+        # faster than an array from the list
+        return np.asarray(array("H", self.encoding.encode_ordinary(text)), dtype="<u2")
 
-def tokenizer(vocabulary: bytes):
-    """A function from a text to its ids as bytes; words are looked up before they are encoded."""
+    def after_blanks(self, parts: pa.Array) -> Parts:
+        """Encoded as one text; the bytes of its ids tell where a part ends."""
+        ids = self(" ".join(["", *parts.to_numpy(zero_copy_only=False)]))
+        ends = np.cumsum(pc.binary_length(parts).to_numpy() + 1, dtype=np.int64)
+        until = np.searchsorted(np.cumsum(self.size[ids]), ends, side="right")
+        return Parts(ids, np.diff(until, prepend=0), np.zeros(len(parts), dtype=bool))
+
+
+_TOKENIZERS: dict[str, Tokenizer] = {}
+
+
+def tokenizer(vocabulary: bytes) -> Tokenizer:
+    """One a worker process."""
     name = hashlib.sha256(vocabulary).hexdigest()
     if name not in _TOKENIZERS:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _TOKENIZERS[name] = regex.compile(PATTERN).findall, WordIds(encoding)
-    find, words = _TOKENIZERS[name]
-    return lambda text: b"".join(map(words.__getitem__, find(text)))
+        _TOKENIZERS[name] = Tokenizer(vocabulary)
+    return _TOKENIZERS[name]
+
+
+def _text_ids(texts: pa.Array, encoder) -> list[np.ndarray]:
+    lists = pc.split_pattern(texts, " ")
+    n = lists.value_lengths().to_numpy().astype(np.int64)
+    first = np.cumsum(n) - n
+    parts = lists.flatten().dictionary_encode()
+    code, names = parts.indices.to_numpy().copy(), parts.dictionary.to_numpy(zero_copy_only=False)
+    odd = np.fromiter((not p or p[0].isspace() for p in names), bool, len(names))
+    plain = np.flatnonzero(~odd)
+    found = encoder.after_blanks(parts.dictionary.take(pa.array(plain)))
+    odd[plain[found.odd]] = True
+    counts = np.zeros(len(names), dtype=np.int64)
+    counts[plain] = found.counts
+    later = np.ones(len(code), dtype=bool)
+    later[first] = False
+    whole = np.logical_or.reduceat(odd[code] & later, first)
+    # a text begins with its first part, which has no blank before it, or is one part
+    heads = [encoder(texts[i].as_py() if whole[i] else names[code[first[i]]]) for i in range(len(n))]
+    code[first] = len(names) + np.arange(len(n))
+    code = code[~(later & np.repeat(whole, n))]
+    n = np.where(whole, 1, n)
+    counts = np.append(counts, [len(h) for h in heads])
+    starts = np.cumsum(counts) - counts
+    ids = np.concatenate([found.ids, *heads])
+    size = counts[code]
+    at = np.repeat((starts[code] - np.cumsum(size) + size).astype(np.int32), size)
+    at += np.arange(len(at), dtype=np.int32)
+    return np.split(ids[at], np.cumsum(np.add.reduceat(size, np.cumsum(n) - n))[:-1])
+
+
+def text_ids(texts: pa.Array, encoder) -> Iterator[np.ndarray]:
+    """The ids of each text; null is empty.
+
+    A blank before a character that is no blank begins a word of PATTERN, whatever precedes
+    it, and what precedes it has the same words without it.  Texts are therefore parted at
+    blanks, and each different part of a block of texts is encoded once.  Texts with blanks
+    that aren't followed so, or with parts that the encoder finds odd, are encoded whole.
+    """
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+        yield from _text_ids(texts[at:to], encoder)
+        at = to
 
 
-def tokenised(docs: DataFrame, vocabulary: bytes, key: str, text: str, sequence: int) -> DataFrame:
-    """(doc, n_tokens, ids, part, first): whole sequences of ids, padded with END_OF_TEXT, and
-    the number of the first of them among those of its task."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def token_counts(rows: DataFrame, vocabulary: bytes, sequence: int) -> DataFrame:
+    """(part, n): the sequences of each task of rows (doc, text)."""
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = tokenizer(sent.value), np.array([END_OF_TEXT], dtype="<u2").tobytes()
-        part, at = TaskContext.get().partitionId(), 0
-        for frame in frames:
-            counts, rows, firsts = [], [], []
-            for t in frame["text"]:
-                ids = encode(t or "") + end
-                counts.append(len(ids) // 2)
-                whole = -(-counts[-1] // sequence)
-                rows.append(ids + end * (whole * sequence - counts[-1]))
-                firsts.append(at)
-                at += whole
-            yield pd.DataFrame({"doc": frame["doc"], "n_tokens": counts, "ids": rows, "part": part, "first": firsts})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, n = tokenizer(sent.value), 0
+        for batch in batches:
+            n += sum(len(ids) // sequence + 1 for ids in text_ids(batch["text"], encoder))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": [n]})
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc long, n_tokens long, ids binary, part int, first long")
+    return rows.mapInArrow(run, "part int, n long")
 
 
 class Feistel:
@@ -138,6 +198,54 @@ def record_type(sequence: int) -> np.dtype:
     return np.dtype([*((n, HEADER[n]) for n in HEADER.names), ("ids", "<u2", (sequence,)), ("end", "S1")])
 
 
+def records(
+    rows: DataFrame, starts: dict[int, tuple[int, int]], vocabulary: bytes, seed: int, sequence: int, shard_records: int
+) -> DataFrame:
+    """(slot, shard, record) of every sequence, without the closing line feed.  `starts` has, by
+    task, the number of its first sequence and how many it has."""
+    context = rows.sparkSession.sparkContext
+    sent, begins = context.broadcast(vocabulary), context.broadcast(starts)
+    order = Feistel(sum(n for _, n in starts.values()), seed)
+    full = record_type(sequence)
+    kind = np.dtype([(name, full[name]) for name in full.names if name != "end"])
+
+    def some(docs: np.ndarray, texts: list[np.ndarray], at: int) -> pa.RecordBatch:
+        n_tokens = np.array([len(ids) + 1 for ids in texts])
+        whole = -(-n_tokens // sequence)
+        row = np.repeat(np.arange(len(texts)), whole)
+        first = np.cumsum(whole) - whole
+        nth = np.arange(len(row)) - first[row]
+        out = np.zeros(len(row), dtype=kind)
+        out["doc"], out["sequence"] = docs[row], nth
+        out["n_tokens"] = np.minimum(sequence, n_tokens[row] - nth * sequence)
+        flat = np.full(len(row) * sequence, END_OF_TEXT, dtype="<u2")
+        for ids, a in zip(texts, (first * sequence).tolist(), strict=True):
+            flat[a : a + len(ids)] = ids
+        out["ids"] = flat.reshape(-1, sequence)
+        slot = order.slots(at + np.arange(len(row)))
+        ends = pa.py_buffer(np.arange(len(row) + 1, dtype=np.int32) * np.int32(kind.itemsize))
+        record = pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(out)])
+        shard = pa.array((slot // shard_records).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(slot), shard, record], ["slot", "shard", "record"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokenizer(sent.value)
+        at, n = begins.value.get(TaskContext.get().partitionId(), (0, 0))
+        end = at + n
+        for batch in batches:
+            docs, found = batch["doc"].to_numpy(), text_ids(batch["text"], encoder)
+            for a in range(0, len(docs), 512):
+                texts = list(islice(found, 512))
+                out_at, at = at, at + sum(len(ids) // sequence + 1 for ids in texts)
+                if at > end:
+                    break
+                yield some(docs[a : a + 512], texts, out_at)
+        if at != end:
+            raise RuntimeError(MOVED)
+
+    return rows.mapInArrow(run, "slot long, shard int, record binary")
+
+
 def write_shards(
     docs: DataFrame,
     path: str | None = None,
@@ -147,6 +255,7 @@ def write_shards(
     sequence: int = SEQUENCE,
     shard_records: int = SHARD_RECORDS,
     vocabulary: bytes | None = None,
+    stored: bool = False,
 ) -> str:
     """Write all documents as shards of records in training order; returns the folder.
 
@@ -156,41 +265,33 @@ def write_shards(
     on, in order, one file in the folder shard=s.  Keys are integers; null keys are
     written as NULL_DOC; rows that share a key are documents of their own.  An empty table
     writes no shard.
+
+    The documents are read twice, to count their sequences and to write them, so that ids are
+    nowhere kept beside the shards.  `stored` documents are read from files; others are saved
+    first, so that both times have the same rows.  A task that doesn't find as many sequences
+    as were counted for it stops the job, and all is counted again.
     """
     spark = docs.sparkSession
     path = path or new_folder(spark, "shards")
     vocabulary = read_vocabulary() if vocabulary is None else vocabulary
-    tokens = saved(tokenised(docs, vocabulary, key, text, sequence), "tokens", "zstd")
-    # a row per task
-    parts = tokens.groupBy("part").agg(F.sum(F.ceil(F.col("n_tokens") / sequence)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = saved(parts.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
-    total = starts.agg(F.sum("n")).first()[0] or 0
-    order = Feistel(total, seed)
-    kind = record_type(sequence)
-
-    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), 512):
-                part = frame.iloc[at : at + 512]
-                whole = -(-part["n_tokens"].to_numpy() // sequence)
-                row = np.repeat(np.arange(len(part)), whole)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(whole) - whole, whole)
-                out = np.zeros(len(row), dtype=kind)
-                out["doc"], out["sequence"] = part["doc"].to_numpy()[row], nth
-                out["n_tokens"] = np.minimum(sequence, part["n_tokens"].to_numpy()[row] - nth * sequence)
-                out["ids"] = np.frombuffer(b"".join(part["ids"]), dtype="<u2").reshape(-1, sequence)
-                slot = order.slots((part["start"] + part["first"]).to_numpy()[row] + nth)
-                # the writer adds the line feed
-                raw, stride = out.tobytes(), kind.itemsize
-                yield pd.DataFrame({"slot": slot, "shard": slot // shard_records, "record": [raw[i : i + stride - 1] for i in range(0, len(raw), stride)]})
-
-    rows = tokens.join(F.broadcast(starts.select("part", "start")), "part").mapInPandas(
-        records, "slot long, shard int, record binary"
-    )
-    shards = max(1, -(-total // shard_records))
-    placed = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
-    placed.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("doc"), F.col(text).alias("text"))
+    rows = rows if stored else saved(rows, "documents", "zstd")
+    for left in range(COUNTS - 1, -1, -1):
+        # a row per task
+        counts = sorted((r["part"], r["n"]) for r in token_counts(rows, vocabulary, sequence).collect())
+        ends = list(accumulate(n for _, n in counts))
+        starts = {part: (end - n, n) for (part, n), end in zip(counts, ends, strict=True)}
+        shards = max(1, -(-(ends[-1] if ends else 0) // shard_records))
+        placed = records(rows, starts, vocabulary, seed, sequence, shard_records)
+        placed = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+        # the writer adds the line feed
+        lines = placed.select("shard", F.col("record").cast("string").alias("value"))
+        try:
+            lines.write.partitionBy("shard").text(path)
+            return path
+        except PySparkException as e:
+            if not left or MOVED not in str(e):
+                raise
     return path
 
 

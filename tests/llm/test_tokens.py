@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -190,3 +191,42 @@ def test_shards_hold_every_sequence_once(spark, make, odd_rows, tmp_path):
     assert sorted(r.slot for r in later) == list(range(250, len(rows)))
     none = token_order.write_shards(docs.where("false"), f"{tmp_path}/none", sequence=32)
     assert none == f"{tmp_path}/none"
+
+
+def test_texts_are_encoded_by_their_parts(odd_rows, monkeypatch):
+    """The ids of the whole text, also across blanks of every kind and in small blocks."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_order, "BLOCK_BYTES", 2000)
+    rng = random.Random(3)
+    odd = " \n\t\r\x0b\x1c\x85\xa0 　​'as1.é日😀"
+    texts = [None, "", " ", "  ", " a", "a ", "a  b", "a \nb", "a\n b", "a \xa0b", "'s 's", "x\x1c \x1cy"]
+    texts += TEXTS + [r[1] for r in odd_rows] + ["".join(rng.choices(odd, k=rng.randrange(1, 30))) for _ in range(2000)]
+    encode = token_order.tokenizer(token_order.read_vocabulary())
+    got = list(token_order.text_ids(pa.array(texts, pa.string()), encode))
+    assert len(got) == len(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == encode.encoding.encode_ordinary(text or ""), repr(text)
+
+
+def test_no_ids_are_kept_beside_the_shards(spark, tmp_path, monkeypatch):
+    """Stored documents are read again; nothing but the shards is written, and the slots are a
+    permutation even if the rows move to other tasks after they were counted."""
+    rows = [(i, f"word {i} " * (i % 90)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    monkeypatch.setattr(token_order, "saved", None)
+    path = token_order.write_shards(docs, f"{tmp_path}/shards", sequence=32, shard_records=100, stored=True)
+    got = token_order.read_shards(spark, path, 32, 100).collect()
+    counted, calls = token_order.token_counts, []
+
+    def moved(*args):
+        calls.append(1)
+        out = counted(*args)
+        return out.selectExpr("part", "n + 1 AS n") if len(calls) == 1 else out
+
+    monkeypatch.setattr(token_order, "token_counts", moved)
+    path = token_order.write_shards(docs, f"{tmp_path}/again", sequence=32, shard_records=100, stored=True)
+    again = token_order.read_shards(spark, path, 32, 100).collect()
+    assert len(calls) == 2 and sorted(again) == sorted(got)
+    assert sorted(r.slot for r in got) == list(range(len(got))) and {r.doc for r in got} == set(range(300))

@@ -24,13 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stagetrace.llm.common import numbered, saved
-from stagetrace.llm.token_order import PATTERN
+from stagetrace.llm.token_order import PATTERN, Parts, text_ids
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -67,17 +68,21 @@ class Words(dict):
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.find = regex.compile(PATTERN).findall
         self.model, self.letters = tokenizer.model, byte_letters()
-        self.known: dict[str, bool] = {}
+        self.written = {i: as_bytes([i]) for i in tokenizer.get_vocab().values()}
+        self.agreed: set[str] = set()
+        self.odd: set[str] = set()
 
     def _agrees(self, char: str) -> bool:
         probes = (f"a{char}a", f"1{char}1", f".{char}.", f" {char} ", f"a {char}{char} a", f"'{char}")
         return all([p[i:j] for _, (i, j) in self.split(p)] == self.find(p) for p in probes)
 
     def __missing__(self, word: str) -> bytes:
-        for char in set(word):
-            if char not in self.known:
-                self.known[char] = self._agrees(char)
-            if not self.known[char]:
+        if not self.agreed.issuperset(word):
+            new = set(word) - self.agreed - self.odd
+            agreed = {char for char in new if self._agrees(char)}
+            self.agreed |= agreed
+            self.odd |= new - agreed
+            if not self.odd.isdisjoint(word):
                 raise OddCharacter
         if len(self) >= CACHED_WORDS:
             self.clear()
@@ -85,7 +90,7 @@ class Words(dict):
             written = word.replace(" ", chr(self.letters[32]))
         else:
             written = word.encode().decode("latin-1").translate(self.letters)
-        out = self[word] = as_bytes([t.id for t in self.model.tokenize(written)])
+        out = self[word] = b"".join([self.written[t.id] for t in self.model.tokenize(written)])
         return out
 
 
@@ -104,19 +109,53 @@ class Encoder:
         splitter = settings["pre_tokenizer"] or {}
         if settings["normalizer"] or splitter.get("type") != "ByteLevel" or splitter.get("add_prefix_space"):
             raise ValueError("not a plain byte-level tokenizer")
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What a part of a text has if the text has a special token.
+        self.marks = [max(s.split(" "), key=len) for s in special]
         self.words = Words(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
         return as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
+    def by_words(self, text: str) -> bytes | None:
+        """None for a text that is left to the tokenizer."""
+        if any(m in text for m in self.marks):
+            return None
         try:
             return b"".join(map(self.words.__getitem__, self.words.find(text)))
         except OddCharacter:
-            return self.whole(text)
+            return None
+
+    def __call__(self, text: str) -> bytes:
+        ids = self.by_words(text)
+        return self.whole(text) if ids is None else ids
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self(text), "<u4")
+
+    def first_part(self, part: str) -> np.ndarray | None:
+        ids = self.by_words(part)
+        return None if ids is None else np.frombuffer(ids, "<u4")
+
+    def after_blanks(self, parts: pa.Array) -> Parts:
+        """Words of all parts as of one text; the characters of the words tell where a part ends."""
+        texts = [" " + p for p in parts.to_numpy(zero_copy_only=False)]
+        joined = "".join(texts)
+        try:
+            if any(m in joined for m in self.marks):
+                raise OddCharacter
+            words = self.words.find(joined)
+            found = list(map(self.words.__getitem__, words))
+        except OddCharacter:  # somewhere
+            found = list(map(self.by_words, texts))
+            words, odd = texts, np.fromiter((x is None for x in found), bool, len(found))
+            found = [x or b"" for x in found]
+        else:
+            odd = np.zeros(len(texts), dtype=bool)
+        size = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        until = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))))
+        return Parts(np.frombuffer(b"".join(found), "<u4"), np.diff(size[until], prepend=0), odd)
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -146,8 +185,9 @@ def token_pieces(docs: DataFrame, definition: str, key: str, text: str, capacity
         encode, end = encoder(sent.value), as_bytes([END_OF_TEXT])
         for frame in frames:
             rows = []
-            for name, body in zip(frame["key"], frame["text"], strict=True):
-                ids = encode(body or "") + end
+            bodies = text_ids(pa.array(frame["text"], pa.string()), encode)
+            for name, body in zip(frame["key"], bodies, strict=True):
+                ids = body.tobytes() + end
                 for i, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     rows.append((name, i, start, length, ids[4 * start : 4 * (start + length)]))
             yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids"])

@@ -73,6 +73,8 @@ class Tokenizer:
         # faster than an array from the list
         return np.asarray(array("H", self.encoding.encode_ordinary(text)), dtype="<u2")
 
+    ids = first_part = __call__
+
     def after_blanks(self, parts: pa.Array) -> Parts:
         """Encoded as one text; the bytes of its ids tell where a part ends."""
         ids = self(" ".join(["", *parts.to_numpy(zero_copy_only=False)]))
@@ -92,15 +94,41 @@ def tokenizer(vocabulary: bytes) -> Tokenizer:
     return _TOKENIZERS[name]
 
 
-def _text_ids(texts: pa.Array, encoder) -> list[np.ndarray]:
+class PartedTexts(NamedTuple):
+    """The parts of texts between blanks: how many each text has, the place of the first, the
+    number of each among the different ones, and these."""
+
+    n: np.ndarray
+    first: np.ndarray
+    code: np.ndarray
+    parts: pa.Array
+
+
+def parted(texts: pa.Array) -> PartedTexts:
     lists = pc.split_pattern(texts, " ")
     n = lists.value_lengths().to_numpy().astype(np.int64)
-    first = np.cumsum(n) - n
     parts = lists.flatten().dictionary_encode()
-    code, names = parts.indices.to_numpy().copy(), parts.dictionary.to_numpy(zero_copy_only=False)
+    return PartedTexts(n, np.cumsum(n) - n, parts.indices.to_numpy().copy(), parts.dictionary)
+
+
+def text_blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in blocks of some BLOCK_BYTES; null is empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+        yield texts[at:to]
+        at = to
+
+
+def _text_ids(texts: pa.Array, encoder) -> list[np.ndarray]:
+    n, first, code, parts = parted(texts)
+    names = parts.to_numpy(zero_copy_only=False)
     odd = np.fromiter((not p or p[0].isspace() for p in names), bool, len(names))
     plain = np.flatnonzero(~odd)
-    found = encoder.after_blanks(parts.dictionary.take(pa.array(plain)))
+    found = encoder.after_blanks(parts.take(pa.array(plain)))
     odd[plain[found.odd]] = True
     counts = np.zeros(len(names), dtype=np.int64)
     counts[plain] = found.counts
@@ -108,7 +136,9 @@ def _text_ids(texts: pa.Array, encoder) -> list[np.ndarray]:
     later[first] = False
     whole = np.logical_or.reduceat(odd[code] & later, first)
     # a text begins with its first part, which has no blank before it, or is one part
-    heads = [encoder(texts[i].as_py() if whole[i] else names[code[first[i]]]) for i in range(len(n))]
+    heads = [None if w else encoder.first_part(names[c]) for w, c in zip(whole, code[first], strict=True)]
+    whole = np.fromiter((h is None for h in heads), bool, len(heads))
+    heads = [encoder.ids(texts[i].as_py()) if h is None else h for i, h in enumerate(heads)]
     code[first] = len(names) + np.arange(len(n))
     code = code[~(later & np.repeat(whole, n))]
     n = np.where(whole, 1, n)
@@ -129,14 +159,8 @@ def text_ids(texts: pa.Array, encoder) -> Iterator[np.ndarray]:
     blanks, and each different part of a block of texts is encoded once.  Texts with blanks
     that aren't followed so, or with parts that the encoder finds odd, are encoded whole.
     """
-    texts = pc.fill_null(texts, "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
-    at = 0
-    while at < len(texts):
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
-        yield from _text_ids(texts[at:to], encoder)
-        at = to
+    for block in text_blocks(texts):
+        yield from _text_ids(block, encoder)
 
 
 def token_counts(rows: DataFrame, vocabulary: bytes, sequence: int) -> DataFrame:

@@ -96,6 +96,19 @@ def test_encoder_agrees_with_the_tokenizer(tokenizer):
         assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_characters_are_tried_once(tokenizer, monkeypatch):
+    """New words of known characters cost no look at each character."""
+    words, tried = packing.Encoder(tokenizer.to_str()).words, Counter()
+    agrees = words._agrees
+    monkeypatch.setattr(words, "_agrees", lambda char: tried.update(char) or agrees(char))
+    for word in ("abc", " cab", "aÉb", "ÉÉ1"):
+        assert words[word]
+    for _ in range(2):
+        with pytest.raises(packing.OddCharacter):
+            words["a\u0558b"]
+    assert set(tried.values()) == {1} and words.odd == {"\u0558"} and words.agreed == set("abc É1")
+
+
 def unpacked(fillings):
     return Counter(n for f in fillings for n in f.lengths for _ in range(f.times))
 
@@ -146,3 +159,24 @@ def test_query_over_the_whole_table(spark, tokenizer):
         assert zlib.crc32(part) == r.ids_crc32 and len(part) == 4 * r.length
     least = -(-sum(map(len, ids.values())) // 2048)
     assert least <= len({r.sequence_id for r in rows}) <= least + 1
+
+
+def test_parts_of_texts_are_encoded_once(tokenizer, monkeypatch):
+    """The tokenizer's ids, block by block; a part that is there often is looked at once a block."""
+    import pyarrow as pa
+
+    from stagetrace.llm import token_order
+
+    encode = packing.Encoder(tokenizer.to_str())
+    rng = random.Random(6)
+    odd = " \x1c\x85\xa0 \u2003\u200b's aé日\n1."
+    texts = [None, "", " ", "a <|endoftext|> b", "<|endoftext|> a", "\x1c a b", "a \x85b", " a  b \n c ", "a\u0558 b", "b \u0558a a", "b a\u0558c d"]
+    texts += ["".join(rng.choices(odd, k=rng.randrange(1, 30))) for _ in range(1500)]
+    with monkeypatch.context() as m:
+        m.setattr(token_order, "BLOCK_BYTES", 1000)
+        got = [ids.tolist() for ids in token_order.text_ids(pa.array(texts, pa.string()), encode)]
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    seen, find = [], encode.words.find
+    encode.words.find = lambda text: seen.extend(out := find(text)) or out
+    list(token_order.text_ids(pa.array(["one two, two"] * 50), encode))
+    assert seen.count(" two") == 2

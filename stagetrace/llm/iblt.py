@@ -101,11 +101,23 @@ def _peeled(cells: Column, level: Column) -> Column:
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"))
     # every digest that comes out empties a cell for good, so that there are no more steps than cells
     end = F.aggregate(cells, start, step)
-    return F.when(F.size(end["cells"]) == 0, end["found"])
+    # again a list of one, or all steps are taken twice
+    return F.get(F.transform(F.array(end), lambda x: F.when(F.size(x["cells"]) == 0, x["found"])), F.lit(0))
 
 
-#: Versions of a text, by the column of their digests.
-TEXT, EDITED, NEXT = "digests", "edited_digests", "next_digests"
+#: Digests of a text and of the next one.
+TEXT, NEXT = "digests", "next_digests"
+#: The edited text begins with so many of the text's digests; the rest of its digests.
+SHARED, REST = "shared", "edited_rest"
+VERSIONS = (TEXT, SHARED, REST, NEXT)
+
+
+def _shared() -> Column:
+    return F.slice(TEXT, F.lit(1), F.col(SHARED))
+
+
+def edited_digests() -> Column:
+    return F.concat(_shared(), REST)
 
 
 def _block(digest: Column, level: int, blocks: Column) -> Column:
@@ -113,21 +125,30 @@ def _block(digest: Column, level: int, blocks: Column) -> Column:
 
 
 def differences(groups: DataFrame, level: int) -> DataFrame:
-    """(row, part, block, edited, next): how many digests of each block differ, or null where
-    peeling got stuck.
+    """groups with `edited` and `next`, how many digests differ in the blocks that came out,
+    and `stuck`, the blocks where peeling got stuck.
 
-    groups has `row`, `part`, the number of `blocks`, and the digests of three versions.
-    What belongs to a row stays in one task, with no further shuffle.
+    groups has `row`, `part`, the number of `blocks`, and the digests of three versions, those
+    that text and edited text begin with once.  What belongs to a row stays in one task, with
+    no further shuffle: the groups and their sketches are of one exchange.
     """
     spark = groups.sparkSession
     seed = F.lit(level)
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = groups.select("row", "part", "blocks", TEXT, EDITED, NEXT).repartition(n, "row")
+    own = groups.select("row", "part", "blocks", *VERSIONS).repartition(n, "row")
 
-    def version(i: int, name: str) -> Column:
-        return F.transform(F.col(name), lambda d: F.struct(F.lit(i).alias("v"), d.alias("d")))
+    # a bit for each version that has the digest
+    in_text, in_edited, in_next = 1, 2, 4
 
-    versions = [version(i, name) for i, name in enumerate((TEXT, EDITED, NEXT))]
+    def members(digests: Column, versions: int) -> Column:
+        return F.transform(digests, lambda d: F.struct(F.lit(versions).alias("v"), d.alias("d")))
+
+    versions = [
+        members(_shared(), in_text | in_edited),
+        members(F.slice(TEXT, F.col(SHARED) + 1, F.size(TEXT)), in_text),
+        members(F.col(REST), in_edited),
+        members(F.col(NEXT), in_next),
+    ]
     one = own.select("row", "part", "blocks", F.explode(F.concat(*versions)).alias("x"))
     # a digest's check sum and block are the same in all its cells
     one = one.select(
@@ -137,8 +158,8 @@ def differences(groups: DataFrame, level: int) -> DataFrame:
         F.explode(F.array(*_slots(F.col("x.d"), seed))).alias("cell"),
     )
 
-    def cell_of(v: int, name: str) -> list[Column]:
-        mine = F.col("v") == v
+    def cell_of(bit: int, name: str) -> list[Column]:
+        mine = F.col("v").bitwiseAND(bit) != 0
         zero = F.lit(0).cast("long")
         return [
             F.count_if(mine).alias(f"n_{name}"),
@@ -147,7 +168,7 @@ def differences(groups: DataFrame, level: int) -> DataFrame:
         ]
 
     sketches = one.groupBy("row", "part", "block", "cell").agg(
-        *cell_of(0, "text"), *cell_of(1, "edited"), *cell_of(2, "next")
+        *cell_of(in_text, "text"), *cell_of(in_edited, "edited"), *cell_of(in_next, "next")
     )
 
     def minus(name: str) -> Column:
@@ -160,9 +181,16 @@ def differences(groups: DataFrame, level: int) -> DataFrame:
     # at most CELLS structs to a block
     by_block = sketches.select("row", "part", "block", minus("edited").alias("e"), minus("next").alias("x"))
     by_block = by_block.groupBy("row", "part", "block").agg(F.collect_list("e").alias("e"), F.collect_list("x").alias("x"))
-    return by_block.select(
+    by_block = by_block.select(
         "row", "part", "block", _peeled(F.col("e"), seed).alias("edited"), _peeled(F.col("x"), seed).alias("next")
     )
+    out = F.col("edited").isNotNull() & F.col("next").isNotNull()
+    counts = by_block.groupBy("row", "part").agg(
+        F.sum(F.when(out, F.col("edited"))).alias("edited"),
+        F.sum(F.when(out, F.col("next"))).alias("next"),
+        F.collect_list(F.when(~out, F.col("block"))).alias("stuck"),
+    )
+    return own.join(counts, ["row", "part"])
 
 
 def compared(rows: DataFrame) -> DataFrame:
@@ -171,32 +199,45 @@ def compared(rows: DataFrame) -> DataFrame:
     A block where peeling got stuck is sketched again, for both versions, as two blocks
     with new hashes; blocks that came out are not touched again.
     """
-    most = F.greatest(F.size(EDITED), F.size(NEXT)) + F.size(TEXT)
+    most = F.greatest(F.col(SHARED) + F.size(REST), F.size(NEXT)) + F.size(TEXT)
     blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(most / LOAD)))).cast("long")
-    groups = rows.select("row", F.lit(0).cast("long").alias("part"), blocks.alias("blocks"), TEXT, EDITED, NEXT)
+    groups = rows.select("row", F.lit(0).cast("long").alias("part"), blocks.alias("blocks"), *VERSIONS)
     done = None
     for level in range(RETRIES):
-        found = saved(differences(groups, level), "differences")
-        whole = found.where("edited is not null and next is not null").select("row", "edited", "next")
-        done = whole if done is None else done.unionByName(whole)
-        stuck = found.where("edited is null or next is null").select("row", "part", "block")
+
+        def within(digests: Column, at: int = level) -> Column:
+            own = F.filter(digests, lambda d: _block(d, at, F.col("blocks")) == F.col("block"))
+            return F.when(F.col("block").isNotNull(), own)
+
+        # a row without a block for what came out, and one with the digests of each block that got stuck
+        none = F.lit(None).cast("long")
+        came = F.struct(none.alias("block"), F.col("edited").alias("edited"), F.col("next").alias("next"))
+        left = F.transform("stuck", lambda b: F.struct(b.alias("block"), none.alias("edited"), none.alias("next")))
+        found = differences(groups, level).withColumn("x", F.explode(F.concat(F.array(came), left)))
+        found = found.select("row", "part", "blocks", *VERSIONS, "x.*").select(
+            "row",
+            F.xxhash64("part", "block", F.lit(level)).alias("part"),
+            "block", "edited", "next",
+            *(within(F.col(name)).alias(name) for name in (TEXT, REST, NEXT)),
+            F.size(within(_shared())).alias(SHARED),
+        )
+        found = saved(found, "differences")
+        came_out = found.where("block is null").select("row", "edited", "next")
+        done = came_out if done is None else done.unionByName(came_out)
+        stuck = found.where("block is not null")
         if stuck.isEmpty():
             groups = None
             break
-
-        def within(name: str, at: int = level) -> Column:
-            return F.filter(F.col(name), lambda d: _block(d, at, F.col("blocks")) == F.col("block")).alias(name)
-
-        part = F.xxhash64("part", "block", F.lit(level)).alias("part")
-        groups = groups.join(stuck, ["row", "part"]).select("row", part, *map(within, (TEXT, EDITED, NEXT)))
-        groups = saved(groups.withColumn("blocks", F.lit(2).cast("long")), "stuck")
+        groups = stuck.select("row", "part", F.lit(2).cast("long").alias("blocks"), *VERSIONS)
     if groups is not None:  # never seen: the rest, digest by digest
 
-        def apart(other: str) -> Column:
-            return (F.size(F.array_except(TEXT, other)) + F.size(F.array_except(other, TEXT))).cast("int")
+        def apart(other: Column) -> Column:
+            return (F.size(F.array_except(F.col(TEXT), other)) + F.size(F.array_except(other, F.col(TEXT)))).cast("int")
 
-        done = done.unionByName(groups.select("row", apart(EDITED).alias("edited"), apart(NEXT).alias("next")))
-    return done.groupBy("row").agg(F.sum("edited").alias("edited"), F.sum("next").alias("next"))
+        rest = groups.select("row", apart(edited_digests()).alias("edited"), apart(F.col(NEXT)).alias("next"))
+        done = done.unionByName(rest)
+    sums = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("edited", "next"))
+    return done.groupBy("row").agg(*sums)
 
 
 def likeness(a: Column, b: Column, apart: Column) -> Column:
@@ -205,36 +246,50 @@ def likeness(a: Column, b: Column, apart: Column) -> Column:
 
 
 def edited_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_chars, edited_sha256, row, digests, edited_digests, next_digests).
+    """(key, n_chars, edited_sha256, row, digests, shared, edited_rest, next_digests).
 
     The next document is the one with the next smaller key, and after the last the first;
     null is smaller than any key.  Rows that share a key have the same next document; of
-    several next ones that share a key, the least text counts.
+    several next ones that share a key, the least text counts.  An edited text mostly begins
+    as its text does: only the digests from where the two part are kept for it.
     """
     whole = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sizes = saved(whole.groupBy("key").agg(F.max(F.length("text")).alias("n")), "lengths")
+    sizes = saved(whole.groupBy("key").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies")), "lengths")
     placed = saved(numbered(sizes, ["key"], "at", "order"), "order")
     count = placed.count()
-    gives = placed.select(F.col("key").alias("giver"), F.pmod(F.col("at") + 1, F.lit(max(1, count))).alias("at"))
-    links = placed.join(gives, "at").select("giver", F.col("key").alias("receiver"), F.floor(F.col("n") / 3).cast("int").alias("need"))
-    heads = whole.join(links, F.col("key").eqNullSafe(F.col("giver"))).select(
-        "receiver", F.left("text", F.col("need")).alias("head"), paragraph_digests(F.col("text")).alias(NEXT)
-    )
-    heads = heads.groupBy("receiver").agg(F.min(F.struct("head", NEXT)).alias("got")).select("receiver", "got.*")
+    gives = placed.select(F.col("key").alias("giver"), "copies", F.pmod(F.col("at") + 1, F.lit(max(1, count))).alias("at"))
+    need = F.floor(F.col("n") / 3).cast("int").alias("need")
+    links = placed.drop("copies").join(gives, "at").select("giver", "copies", F.col("key").alias("receiver"), need)
+
+    def heads_of(some: DataFrame) -> DataFrame:
+        return whole.join(some, F.col("key").eqNullSafe(F.col("giver"))).select(
+            "receiver", F.left("text", F.col("need")).alias("head"), paragraph_digests(F.col("text")).alias(NEXT)
+        )
+
+    # where one row has the next key there is nothing to choose from, and its head is shuffled once, to the receiver
+    several = heads_of(links.where("copies > 1")).groupBy("receiver").agg(F.min(F.struct("head", NEXT)).alias("got"))
+    heads = heads_of(links.where("copies = 1")).unionByName(several.select("receiver", "got.*"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - cut), F.left("head", cut))
     both = whole.join(heads, F.col("key").eqNullSafe(F.col("receiver")))
     both = both.select("key", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), NEXT)
-    return both.select(
+    both = both.select(
         F.col("key").alias(key),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         F.monotonically_increasing_id().alias("row"),
         paragraph_digests(F.col("text")).alias(TEXT),
-        paragraph_digests(F.col("edited")).alias(EDITED),
+        paragraph_digests(F.col("edited")).alias("edited_digests"),
         NEXT,
     )
+    own = (key, "n_chars", "edited_sha256", "row", TEXT, NEXT)
+    # past the end of the shorter list nothing is equal
+    alike = F.zip_with(TEXT, "edited_digests", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    parts = F.array_position(F.concat(alike, F.array(F.lit(False))), False)
+    both = both.select(*own, "edited_digests", (parts - 1).cast("int").alias(SHARED))
+    rest = F.slice("edited_digests", F.col(SHARED) + 1, F.size("edited_digests"))
+    return both.select(*own, SHARED, rest.alias(REST))
 
 
 def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,13 +302,15 @@ def document_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """
     rows = saved(edited_versions(docs, key, text), "versions")
     found = compared(rows)
-    a, e, x = (F.size(c) for c in (TEXT, EDITED, NEXT))
-    return rows.join(found, "row").select(
+    # of the next text the number of digests will do
+    shown = rows.select(key, "n_chars", "edited_sha256", "row", TEXT, SHARED, REST, F.size(NEXT).alias("n_next"))
+    a, e, x = F.size(TEXT), F.col(SHARED) + F.size(REST), F.col("n_next")
+    return shown.join(found, "row").select(
         key,
         "n_chars",
         "edited_sha256",
         fingerprint(F.col(TEXT)).alias("fingerprint"),
-        fingerprint(F.col(EDITED)).alias("edited_fingerprint"),
+        fingerprint(edited_digests()).alias("edited_fingerprint"),
         likeness(a, e, F.col("edited")).alias("near_edited"),
         likeness(a, x, F.col("next")).alias("near_next"),
     )

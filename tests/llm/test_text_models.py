@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -199,3 +200,49 @@ def test_repeated_keys_and_few_rows(make, odd_rows):
     alone = iblt.document_fingerprints(make([(1, "One. Two. Three.")])).first()
     assert alone.near_next == 1.0
     assert iblt.document_fingerprints(make(odd_rows).where("false")).count() == 0
+
+
+def test_edited_digests_are_kept_from_where_they_part(make, odd_rows):
+    rows = [r for r in odd_rows if r[0] not in (7, None)] + [(300, "One. Two. One. Three. Four. Five."), (299, "Six. One. Seven.")]
+    got = {r.doc_id: r for r in iblt.edited_versions(make(rows)).collect()}
+    ordered = sorted(rows, key=lambda r: -r[0])
+    for i, (doc, text, *_) in enumerate(ordered):
+        text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        r = got[doc]
+        digests = r.digests[: r.shared] + r.edited_rest
+        assert len(r.digests) == len(paragraphs(text)) and len(set(digests)) == len(digests) == len(paragraphs(edited))
+        assert len(set(digests) & set(r.digests)) == len(paragraphs(text) & paragraphs(edited))
+        assert r.shared == len(r.digests) or r.edited_rest[:1] != [r.digests[r.shared]]
+    assert (got[300].shared, len(got[300].edited_rest)) == (3, 2)  # Six. and S
+
+
+def test_of_several_next_texts_the_least_counts(make):
+    rows = [(3, "a. b. c. d. e. f."), (2, "q. r."), (2, "m. n."), (2, "z."), (None, "y. x. w."), (None, "k. b.")]
+    want = [(3, "a. b. c. d. m. n."), (2, "q. rk"), (2, "m. nk"), (2, "z."), (None, "y. x. a."), (None, "k. ba")]
+    got = Counter((r.doc_id, r.edited_sha256) for r in iblt.edited_versions(make(rows)).collect())
+    assert got == Counter((doc, hashlib.sha256(text.encode()).hexdigest()) for doc, text in want)
+
+
+def exchanges(df):
+    """The columns of each exchange of the plan that ran."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    ran = text.split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    numbers = re.findall(r"[+:]- (?:\* )?Exchange \((\d+)\)", ran)
+    return [re.search(rf"\n\({n}\) Exchange\nInput \[\d+\]: (.*)", text)[1] for n in numbers]
+
+
+def test_heads_shuffle_once_and_next_digests_not_for_the_result(spark, make, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = make([(i, "One. Two. Three. Four." + " So." * i) for i in range(40)])
+        versions = iblt.edited_versions(docs)
+        versions.collect()
+        assert sum("head#" in x for x in exchanges(versions)) == 1
+        out = iblt.document_fingerprints(docs)
+        out.collect()
+        found = exchanges(out)
+        assert any("digests#" in x for x in found) and not any("next_digests#" in x for x in found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -27,10 +27,10 @@ from stagetrace.llm.common import bounded_sample, saved
 #: The bound on the sample of labelled rows.
 MOST_EXAMPLES = 8192
 NEIGHBOURS = 16
-BLOCK = 512
+BLOCK = 1024
 #: So many of the commonest terms have full lists, a weight for each example, which are
 #: multiplied for many texts at once; a plan parameter, as results never depend on it.
-FULL_LISTS = 128
+FULL_LISTS = 256
 TEXTS = 256
 #: Pseudo-votes for the share of label 1.
 PRIOR_VOTES = 0.1
@@ -40,11 +40,18 @@ SEED = 9
 EXAMPLE_TASKS = 8
 
 _WORD = re.compile(r"\w+")
+#: Of the first 256 characters those of no word become blanks.
+_BLANKED = bytes(i if _WORD.match(chr(i)) else ord(" ") for i in range(256))
 RESULT = "score double, neighbours array<long>, similarities array<double>"
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The runs of word characters, in lower case."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(_BLANKED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
 
 
 def training_rows(
@@ -59,7 +66,8 @@ def training_rows(
 
 @dataclass
 class Terms:
-    """The words of the examples, by number: sorted, a line each."""
+    """The words of the examples, by number: a line each, those of most examples first, so that
+    what nearly all texts look up lies close together."""
 
     lines: str
 
@@ -98,7 +106,7 @@ def example_words(examples: DataFrame) -> tuple[Terms, np.ndarray, np.ndarray]:
     rows = examples.select("text", "toxic").mapInPandas(count, "word string, toxic int, n long")
     a, b = (F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)) for y in (1, 0))
     # no more than the examples' words
-    found = rows.groupBy("word").agg(a.alias("a"), b.alias("b")).orderBy("word").toArrow()
+    found = rows.groupBy("word").agg(a.alias("a"), b.alias("b")).orderBy((F.col("a") + F.col("b")).desc(), "word").toArrow()
     return Terms("\n".join(found["word"].to_pylist())), found["a"].to_numpy(), found["b"].to_numpy()
 
 
@@ -178,7 +186,9 @@ class Index:
     def _add(self, score: np.ndarray, cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
         a, z = self.post[cells], self.post[cells + 1]
         at = spans(a, z)
-        return score + np.bincount(self.example[at], np.repeat(weights, z - a) * self.value[at], len(score))
+        shares = self.value.take(at)
+        shares *= np.repeat(weights, z - a)
+        return score + np.bincount(self.example.take(at), shares, len(score))
 
     def nearest(self, base: np.ndarray, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples, with all that tie with the last, and their cosines.

@@ -119,6 +119,22 @@ def test_scores_against_all_cosines(spark, make, monkeypatch, block, full):
         assert len(set(index.block.tolist())) > 100 // block
 
 
+def test_words_are_found_without_a_pattern_where_one_byte_does(monkeypatch):
+    odd = "".join(map(chr, range(256)))
+    texts = [None, "", odd, odd[::-1], "a" + "b".join(odd), "Straße_1 ça va\x85x\xa0y²", "é\u2019a 日本語 x", "İstanbul \u0130"]
+    want = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    assert [toxicity.words_of(t) for t in texts] == want
+    monkeypatch.setattr(toxicity, "_WORD", None)
+    assert [toxicity.words_of(t) for t in texts[:6]] == want[:6]
+
+
+def test_terms_of_most_examples_come_first(spark):
+    rows = [("b c", 0), ("b c a", 1), ("d b", 0), ("B x", 1), (None, 0)]
+    terms, a, b = toxicity.example_words(spark.createDataFrame(rows, "text string, toxic int"))
+    assert terms.lines.split("\n") == ["b", "c", "a", "d", "x"]
+    assert (a.tolist(), b.tolist()) == ([2, 1, 1, 0, 1], [2, 1, 0, 1, 0])
+
+
 def test_no_example_is_left_out_at_any_size(spark):
     """Every sampled example with a word is indexed, and held-out toxic documents are found."""
     for sf, least in (("sf0.001", None), ("sf0.01", 0.8)):
